@@ -15,10 +15,10 @@ class Query:
 
 
 def registry() -> dict[str, Query]:
-    from . import logistics, matrix
+    from . import logistics, manifests, matrix
 
     merged: dict[str, Query] = {}
-    for part in (logistics.QUERIES, matrix.QUERIES):
+    for part in (logistics.QUERIES, manifests.QUERIES, matrix.QUERIES):
         clash = merged.keys() & part.keys()
         if clash:
             raise ValueError(f"query registered twice: {clash}")

@@ -234,12 +234,12 @@ QUERIES: dict[str, Query] = {
     ),
     "search_any_column": Query(
         lambda sp, d: S.search_any(
-            I.shipments(sp, d).select("shipment_id", "material_type", "status", "origin_hub", "destination_hub"), "STEEL"
+            I.shipments(sp, d).select("shipment_id", "material_type", "status", "origin_hub", "destination_hub"), "Promo"
         ).groupBy("material_type").agg(F.count("*").alias("n")),
         L(
-            "SELECT material_type, count(*) AS n FROM shipments WHERE contains(lower(shipment_id), 'steel') OR "
-            "contains(lower(material_type), 'steel') OR contains(lower(status), 'steel') OR "
-            "contains(lower(origin_hub), 'steel') OR contains(lower(destination_hub), 'steel') GROUP BY material_type"
+            "SELECT material_type, count(*) AS n FROM shipments WHERE contains(lower(shipment_id), 'promo') OR "
+            "contains(lower(material_type), 'promo') OR contains(lower(status), 'promo') OR "
+            "contains(lower(origin_hub), 'promo') OR contains(lower(destination_hub), 'promo') GROUP BY material_type"
         ),
     ),
     "sorted_by_delay": Query(
