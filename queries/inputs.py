@@ -122,7 +122,7 @@ SELECT f.file_id, CAST(k AS BIGINT) AS row_idx,
        CASE WHEN k = 0 THEN 'customer name' WHEN k = 1 THEN 'account value' END AS c1
 FROM (SELECT DISTINCT CAST(c_custkey % 16 AS VARCHAR(20)) AS file_id FROM {customer}) f
 CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k UNION ALL SELECT 2 AS k) t
-""".replace("{matrix}", MATRIX)
+""".replace("{matrix}", MATRIX.replace("c_name", "replace(c_name, 'Customer', 'Acct')"))
 
 
 def wide_to_rows(df: DataFrame, width: int) -> DataFrame:

@@ -49,6 +49,11 @@ def table_columns(counts: DataFrame) -> DataFrame:
     return counts.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("cols"))
 
 
+def renumber(cols: Column) -> Column:
+    """Column counts with ``col`` set to the place in the array."""
+    return F.transform(cols, lambda c, i: c.withField("col", i))
+
+
 def _kind_counts(col: Column) -> dict[str, Column]:
     return {"datetime": col["n_D"], "numeric": col["n_N"], "categorical": col["n_T"] + col["n_M"]}
 
@@ -187,8 +192,12 @@ def validate(tables: DataFrame, names: DataFrame | None = None) -> DataFrame:
         named = cols.withColumn("names", default_names(F.col("cols")))
     else:
         named = cols.join(names.select(*KEYS, "names"), KEYS)
-    report = record_coherence(tables, semantic_alignment(named))
-    return report.withColumns(shape_report())
+    return report(tables, named)
+
+
+def report(tables: DataFrame, named: DataFrame) -> DataFrame:
+    """Report from column counts at hand; ``named``: keys, names, cols."""
+    return record_coherence(tables, semantic_alignment(named)).withColumns(shape_report())
 
 
 def strategy_score(report: DataFrame) -> DataFrame:
@@ -216,7 +225,3 @@ def row_alignments(tables: DataFrame, names: DataFrame) -> DataFrame:
     kinds = names.select(*KEYS, F.transform("names", C.header_type).alias("kinds"))
     fit = _sum(F.zip_with("kinds", "values", lambda k, v: C.type_match(k, C.value_type(v)))) / F.size("kinds")
     return tables.join(kinds, KEYS).select(*KEYS, "record_id", fit.alias("row_alignment"))
-
-
-def shifted(cols: Column, shift: Column) -> Column:
-    return R.roll(cols, shift)
