@@ -15,10 +15,12 @@ class Query:
 
 
 def registry() -> dict[str, Query]:
-    from . import logistics, manifests, matrix
+    from . import logistics, manifests, matrix, streams, structure
 
     merged: dict[str, Query] = {}
-    for part in (logistics.QUERIES, manifests.QUERIES, matrix.QUERIES):
+    for part in (
+        logistics.QUERIES, manifests.QUERIES, matrix.QUERIES, structure.QUERIES, streams.QUERIES
+    ):
         clash = merged.keys() & part.keys()
         if clash:
             raise ValueError(f"query registered twice: {clash}")

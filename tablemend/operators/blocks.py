@@ -21,6 +21,8 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..session import cut
+
 BLOCK_ROWS = 1 << 16
 
 
@@ -147,20 +149,26 @@ def fold_blocks(
     keys: Sequence[str],
     position: str,
     rule: BlockRule,
+    keep: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Run a greedy rule over each key; adds ``record_id`` and ``offset``.
 
-    Returns ``keys + position + record_id + offset``. Only the columns the
-    rule names are handed to Python, never the cells.
+    Returns ``keys + position + keep + record_id + offset``. Only the columns
+    the rule names are handed to Python, never the cells. They are
+    materialised once, as up to three passes read them.
     """
     keys = list(keys)
     block_keys = keys + ["_blk"]
     fields = {f.name: f for f in df.schema.fields}
     key_fields = [fields[k] for k in keys]
-    narrow = df.select(
-        *keys, F.col(position).cast("long").alias(position), *rule.columns
-    ).withColumn("_blk", F.floor(F.col(position) / block_rows))
+    carried = [c for c in keep if c not in (*keys, position)]
+    columns = list(dict.fromkeys([*rule.columns, *carried]))
+    narrow = cut(
+        df.select(*keys, F.col(position).cast("long").alias(position), *columns).withColumn(
+            "_blk", F.floor(F.col(position) / block_rows)
+        )
+    )
 
     summary_type = T.StructType(
         key_fields + [T.StructField("_blk", T.LongType()), T.StructField("summary", T.StringType())]
@@ -173,9 +181,8 @@ def fold_blocks(
         return out
 
     # files that fit one block need no summary: their entry state is known
-    summaries = narrow.join(
-        narrow.filter(F.col("_blk") == 1).select(*keys).distinct(), keys, "left_semi"
-    ).groupBy(*block_keys).applyInPandas(summarise, summary_type)
+    long_keys = narrow.filter(F.col(position) == block_rows).select(*keys)
+    summaries = narrow.join(long_keys, keys, "left_semi").groupBy(*block_keys).applyInPandas(summarise, summary_type)
 
     entry_type = T.StructType(
         key_fields
@@ -205,6 +212,7 @@ def fold_blocks(
         key_fields
         + [
             T.StructField(position, T.LongType()),
+            *[fields[c] for c in carried],
             T.StructField("record_id", T.LongType()),
             T.StructField("offset", T.LongType()),
         ]
@@ -213,7 +221,7 @@ def fold_blocks(
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(position, kind="stable")
         starts, offsets = rule.replay(pdf, pdf["_entry"].iloc[0])
-        out = pdf[keys + [position]].copy()
+        out = pdf[keys + [position] + carried].copy()
         out["record_id"] = pd.Series(starts, index=pdf.index).cumsum() + int(pdf["_base"].iloc[0]) - 1
         out["offset"] = offsets
         return out
