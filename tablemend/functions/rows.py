@@ -129,10 +129,9 @@ def anchor_density(cells: Column) -> Column:
 
 
 def _label_points(value: Column) -> Column:
-    low = F.replace(F.lower(value), F.lit(" "), F.lit("_"))
     return (
         F.when(C.is_anchor(value), 0.0)
-        .when(C.contains_any(low, LABEL_WORDS), 1.0)
+        .when(C.contains_any(F.lower(value), LABEL_WORDS), 1.0)
         .when((F.length(value) < 35) & value.rlike(SHORT_LABEL), 0.5)
         .otherwise(0.0)
     )

@@ -16,15 +16,20 @@ The only per-file windows run over block summaries: one row for ``BLOCK_ROWS`` r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..session import cut
 
 BLOCK_ROWS = 1 << 16
 
+# rules travel to executors by value, so these need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def with_prefix(
     df: DataFrame,
@@ -125,25 +130,33 @@ def with_neighbours(
 class BlockRule:
     """A greedy scan rule that can be summarised per block.
 
-    ``summarise`` turns the rows of one block into a text summary that holds
-    the outcome for every state the block may be entered in; ``advance``
-    applies a summary to a state; ``replay`` lists, for a known entry state,
-    whether each row starts a record and its offset inside the record.
-    States are text; the empty text is the state before the first row.
+    ``step`` maps (row, state) to (opens a record, offset in the record, next
+    state); rows are tuples of ``columns``. ``summarise`` turns the rows of one
+    block into a text that holds the outcome for every state the block may be
+    entered in, and ``advance`` applies it to a state. Between blocks a state is
+    text; the empty text is the state before the first row, and ``enter``
+    decodes it.
     """
 
     columns: Sequence[str] = ()
 
-    def summarise(self, rows: pd.DataFrame) -> str:
+    def enter(self, state: str):
         raise NotImplementedError
 
-    def advance(self, state: str, summary: str) -> tuple[str, int]:
+    def step(self, row: tuple, state) -> tuple:
         raise NotImplementedError
 
-    def replay(self, rows: pd.DataFrame, state: str) -> tuple[list[int], list[int]]:
+    def summarise(self, rows: list[tuple]) -> str:
+        raise NotImplementedError
+
+    def advance(self, state: str, summary: str) -> tuple[str, int]:
         raise NotImplementedError
 
 
+def _tuples(pdf: pd.DataFrame, columns: Sequence[str]) -> list[tuple]:
+    return list(zip(*[pdf[c].tolist() for c in columns]))
+
+
 def fold_blocks(
     df: DataFrame,
     keys: Sequence[str],
@@ -177,7 +190,7 @@ def fold_blocks(
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(position, kind="stable")
         out = pdf[block_keys].iloc[:1].copy()
-        out["summary"] = rule.summarise(pdf)
+        out["summary"] = rule.summarise(_tuples(pdf, rule.columns))
         return out
 
     # files that fit one block need no summary: their entry state is known
@@ -218,17 +231,28 @@ def fold_blocks(
         ]
     )
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position, kind="stable")
-        starts, offsets = rule.replay(pdf, pdf["_entry"].iloc[0])
-        out = pdf[keys + [position] + carried].copy()
-        out["record_id"] = pd.Series(starts, index=pdf.index).cumsum() + int(pdf["_base"].iloc[0]) - 1
-        out["offset"] = offsets
-        return out
-
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, state, record = None, None, -1
+        for pdf in batches:
+            records, offsets = [], []
+            places = zip(_tuples(pdf, block_keys), _tuples(pdf, rule.columns), pdf["_entry"], pdf["_base"])
+            for place, row, entry, base in places:
+                if place != block:
+                    block, state, record = place, rule.enter(entry), int(base) - 1
+                opens, offset, state = rule.step(row, state)
+                record += bool(opens)
+                records.append(record)
+                offsets.append(offset)
+            out = pdf[keys + [position] + carried].copy()
+            out["record_id"] = records
+            out["offset"] = offsets
+            yield out
+
+    # blocks lie whole and in order inside a partition; many small files share one
     return (
         narrow.join(entries, block_keys, "left")
         .fillna({"_entry": "", "_base": 0})
-        .groupBy(*block_keys)
-        .applyInPandas(replay, out_type)
+        .repartition(*block_keys)
+        .sortWithinPartitions(*block_keys, position)
+        .mapInPandas(replay, out_type)
     )
