@@ -40,6 +40,16 @@ def canonical(value, digits: int = 6):
     return value
 
 
+SAME_TYPES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def same_type(spark_type: str, duck_type: str) -> bool:
+    return SAME_TYPES.get(spark_type) == duck_type
+
+
 def bag(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(canonical(r[i]) for i in order) for r in rows), key=repr)
@@ -66,6 +76,10 @@ def compare(spark, con, sf_dir, name, query):
     columns = [d[0] for d in result.description]
     expected = result.fetchall()
     duck_took = time.time() - start
+    kinds = {d[0]: str(d[1]) for d in result.description}
+    odd = {c: (t, kinds.get(c)) for c, t in df.dtypes if not same_type(t, kinds.get(c, ""))}
+    if odd:
+        print(f"     types of {name}: {odd}", flush=True)
     if sorted(columns) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} != {sorted(columns)}"
     a, b = bag(df.columns, rows), bag(columns, expected)

@@ -589,7 +589,7 @@ QUERIES: dict[str, Query] = {
             I.spark_view(
                 sp, d,
                 "SELECT concat(url, CASE page_id % 5 WHEN 0 THEN '.csv' WHEN 1 THEN '.XLSX' WHEN 2 THEN '.txt' WHEN 3 THEN '.pdf' "
-                "ELSE '.CSV' END) AS path, length(html) AS file_size_bytes FROM {pages}",
+                "ELSE '.CSV' END) AS path, CAST(length(html) AS BIGINT) AS file_size_bytes FROM {pages}",
             ),
             max_bytes=2000,
         ),
@@ -602,7 +602,7 @@ QUERIES: dict[str, Query] = {
         _envelopes,
         L(
             "SELECT ingestion_log_id AS file_id, 'reconstructed' AS status, count(*) AS n_rows, round(sum(weight_kg), 4) AS sum_weight, "
-            "0.88 AS confidence, CAST(1 AS BIGINT) AS anomalies_repaired FROM shipments GROUP BY 1"
+            "CAST(0.88 AS DOUBLE) AS confidence, CAST(1 AS BIGINT) AS anomalies_repaired FROM shipments GROUP BY 1"
         ),
     ),
 }

@@ -111,7 +111,7 @@ QUERIES: dict[str, Query] = {
     "manifest_report": Query(
         lambda sp, d: M.manifest_report(manifest_rows(sp, d)),
         "SELECT CAST(f AS VARCHAR) AS file_id, count(*) AS rows_in, CAST(sum(CASE WHEN r % 97 = 5 THEN 0 ELSE 1 END) AS BIGINT) AS rows_out, "
-        "CAST(sum(CASE WHEN r % 97 = 5 THEN 1 ELSE 0 END) AS BIGINT) AS rows_rejected, 0.88 AS confidence, 1 AS anomalies_repaired "
+        "CAST(sum(CASE WHEN r % 97 = 5 THEN 1 ELSE 0 END) AS BIGINT) AS rows_rejected, CAST(0.88 AS DOUBLE) AS confidence, 1 AS anomalies_repaired "
         f"FROM ({I.duck(BODY)}) GROUP BY f",
     ),
 }

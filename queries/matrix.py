@@ -256,8 +256,8 @@ QUERIES: dict[str, Query] = {
             "p_partkey", C.header_type(F.col("name")).alias("h"), C.value_type(F.col("val")).alias("t"),
             C.is_anchor_name(F.col("name")).alias("is_key"),
         ).withColumn("fit", C.type_match(F.col("h"), F.col("t"))),
-        f"SELECT *, CASE WHEN t = 'empty' THEN 0.5 WHEN h = t THEN 1.0 WHEN h = 'categorical' AND t IN ('categorical', 'numeric') THEN 0.8 "
-        f"ELSE 0.0 END AS fit FROM (SELECT p_partkey, {HT_SQL} AS h, {VT_SQL} AS t, "
+        f"SELECT *, CAST(CASE WHEN t = 'empty' THEN 0.5 WHEN h = t THEN 1.0 WHEN h = 'categorical' AND t IN ('categorical', 'numeric') THEN 0.8 "
+        f"ELSE 0.0 END AS DOUBLE) AS fit FROM (SELECT p_partkey, {HT_SQL} AS h, {VT_SQL} AS t, "
         f"regexp_matches(replace(lower(name), ' ', '_'), {KEY_WORDS}) AND regexp_matches(replace(lower(name), ' ', '_'), 'id|txn|transaction|uuid') AS is_key "
         f"FROM ({I.duck(NAMES)}))",
     ),

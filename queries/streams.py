@@ -79,7 +79,7 @@ QUERIES: dict[str, Query] = {
     "stream_dedup": Query(_dedup, "SELECT DISTINCT user_id, CAST(1 AS BIGINT) AS n FROM events"),
     "stream_ingest": Query(
         _ingest,
-        "SELECT shipment_id, material_type, weight_kg, predicted_delay_hours, status, origin_hub, 19.0760 AS origin_lat, "
-        f"77.1025 AS destination_lng FROM ({CANONICAL_SQL})",
+        "SELECT shipment_id, material_type, weight_kg, predicted_delay_hours, status, origin_hub, CAST(19.0760 AS DOUBLE) AS origin_lat, "
+        f"CAST(77.1025 AS DOUBLE) AS destination_lng FROM ({CANONICAL_SQL})",
     ),
 }

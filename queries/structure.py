@@ -11,7 +11,7 @@ from tablemend.plans import reconstruct as RC
 from . import Query
 from . import inputs as I
 from .inputs import DOC_CELLS, HEADED_CELLS, ORDER_CELLS, similarity_sql, with_cells
-from .matrix import HEADER_CONF_SQL, LABELS_CTE, ROW_STATS_CTE, SPAN_SQL, anchor_hit_sql, near
+from .matrix import HEADER_CONF_SQL, LABELS_CTE, ROW_STATS_CTE, SPAN_SQL, STABILITY_CTE, anchor_hit_sql, near
 
 
 def _active(rows):
@@ -408,10 +408,13 @@ QUERIES: dict[str, Query] = {
     "reconstruct_cycle": Query(_cycle_records, CUSTOMERS_SQL),
     "validate_periodic": Query(
         _validate_periodic,
-        "SELECT CAST(c_custkey % 16 AS VARCHAR) AS file_id, CAST(3 AS BIGINT) AS cycle, true AS periodic_valid, 1.0 AS completeness, "
-        "1.0 AS length_stability FROM customer GROUP BY 1",
+        "SELECT CAST(c_custkey % 16 AS VARCHAR) AS file_id, CAST(3 AS BIGINT) AS cycle, true AS periodic_valid, CAST(1 AS DOUBLE) AS completeness, "
+        "CAST(1 AS DOUBLE) AS length_stability FROM customer GROUP BY 1",
+    ),
+    "best_cycles": Query(
+        _best_cycles,
+        with_cells(DOC_CELLS, f", {SPAN_SQL}, {COMPACT_SPAN_SQL}, {STABILITY_CTE}, {CYCLE_CTE} {BEST_CYCLE_SELECT}"),
     ),
-    "best_cycles": Query(_best_cycles, None),
     "reconstruct_customers": Query(_reconstructed_customers, CUSTOMERS_SQL),
     "reconstruct_orders": Query(lambda sp, d: _wide(RC.reconstruct(I.order_matrix(sp, d)).records, 4), ORDERS_SQL),
 }

@@ -32,6 +32,16 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set what results depend on (time zone) and, where the session is silent, our defaults."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    explicit = dict(spark.sparkContext.getConf().getAll())
+    for key, value in DEFAULTS.items():
+        if key not in explicit:
+            spark.conf.set(key, value)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a scratch one only where none is set."""
     context = spark.sparkContext
