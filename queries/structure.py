@@ -148,10 +148,6 @@ COMPACT_SPAN_SQL = (
 # --- boundaries ----------------------------------------------------------------
 
 
-def _analysed(rows):
-    return RC.analyse(rows)
-
-
 def _anchor_stats(spark, sf_dir):
     rows = P.profile_rows(I.order_matrix(spark, sf_dir))
     files = rows.select("file_id").distinct().withColumn("data_start", F.lit(1))
@@ -267,8 +263,12 @@ def _custom_segments(spark, sf_dir):
     )
 
 
-def _headed_structure(spark, sf_dir):
-    return _analysed(I.headed_matrix(spark, sf_dir))
+def _doc_headers(spark, sf_dir):
+    rows = P.profile_rows(I.doc_rows(spark, sf_dir))
+    active = P.active_rows(rows)
+    profile = P.dataset_profile(rows, active)
+    files, header = H.header_info(rows, H.data_start_scores(rows, active), profile)
+    return header.join(files.select("file_id", "hypothesis", "data_start"), "file_id")
 
 
 def _reconstructed_customers(spark, sf_dir):
@@ -310,11 +310,7 @@ def _cycle_records(spark, sf_dir):
     cycles = files.withColumn("cycle", F.lit(3))
     template = data.filter("j = 0").select("file_id", F.col("sigs").alias("template"))
     plan = cycles.join(template, "file_id").withColumn("bp", S.cycle_blueprint(F.col("template"), F.col("cycle")))
-    return _wide(K.flatten_groups(S_group_cycle(data, cycles), rows, plan), 5)
-
-
-def S_group_cycle(data, cycles):
-    return B.group_cycle(data, cycles)
+    return _wide(K.flatten_groups(B.group_cycle(data, cycles), rows, plan), 5)
 
 
 def _sparse_orders(spark, sf_dir):
@@ -364,6 +360,7 @@ QUERIES: dict[str, Query] = {
     "resolve_data_start_customers": Query(
         lambda sp, d: _resolve(I.headed_matrix(sp, d)), with_cells(HEADED_CELLS, f", {score_cte()} {RESOLVE_SELECT}")
     ),
+    "header_rows_docs": Query(_doc_headers),
     "cycle_scores_docs": Query(lambda sp, d: _cycle_scores(I.doc_rows(sp, d)), with_cells(DOC_CELLS, f", {CYCLE_CTE} {CYCLE_SELECT}")),
     "cycle_scores_orders": Query(lambda sp, d: _cycle_scores(I.order_matrix(sp, d)), with_cells(ORDER_CELLS, f", {CYCLE_CTE} {CYCLE_SELECT}")),
     "anchor_columns": Query(_anchor_stats, with_cells(ORDER_CELLS, ANCHOR_COLUMNS_SQL)),

@@ -113,6 +113,8 @@ def classify_cell(value: Column) -> Column:
     bare = F.translate(value, ",$", "")
     return (
         F.when(value.isNull() | (value == ""), "E")
+        # a leading letter settles it, unless the word may spell inf or nan
+        .when(value.rlike(r"^[\p{L}&&[^iInN]]"), "T")
         .when(is_date(value), "D")
         .when(is_number_text(bare), "N")
         .when(value.rlike(r"\p{L}"), "T")

@@ -13,6 +13,8 @@ are shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import cells as C, rows as R
@@ -69,7 +71,7 @@ def row_similarity(active: DataFrame) -> DataFrame:
     )
 
 
-def span_blocks(active: DataFrame, max_span: int = MAX_SPAN) -> DataFrame:
+def span_blocks(active: DataFrame, max_span: int = MAX_SPAN, keep: Sequence[str] = ()) -> DataFrame:
     """Every complete block of 2..max_span consecutive rows, by digest.
 
     A block that starts at ``seq`` belongs to the chunking with offset
@@ -78,13 +80,17 @@ def span_blocks(active: DataFrame, max_span: int = MAX_SPAN) -> DataFrame:
     spans = F.sequence(F.lit(2), F.greatest(F.least(F.lit(max_span), F.size("ahead")), F.lit(2)))
     return (
         active.filter(F.size("ahead") >= 2)
-        .select("file_id", "seq", "ahead", F.explode(spans).alias("span"))
+        .select("file_id", "seq", "ahead", *keep, F.explode(spans).alias("span"))
+        .withColumn("text", F.array_join(F.slice("ahead", F.lit(1), F.col("span")), "|"))
         .select(
             "file_id",
             "seq",
+            *keep,
             "span",
             (F.col("seq") % F.col("span")).cast("int").alias("offset"),
-            F.md5(F.array_join(F.slice("ahead", F.lit(1), F.col("span")), "|").cast("binary")).alias("block"),
+            # a 128-bit digest in two longs: fixed width, cheap to sort and to group by
+            F.xxhash64("text").alias("block"),
+            F.xxhash64(F.lit("|"), "text").alias("block2"),
         )
     )
 
@@ -93,7 +99,7 @@ def span_shares(active: DataFrame, max_span: int = MAX_SPAN) -> DataFrame:
     """Share of the most common block for every (file, span, offset)."""
     counts = (
         span_blocks(active, max_span)
-        .groupBy("file_id", "span", "offset", "block")
+        .groupBy("file_id", "span", "offset", "block", "block2")
         .agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
     )
     return (

@@ -18,12 +18,18 @@ CLASSES = ["D", "N", "T", "M"]
 KINDS = ["datetime", "numeric", "categorical"]
 
 
+def with_classes(tables: DataFrame) -> DataFrame:
+    """Add ``sig``, the classes of the values, so that every value is classified once."""
+    return tables if "sig" in tables.columns else tables.withColumn("sig", R.row_signature(F.col("values")))
+
+
 def column_counts(tables: DataFrame) -> DataFrame:
     """Per (table, column): rows, values, plain numbers and values of each class."""
-    cells = tables.select(*KEYS, F.posexplode("values").alias("col", "value"))
-    cls = C.classify_cell(F.col("value"))
-    plain = F.coalesce(C.is_number_text(F.col("value")), F.lit(False))
-    staged = cells.select(*KEYS, "col", "value", cls.alias("cls"), plain.alias("plain"))
+    cells = with_classes(tables).select(*KEYS, "sig", F.posexplode("values").alias("col", "value"))
+    cls = F.substr(F.col("sig"), F.col("col") + 1, F.lit(1))
+    # only dates and numbers by class can be plain numbers
+    plain = F.when(F.col("cls").isin("D", "N"), C.is_number_text(F.col("value"))).otherwise(False)
+    staged = cells.withColumn("cls", cls).select(*KEYS, "col", "value", "cls", plain.alias("plain"))
     return staged.groupBy(*KEYS, "col").agg(
         F.count("*").alias("n"),
         F.count("value").alias("nn"),
@@ -166,12 +172,14 @@ def record_coherence(tables: DataFrame, aligned: DataFrame) -> DataFrame:
             F.sum((F.col("copies") > 1).cast("long")).alias("n_duplicate_anchors"),
         )
     )
+    kind_at = lambda i: C.class_type(F.substr(F.col("sig"), i + 1, F.lit(1)))
     per_record = (
-        _sum(F.zip_with("kinds", "values", lambda k, v: C.internal_match(k, C.value_type(v)))) / F.size("values")
+        _sum(F.transform("kinds", lambda k, i: C.internal_match(k, kind_at(i)))) / F.size("values")
     )
     bonus = F.when(F.coalesce(C.is_anchor(F.get("values", F.col("anchor_col"))), F.lit(False)), 0.1).otherwise(0.0)
     internal = (
-        tables.join(with_key, KEYS)
+        with_classes(tables)
+        .join(with_key, KEYS)
         .groupBy(*KEYS)
         .agg(F.avg(F.least(F.lit(1.0), per_record + bonus)).alias("internal_with_key"))
     )
