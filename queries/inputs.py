@@ -60,9 +60,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spark_view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """A table stored in fewer splits than there are cores is spread before heavy row work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spark_view(spark: SparkSession, sf_dir: str, sql: str, spread_out: str | None = None) -> DataFrame:
     names = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
+    tables = {n: table(spark, sf_dir, n) for n in names}
+    if spread_out:
+        tables[spread_out] = spread(tables[spread_out])
+    return spark.sql(sql, **tables)
 
 
 def duck(sql: str) -> str:
@@ -137,15 +146,15 @@ def wide_to_rows(df: DataFrame, width: int) -> DataFrame:
 
 
 def matrix(spark, sf_dir):
-    return wide_to_rows(spark_view(spark, sf_dir, MATRIX), 2)
+    return wide_to_rows(spark_view(spark, sf_dir, MATRIX, "customer"), 2)
 
 
 def headed_matrix(spark, sf_dir):
-    return wide_to_rows(spark_view(spark, sf_dir, HEADED_MATRIX), 2)
+    return wide_to_rows(spark_view(spark, sf_dir, HEADED_MATRIX, "customer"), 2)
 
 
 def order_matrix(spark, sf_dir):
-    return wide_to_rows(spark_view(spark, sf_dir, ORDER_MATRIX), 4)
+    return wide_to_rows(spark_view(spark, sf_dir, ORDER_MATRIX, "orders"), 4)
 
 
 def doc_rows(spark, sf_dir):
@@ -154,7 +163,7 @@ def doc_rows(spark, sf_dir):
 
     from tablemend.sources import files
 
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").cast("string").alias("file_id"), "text")
     rows = files.rows_from_lines(files.explode_text(docs, "file_id", F.col("text")))
     return files.with_width(rows)
 

@@ -149,7 +149,7 @@ def _envelopes(spark, sf_dir):
     per_file = s.select("file_id").distinct().withColumns(
         {"confidence": F.lit(0.88), "anomalies_repaired": F.lit(1)}
     )
-    out = tables.to_envelope(s, per_file, block_rows=1 << 40)
+    out = tables.to_envelope(s, per_file)
     parsed = F.from_json(
         "envelope",
         "status string, data array<struct<shipment_id:string,weight_kg:double>>, confidence double, anomalies_repaired int",
@@ -161,6 +161,8 @@ def _envelopes(spark, sf_dir):
         F.round(F.aggregate("e.data", F.lit(0.0), lambda a, d: a + d["weight_kg"]), 4).alias("sum_weight"),
         F.col("e.confidence").alias("confidence"),
         F.col("e.anomalies_repaired").cast("long").alias("anomalies_repaired"),
+    ).groupBy("file_id", "status", "confidence", "anomalies_repaired").agg(
+        F.sum("n_rows").alias("n_rows"), F.round(F.sum("sum_weight"), 4).alias("sum_weight")
     )
 
 

@@ -12,15 +12,17 @@ from . import Query
 from . import inputs as I
 
 # file style: 0 clean header, 1 aliased header, 2 three header rows without a weight column
+# a file holds at most 5000 rows, so there are more files where there are more orders
+FILE = "o_orderkey % 48 + 48 * CAST(floor(o_orderkey / 240000) AS BIGINT)"
 BODY = """
-SELECT o_orderkey % 48 AS f, CAST(floor(o_orderkey / 48) AS BIGINT) AS r,
+SELECT {file} AS f, CAST(floor((o_orderkey % 240000) / 48) AS BIGINT) AS r,
        concat('SHP-', o_orderkey) AS sid, lower(n_name) AS org, n_name AS dst,
        CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END AS mat,
        CASE WHEN o_orderkey % 13 = 0 THEN 'heavy' WHEN o_orderkey % 13 = 1 THEN concat('-', o_custkey + 1) ELSE concat(o_custkey, '.5') END AS wt,
        CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat(o_orderkey % 60, '') END AS del,
        CASE WHEN o_orderkey % 17 = 0 THEN 'NaN' WHEN o_orderkey % 2 = 0 THEN 'Processing' ELSE 'failed' END AS st
 FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey
-"""
+""".replace("{file}", FILE)
 
 # every 97th row of a file is a repeated header label and must be rejected
 LINES = f"""
@@ -29,20 +31,20 @@ SELECT f, r + CASE WHEN f % 3 = 2 THEN 3 ELSE 1 END AS row_idx, CASE WHEN r % 97
        CASE WHEN f % 3 = 2 THEN dst ELSE mat END AS c3, CASE WHEN f % 3 = 2 THEN concat('item ', r) ELSE wt END AS c4, del AS c5, st AS c6
 FROM ({BODY})
 UNION ALL SELECT f, CAST(0 AS BIGINT), 'shipment_id', 'origin_hub', 'destination_hub', 'material_type', 'weight_kg', 'predicted_delay_hours', 'status'
-FROM (SELECT DISTINCT o_orderkey % 48 AS f FROM {{orders}}) WHERE f % 3 = 0
+FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 0
 UNION ALL SELECT f, CAST(0 AS BIGINT), 'uid', 'origin_terminal', 'target_terminal', 'cargo_class', 'm3_vol', 'disruption_index', 'tracking_state'
-FROM (SELECT DISTINCT o_orderkey % 48 AS f FROM {{orders}}) WHERE f % 3 = 1
+FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 1
 UNION ALL SELECT f, CAST(0 AS BIGINT), 'Core Shipment Indicators', '', 'Routing Vectors', '', 'Physical Specifications', 'Predictive Analytics', 'System Metrics'
-FROM (SELECT DISTINCT o_orderkey % 48 AS f FROM {{orders}}) WHERE f % 3 = 2
+FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 2
 UNION ALL SELECT f, CAST(1 AS BIGINT), 'Tracking Identification', '', 'Hub Locations', '', 'Cargo Details', 'Disruption Metrics', 'Tracking State'
-FROM (SELECT DISTINCT o_orderkey % 48 AS f FROM {{orders}}) WHERE f % 3 = 2
+FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 2
 UNION ALL SELECT f, CAST(2 AS BIGINT), 'ID', 'Type', 'Source Terminal', 'Target Terminal', 'Commodity', 'Expected Hours', 'Condition'
-FROM (SELECT DISTINCT o_orderkey % 48 AS f FROM {{orders}}) WHERE f % 3 = 2
+FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 2
 """
 
 
 def manifest_rows(spark, sf_dir):
-    lines = I.spark_view(spark, sf_dir, LINES)
+    lines = I.spark_view(spark, sf_dir, LINES, "orders")
     cells = F.transform(F.array(*[F.col(f"c{i}") for i in range(7)]), C.normalize_cell)
     return lines.select(
         F.col("f").cast("string").alias("file_id"), "row_idx", cells.alias("cells"), F.lit(7).alias("width")
@@ -105,7 +107,7 @@ QUERIES: dict[str, Query] = {
         "SELECT CAST(f AS VARCHAR) AS file_id, CAST(0 AS BIGINT) AS shipment_id, CAST(CASE WHEN f % 3 = 2 THEN 2 ELSE 1 END AS BIGINT) AS origin_hub, "
         "CAST(CASE WHEN f % 3 = 2 THEN 3 ELSE 2 END AS BIGINT) AS destination_hub, CAST(CASE WHEN f % 3 = 2 THEN 1 ELSE 3 END AS BIGINT) AS material_type, "
         "CAST(4 AS BIGINT) AS weight_kg, CAST(5 AS BIGINT) AS predicted_delay_hours, CAST(6 AS BIGINT) AS status "
-        "FROM (SELECT DISTINCT o_orderkey % 48 AS f FROM orders)",
+        f"FROM (SELECT DISTINCT {FILE} AS f FROM orders)",
     ),
     "process_manifest": Query(lambda sp, d: M.process_manifest(manifest_rows(sp, d)), CANONICAL_SQL),
     "manifest_report": Query(

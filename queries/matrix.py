@@ -64,7 +64,7 @@ def near(column, digits: int):
 
 
 def _soup(spark, sf_dir):
-    return I.spark_view(spark, sf_dir, SOUP).withColumn("v", C.normalize_cell(F.col("raw")))
+    return I.spark_view(spark, sf_dir, SOUP, "lineitem").withColumn("v", C.normalize_cell(F.col("raw")))
 
 
 SOUP_SQL = f"(SELECT *, {I.norm_sql('raw')} AS v FROM ({I.duck(SOUP)}))"

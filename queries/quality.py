@@ -30,7 +30,7 @@ ROTATED = (
 
 
 def _table(spark, sf_dir, sql, variant):
-    wide = I.spark_view(spark, sf_dir, sql.format(BASE))
+    wide = I.spark_view(spark, sf_dir, sql.format(BASE), "orders")
     return wide.select("file_id", F.lit(variant).alias("variant"), "record_id", F.array(*[f"v{i}" for i in range(5)]).alias("values"))
 
 

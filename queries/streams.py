@@ -55,10 +55,10 @@ def _ingest(spark, sf_dir):
     root = _scratch(spark, "ingest")
     lines = I.spark_view(spark, sf_dir, LINES)
     text = F.concat_ws(",", *[F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(7)])
-    files = lines.groupBy("f").agg(F.array_sort(F.collect_list(F.struct("row_idx", text.alias("line")))).alias("ls"))
-    files.select("f", F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("value")).repartition(
-        "f"
-    ).write.partitionBy("f").option("lineSep", "\n").text(f"{root}/in")
+    # one text file per manifest, its lines in order; nothing is gathered in memory
+    lines.select("f", "row_idx", text.alias("value")).repartition("f").sortWithinPartitions("f", "row_idx").select(
+        "f", "value"
+    ).write.partitionBy("f").text(f"{root}/in")
     J.drain(
         J.stream_ingest(spark, f"{root}/in/*/", f"{root}/store", f"{root}/state", dims.dim_geo_hubs(spark), files_per_batch=16)
     )

@@ -7,7 +7,6 @@ column as well as inside ``transform``/``filter`` over an array of cells.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -20,14 +19,14 @@ NA_TOKENS = [
 BLANKS = " \t\r\n\f\u000b "
 CELL_SEPARATOR = r"[\t,;|]"
 
-# Identifier patterns, first match wins.
+# Identifier patterns of a trimmed value from its start, first match wins.
 ANCHOR_PATTERNS = [
-    ("txn_prefix", r"(?i)^TXN[_-][A-Z0-9]+"),
-    ("order_prefix", r"(?i)^ORD[_-][A-Z0-9]+"),
-    ("invoice_prefix", r"(?i)^INV[_-][A-Z0-9]+"),
-    ("customer_prefix", r"(?i)^CUST[_-][A-Z0-9]+"),
-    ("student_prefix", r"(?i)^STU[_-][A-Z0-9]+"),
-    ("uuid", r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
+    ("txn_prefix", r"TXN[_-][A-Z0-9]+"),
+    ("order_prefix", r"ORD[_-][A-Z0-9]+"),
+    ("invoice_prefix", r"INV[_-][A-Z0-9]+"),
+    ("customer_prefix", r"CUST[_-][A-Z0-9]+"),
+    ("student_prefix", r"STU[_-][A-Z0-9]+"),
+    ("uuid", r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\s*$"),
 ]
 
 # Words in a column name that tell its semantic type.
@@ -45,6 +44,7 @@ ANCHOR_KEYWORDS = [
 
 NUMBER = r"^[+-]?(\d+(_\d+)*\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 NON_FINITE = r"(?i)^[+-]?(inf|infinity|nan)$"
+ANY_NUMBER = r"^\s*[+-]?((\d+(_\d+)*\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 ISO_DATE = (
     r"^\d{4}-\d{2}-\d{2}([ T]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,9})?)?"
     r"(Z|[+-]\d{2}:?\d{2})?)?$"
@@ -71,8 +71,7 @@ def split_line(line: Column) -> Column:
 
 
 def is_number_text(value: Column) -> Column:
-    text = strip(value)
-    return text.rlike(NUMBER) | text.rlike(NON_FINITE)
+    return value.rlike(ANY_NUMBER)
 
 
 def is_numeric(value: Column) -> Column:
@@ -86,7 +85,10 @@ def is_text(value: Column) -> Column:
 
 def is_date(value: Column) -> Column:
     """Closed list of date, time and year forms."""
-    text = strip(value)
+    return _is_date(strip(value))
+
+
+def _is_date(text: Column) -> Column:
     slash = F.split(text, "/")
     iso = (
         F.when(text.rlike(ISO_DATE), F.substring(text, 1, 10))
@@ -110,12 +112,21 @@ def is_date(value: Column) -> Column:
 
 def classify_cell(value: Column) -> Column:
     """E(mpty), D(ate), N(umber), T(ext) or M(ixed)."""
+    return classify_normalized(strip(value))
+
+
+def classify_normalized(value: Column) -> Column:
+    """As ``classify_cell`` for a cell without blanks around it.
+
+    Inside ``transform`` nothing is shared between branches, so trimming over
+    and over would cost more than the classification.
+    """
     bare = F.translate(value, ",$", "")
     return (
         F.when(value.isNull() | (value == ""), "E")
         # a leading letter settles it, unless the word may spell inf or nan
         .when(value.rlike(r"^[\p{L}&&[^iInN]]"), "T")
-        .when(is_date(value), "D")
+        .when(_is_date(value), "D")
         .when(is_number_text(bare), "N")
         .when(value.rlike(r"\p{L}"), "T")
         .otherwise("M")
@@ -124,17 +135,13 @@ def classify_cell(value: Column) -> Column:
 
 def match_anchor(value: Column) -> Column:
     """Name of the first identifier pattern the value matches, else NULL."""
-    text = strip(value)
-    return reduce(
-        lambda chain, item: chain.when(text.rlike(item[1]), item[0]),
-        ANCHOR_PATTERNS[1:],
-        F.when(text.rlike(ANCHOR_PATTERNS[0][1]), ANCHOR_PATTERNS[0][0]),
-    )
+    names = [F.when(value.rlike(rf"(?i)^\s*{body}"), name) for name, body in ANCHOR_PATTERNS]
+    return F.coalesce(*names)
 
 
 def is_anchor(value: Column) -> Column:
-    joined = "|".join(pattern.replace("(?i)", "") for _, pattern in ANCHOR_PATTERNS)
-    return F.coalesce(strip(value).rlike(f"(?i)({joined})"), F.lit(False))
+    bodies = "|".join(body for _, body in ANCHOR_PATTERNS)
+    return F.coalesce(value.rlike(rf"(?i)^\s*({bodies})"), F.lit(False))
 
 
 def looks_like_id(value: Column) -> Column:

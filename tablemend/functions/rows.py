@@ -40,7 +40,8 @@ def pad_cells(cells: Column, width: Column) -> Column:
 
 
 def row_signature(cells: Column) -> Column:
-    return F.array_join(F.transform(cells, C.classify_cell), "")
+    """One class per normalised cell."""
+    return F.array_join(F.transform(cells, C.classify_normalized), "")
 
 
 def full_signature(cells: Column, width: Column) -> Column:

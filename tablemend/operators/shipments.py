@@ -200,11 +200,11 @@ def new_shipments(incoming: DataFrame, existing: DataFrame, dedup: str | None =
     """Rows with an id that is not stored yet.
 
     Copies inside the incoming data are kept, unless ``dedup='file'`` keeps the
-    first by ``(file_id, row_idx)``. The stored ids are not made distinct: an
-    anti join needs no distinct build side.
+    first by ``(file_id, row_idx)``. Stored ids are made distinct first: that
+    folds the copies of a hot id before the shuffle the join needs anyway.
     """
     fresh = incoming.filter(F.col("shipment_id").isNotNull() & (F.col("shipment_id") != "")).join(
-        existing.select("shipment_id"), "shipment_id", "left_anti"
+        existing.select("shipment_id").distinct(), "shipment_id", "left_anti"
     )
     if dedup is None:
         return fresh

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.shipments import to_stored
 from ..plans.manifest import process_manifest
-from ..session import ensure_checkpoint_dir
+from ..session import cut
 from ..sources.files import explode_text, rows_from_lines, with_width
 from .sinks import read_batches, write_batch
 
@@ -40,7 +40,7 @@ def unseen(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     and against a small batch it is scanned in place instead of shuffled.
     """
     ids = incoming.filter("shipment_id <> ''").select("shipment_id").distinct()
-    known = existing.select("shipment_id").join(ids, "shipment_id", "left_semi")
+    known = existing.select("shipment_id").join(ids, "shipment_id", "left_semi").distinct()
     return incoming.filter("shipment_id <> ''").join(known, "shipment_id", "left_anti")
 
 
@@ -49,9 +49,8 @@ def ingest_batch(hubs: DataFrame, store: str) -> Callable[[DataFrame, int], None
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        ensure_checkpoint_dir(spark)
         # the source files are read once per batch
-        raw = with_width(rows_from_lines(explode_text(batch, "file_id", F.col("value")))).checkpoint()
+        raw = cut(with_width(rows_from_lines(explode_text(batch, "file_id", F.col("value")))))
         fresh = unseen(process_manifest(raw), read_batches(spark, store, STORED_SCHEMA, before=batch_id))
         log_id = F.regexp_extract("file_id", r"([^/]+)$", 1)
         write_batch(to_stored(fresh, hubs, log_id), store, batch_id)
@@ -119,7 +118,7 @@ def stream_dedup(
     def run(batch: DataFrame, batch_id: int) -> None:
         existing = read_batches(batch.sparkSession, store, schema, before=batch_id)
         ids = batch.select(key).distinct()
-        known = existing.select(key).join(ids, key, "left_semi")
+        known = existing.select(key).join(ids, key, "left_semi").distinct()
         write_batch(batch.join(known, key, "left_anti"), store, batch_id)
 
     return (
