@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe
-from .common import table
+from . import byte_bpe, secret_ledger, spans
+from .common import scratch, table
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,21 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ledger = secret_ledger.update(spark, docs, scratch(spark, "ledger"))
+    found = secret_ledger.by_path(docs, ledger)
+    base = F.filter("findings", lambda s: s["order"] < 3)
+    kinds = [rule.kind for rule in secret_ledger.RULES[:3]]
+    return found.select(
+        "doc_id",
+        *[spans.count(F.col("findings"), kind).alias(f"n_{kind}") for kind in kinds],
+        F.sha2(spans.joined(spans.untold(base)), 256).alias("base_sha256"),
+        spans.joined(spans.untold(F.col("findings"))).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op3_byte_bpe": Query(op3_byte_bpe),
+    "op7_secret_ledger": Query(op7_secret_ledger),
 }
