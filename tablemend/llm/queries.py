@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe, secret_ledger, spans
+from . import byte_bpe, pii_boosting, secret_ledger, spans
 from .common import scratch, table
 
 
@@ -23,6 +23,17 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii_boosting.find(docs, pii_boosting.fit(docs))
+    return found.select(
+        "doc_id",
+        *[spans.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii_boosting.KINDS],
+        F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"),
+        spans.joined(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger = secret_ledger.update(spark, docs, scratch(spark, "ledger"))
@@ -39,5 +50,6 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_byte_bpe": Query(op3_byte_bpe),
+    "op4_pii_boosting": Query(op4_pii_boosting),
     "op7_secret_ledger": Query(op7_secret_ledger),
 }

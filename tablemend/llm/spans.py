@@ -44,33 +44,47 @@ def running_sum(values: Column) -> Column:
 
 
 def matches(
-    text: Column, pattern: str, keep: Callable[[Column], Column] | None = None, group: int = 0, when: Column | None = None
+    text: Column,
+    pattern: str,
+    keep: Callable[[Column], Column] | None = None,
+    group: int = 0,
+    when: Column | None = None,
+    context: int = 0,
 ) -> Column:
     """Leftmost non-overlapping matches of a pattern: start, end and the text of ``group``.
 
-    ``keep`` drops matches by that text, after matching; ``when`` skips texts that cannot match.
+    ``keep`` drops matches by that text, after matching; ``when`` skips texts that cannot match. With a
+    ``context`` spans also have ``left`` and ``right``, that many characters between a match and its neighbours.
     """
+    kind = SPAN if not context else SPAN.replace("value:string", "value:string,left:string,right:string")
     size = lambda parts: F.transform(parts, lambda x: F.length(x).cast("long"))
 
-    def place(found: Column) -> Column:
-        between = F.split(text, pattern, -1)
+    def place(found: Column, between: Column) -> Column:
         # the text is between[0] found[0] between[1] found[1] ...
-        sizes = F.flatten(F.transform(F.arrays_zip(size(between).alias("b"), size(found).alias("f")), lambda z: F.array(z["b"], F.coalesce(z["f"], F.lit(0)))))
+        both = F.arrays_zip(size(between).alias("b"), size(found).alias("f"))
+        sizes = F.flatten(F.transform(both, lambda z: F.array(z["b"], F.coalesce(z["f"], F.lit(0)))))
         values = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+        def span(z: Column, at: Column, ends: Column) -> Column:
+            fields = [ends[2 * at].alias("start"), ends[2 * at + 1].alias("end"), z["v"].alias("value")]
+            if context:
+                fields += [
+                    F.right(between[at], F.lit(context)).alias("left"),
+                    F.left(between[at + 1], F.lit(context)).alias("right"),
+                ]
+            return F.struct(*fields)
+
         return let(
             running_sum(sizes),
-            lambda ends: F.transform(
-                F.arrays_zip(values.alias("v")),
-                lambda z, at: F.struct(
-                    ends[2 * at].alias("start"), ends[2 * at + 1].alias("end"), z["v"].alias("value")
-                ),
-            ),
+            lambda ends: F.transform(F.arrays_zip(values.alias("v")), lambda z, at: span(z, at, ends)),
         )
 
-    empty = F.array().cast(SPAN)
+    empty = F.array().cast(kind)
     found = let(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda all_of: F.when(F.size(all_of) > 0, place(all_of)).otherwise(empty),
+        lambda all_of: F.when(
+            F.size(all_of) > 0, let(F.split(text, pattern, -1), lambda between: place(all_of, between))
+        ).otherwise(empty),
     )
     if keep is not None:
         found = F.filter(found, lambda span: keep(span["value"]))
