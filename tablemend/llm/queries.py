@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe, pii_boosting, secret_ledger, spans
+from . import byte_bpe, pii_boosting, rule_ledger, secret_ledger, spans
 from .common import scratch, table
 
 
@@ -34,6 +34,44 @@ def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rule_ledger.ledger(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        (~rule_ledger.passes("base-1")).alias("base_failed"),
+        rule_ledger.passes("keep-2").alias("kept"),
+        "failed",
+    )
+
+
+OP6_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
+             list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+g AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS tri
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, tri) > 1),
+n AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM r CROSS JOIN range(0, 3) o(o) GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+             length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines,
+             len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+             len(list_filter(ws, lambda x: regexp_matches(x, '\\p{L}'))) AS n_letter_words,
+             coalesce(list_max(list_transform(ws, lambda x: length(x))), 0) AS longest_word
+      FROM w LEFT JOIN n USING (doc_id)),
+f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+             + 8 * (100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words)::INT
+             + 32 * (word_chars > 20 * n_words)::INT + 64 * (100 * n_letter_words < 40 * n_words)::INT
+             + 128 * (longest_word > 1000)::INT AS BIGINT) AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+""".replace("\\\\", "\\")
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger = secret_ledger.update(spark, docs, scratch(spark, "ledger"))
@@ -51,5 +89,6 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_byte_bpe": Query(op3_byte_bpe),
     "op4_pii_boosting": Query(op4_pii_boosting),
+    "op6_rule_ledger": Query(op6_rule_ledger, OP6_SQL),
     "op7_secret_ledger": Query(op7_secret_ledger),
 }
