@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe, pii_boosting, rule_ledger, secret_ledger, spans
+from . import byte_bpe, imatch, pii_boosting, rule_ledger, secret_ledger, spans
 from .common import scratch, table
 
 
@@ -34,6 +34,20 @@ def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = imatch.fingerprints(docs, imatch.lexicon(docs))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
 def op6_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rule_ledger.ledger(table(spark, sf_dir, "documents"))
     return rows.select(
@@ -89,6 +103,7 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_byte_bpe": Query(op3_byte_bpe),
     "op4_pii_boosting": Query(op4_pii_boosting),
+    "op5_imatch": Query(op5_imatch),
     "op6_rule_ledger": Query(op6_rule_ledger, OP6_SQL),
     "op7_secret_ledger": Query(op7_secret_ledger),
 }

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import let
+from .common import let, saved
 
 FINDINGS = "array<struct<rule:string,start:bigint,order:int,end:bigint,kind:string>>"
 LEDGER = f"blob binary, rules array<string>, findings {FINDINGS}"
@@ -140,11 +140,13 @@ def update(spark: SparkSession, docs: DataFrame, ledger_dir: str, rules: Sequenc
 def by_path(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", **columns) -> DataFrame:
     """One row per path and version: ``blob`` and the findings of the given rules in it."""
     known = _key_array(rules)
-    found = (
+    # saved, so that the join below deals out both sides anew and can split a blob that many paths show
+    found = saved(
         ledger.groupBy("blob")
         .agg(F.flatten(F.collect_list("findings")).alias("findings"))
         .select("blob", F.filter("findings", lambda s: F.array_contains(known, s["rule"])).alias("findings"))
-        .where(F.size("findings") > 0)
+        .where(F.size("findings") > 0),
+        "findings",
     )
     return (
         versions(docs, id_col, **columns)
