@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe, imatch, pii_boosting, rule_ledger, secret_ledger, spans
+from . import byte_bpe, compression_quality, imatch, pii_boosting, rule_ledger, secret_ledger, spans
 from .common import scratch, table
 
 
+def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    taught = compression_quality.labelled(docs, table(spark, sf_dir, "labels"))
+    scored = compression_quality.score(docs, compression_quality.fit(taught))
+    return scored.select(
+        "doc_id",
+        compression_quality.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= compression_quality.ACCEPT, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -101,6 +113,7 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_compression_quality": Query(op1_compression_quality),
     "op3_byte_bpe": Query(op3_byte_bpe),
     "op4_pii_boosting": Query(op4_pii_boosting),
     "op5_imatch": Query(op5_imatch),
