@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe, compression_quality, imatch, pii_boosting, rule_ledger, secret_ledger, spans
+from . import byte_bpe, compression_quality, imatch, pii_boosting, rule_ledger, secret_ledger, spans, wrappers
 from .common import scratch, table
 
 
@@ -112,6 +112,11 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.extracted(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_compression_quality": Query(op1_compression_quality),
     "op3_byte_bpe": Query(op3_byte_bpe),
@@ -119,4 +124,5 @@ QUERIES: dict[str, Query] = {
     "op5_imatch": Query(op5_imatch),
     "op6_rule_ledger": Query(op6_rule_ledger, OP6_SQL),
     "op7_secret_ledger": Query(op7_secret_ledger),
+    "op8_wrappers": Query(op8_wrappers),
 }
