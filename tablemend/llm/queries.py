@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe, compression_quality, imatch, pii_boosting, rule_ledger, secret_ledger, spans, wrappers
+from . import byte_bpe, compression_quality, imatch, pii_boosting, recompression, rule_ledger, secret_ledger, spans, wrappers
 from .common import scratch, table
 
 
@@ -117,6 +117,11 @@ def op8_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_compression_quality": Query(op1_compression_quality),
     "op3_byte_bpe": Query(op3_byte_bpe),
@@ -125,4 +130,5 @@ QUERIES: dict[str, Query] = {
     "op6_rule_ledger": Query(op6_rule_ledger, OP6_SQL),
     "op7_secret_ledger": Query(op7_secret_ledger),
     "op8_wrappers": Query(op8_wrappers),
+    "op9_recompression": Query(op9_recompression),
 }
