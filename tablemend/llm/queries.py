@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe, compression_quality, imatch, pii_boosting, recompression, rule_ledger, secret_ledger, spans, wrappers
+from . import byte_bpe, compression_quality, imatch, ngram_join, pii_boosting, recompression, rule_ledger, secret_ledger, spans, wrappers
 from .common import scratch, table
 
 
@@ -24,6 +24,10 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -124,6 +128,7 @@ def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_compression_quality": Query(op1_compression_quality),
+    "op2_ngram_jaccard_join": Query(op2_ngram_jaccard_join),
     "op3_byte_bpe": Query(op3_byte_bpe),
     "op4_pii_boosting": Query(op4_pii_boosting),
     "op5_imatch": Query(op5_imatch),

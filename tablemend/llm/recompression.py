@@ -11,7 +11,7 @@ A repeated window shows only names that occur twice or more anywhere. Spark coun
 are verified: Spark counts their 128-bit hashes of all words. Nothing else is sampled or bounded: every window of every
 text is judged.
 
-Documents travel in blocks of about ``BLOCK_BYTES``; names and windows are folded to one row per block before they
+Documents travel in blocks of a few MB; names and windows are folded to one row per block before they
 are dealt out by name, so a passage that a third of all documents share gives one row per block. Blocks are joined
 back by their number.
 
@@ -27,72 +27,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_of, saved, slices
+from .blocks import OTHER, PRIME, U64, mix, powers, to_blocks, unpacked, word_hashes
+from .common import field_of, saved
 
 WINDOW = 35
 #: rounds of pairs; further rounds leave windows of 35 words without a whole name
 ROUNDS = 5
 #: names of fewer words are too common to tell windows apart
 NAME_WORDS = 4
-#: text bytes of a block, unless one document is larger
-BLOCK_BYTES = 4 << 20
-#: bytes of text that are hashed at a time
-_CHUNK = 1 << 20
-
-_U = np.uint64
-_PRIME, _OTHER = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads every bit."""
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> _U(33))
-    x = x * _U(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> _U(33))
-
-
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    powers = np.full(n, base, np.uint64)
-    powers[:1] = 1
-    return np.multiply.accumulate(powers)
-
-
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word of a text in UTF-8."""
-    hashes, starts = [], []
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + _CHUNK)
-        while end < len(data) and not (data[end] == 32 or 9 <= data[end] <= 13):
-            end += 1
-        raw = np.frombuffer(data, np.uint8, end - at, at)
-        inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
-        edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        if len(first):
-            sizes = last - first
-            within = np.zeros(len(raw), np.int64)
-            within[first[0] :] = np.arange(first[0], len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
-            powers = _powers(_PRIME, int(sizes.max()) + 1)
-            parts = np.where(inside, _BYTES[raw] * powers[np.minimum(within, len(powers) - 1)], _U(0))
-            hashes.append(mix(np.add.reduceat(parts, first) + sizes.astype(np.uint64) * _OTHER))
-            starts.append(first + at)
-        at = end
-    if not hashes:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(starts)
-
 
 @dataclass
 class Parse:
@@ -128,10 +74,10 @@ def parse(texts: list[str | None], window: int = WINDOW, rounds: int = ROUNDS) -
             heads = np.flatnonzero(fresh)
             length = np.diff(np.append(heads, size))
             place = np.append(np.cumsum(fresh) - 1, len(heads))
-            renamed = np.where(length > 1, mix(names[heads] * _OTHER + length.astype(np.uint64)), names[heads])
+            renamed = np.where(length > 1, mix(names[heads] * OTHER + length.astype(np.uint64)), names[heads])
             low, high = place[low] + 1, place[high - 1]
         else:  # pairs; a right symbol at the start, or a left one at the end, may pair with one outside
-            right = (mix(names ^ _U(turn * 0x12345677)) & _U(1)).astype(bool)
+            right = (mix(names ^ U64(turn * 0x12345677)) & U64(1)).astype(bool)
             pair = np.zeros(size, bool)
             pair[:-1] = ~right[:-1] & right[1:] & (of[:-1] == of[1:])
             fresh = np.ones(size, bool)
@@ -139,7 +85,7 @@ def parse(texts: list[str | None], window: int = WINDOW, rounds: int = ROUNDS) -
             heads = np.flatnonzero(fresh)
             place = np.append(np.cumsum(fresh) - 1, len(heads))
             following = names[np.minimum(heads + 1, size - 1)]
-            renamed = np.where(pair[heads], mix(names[heads] * _PRIME + mix(following) + _U(turn)), names[heads])
+            renamed = np.where(pair[heads], mix(names[heads] * PRIME + mix(following) + U64(turn)), names[heads])
             padded = np.append(right, False)
             first = np.minimum(low, size)
             low = place[np.minimum(first + padded[first], size)]
@@ -165,9 +111,9 @@ def candidates(parsed: Parse, shared: np.ndarray) -> np.ndarray:
 def window_hashes(parsed: Parse, starts: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of all words of windows."""
     pair = []
-    for base in (_PRIME, _OTHER):
+    for base in (PRIME, OTHER):
         total = np.zeros(len(starts), np.uint64)
-        for at, power in enumerate(_powers(base, window)):
+        for at, power in enumerate(powers(base, window)):
             total += parsed.words[starts + at] * power
         pair.append(mix(total))
     return pair[0], pair[1]
@@ -182,42 +128,6 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return first[heads], second[heads], np.diff(np.append(heads, len(first)))
 
 
-def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in numbered, compressed blocks, written to the shared folder so that every pass reads the same ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
-        press = zstandard.ZstdCompressor(level=3)
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def block() -> pa.RecordBatch:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as stream:
-                for part in held:
-                    stream.write_batch(part)
-            packed = press.compress(sink.getvalue().to_pybytes())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([packed], pa.binary())], names=["block", "rows"])
-
-        for batch in batches:
-            lengths = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
-            for start, end in slices(batch, lengths):
-                more = sum(lengths[start:end])
-                if held and size + more > BLOCK_BYTES:
-                    yield block()
-                    number, size, held = number + 1, 0, []
-                held.append(batch.slice(start, end - start))
-                size += more
-        if held:
-            yield block()
-
-    return saved(docs.select(id_col, text_col).mapInArrow(run, "block bigint, rows binary"), "blocks")
-
-
-def unpacked(rows: bytes) -> pa.Table:
-    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rows)).read_all()
-
-
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
