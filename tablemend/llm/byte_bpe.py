@@ -28,10 +28,10 @@ from .common import field_of, slices
 PIECE = 1 << 16
 
 #: Unicode white space as the splitting pattern's engine has it
-_BLANK = "".join(
+BLANK = "".join(
     map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
-_SAFE = re.compile(f"(?<=[^{_BLANK}])(?=[{_BLANK}])")
+_SAFE = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])")
 
 
 @lru_cache(maxsize=4)

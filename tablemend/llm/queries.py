@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe, compression_quality, imatch, ngram_join, pii_boosting, recompression, rule_ledger, secret_ledger, spans, wrappers
+from . import byte_bpe, compression_quality, imatch, lexical_packing, ngram_join, pii_boosting, recompression, rule_ledger, secret_ledger, spans, wrappers
 from .common import scratch, table
 
 
@@ -126,6 +126,11 @@ def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lexical_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_compression_quality": Query(op1_compression_quality),
     "op2_ngram_jaccard_join": Query(op2_ngram_jaccard_join),
@@ -136,4 +141,5 @@ QUERIES: dict[str, Query] = {
     "op7_secret_ledger": Query(op7_secret_ledger),
     "op8_wrappers": Query(op8_wrappers),
     "op9_recompression": Query(op9_recompression),
+    "op10_lexical_packing": Query(op10_lexical_packing),
 }
