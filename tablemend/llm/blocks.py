@@ -70,8 +70,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(starts)
 
 
-def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in numbered, compressed blocks, written to the shared folder so that every pass reads the same ones."""
+def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = ()) -> DataFrame:
+    """Documents in numbered, compressed blocks, written to the shared folder so that every pass reads the same ones.
+
+    Blocks hold the id first, then the text, then the other columns.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() * BLOCKS
@@ -100,7 +103,7 @@ def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         if held:
             yield block()
 
-    return saved(docs.select(id_col, text_col).mapInArrow(run, "block bigint, rows binary"), "blocks")
+    return saved(docs.select(id_col, text_col, *others).mapInArrow(run, "block bigint, rows binary"), "blocks")
 
 
 def unpacked(rows: bytes) -> pa.Table:

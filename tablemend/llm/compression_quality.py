@@ -162,15 +162,17 @@ def fit(
     return Model(raw.good, raw.bad, weights, prior)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The kept columns and ``score``: the probability that a text is good."""
+def score(
+    docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", output: str = "score"
+) -> DataFrame:
+    """The kept columns and the score: the probability that a text is good."""
     keep = ["doc_id"] if keep is None else keep
     if not model.weights:
-        return docs.select(*keep, F.lit(float(model.prior)).alias("score"))
+        return docs.select(*keep, F.lit(float(model.prior)).alias(output))
     weights = np.array(model.weights)
 
     def run(inputs: list[list[float]]) -> pa.Array:
         margin = np.clip(np.array(inputs).reshape(-1, len(weights)) @ weights, -30, 30)
         return pa.array(1 / (1 + np.exp(-margin)), pa.float64())
 
-    return _map(docs, keep, text_col, model, [T.StructField("score", T.DoubleType())], run)
+    return _map(docs, keep, text_col, model, [T.StructField(output, T.DoubleType())], run)

@@ -270,25 +270,24 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("key"), F.col("b").alias("least"))
 
 
-def near_classes(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL
-) -> DataFrame:
-    """One row per document: id, ``class_id``, ``n_links`` (other documents it is alike) and ``kept`` (one per class)."""
-    blocks = to_blocks(docs, id_col, text_col)
-    rows = saved(_signed(blocks, field_of(docs, id_col), depth(similarity, recall)), "signed")
+def _classes(blocks: DataFrame, id_field: T.StructField, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Per document: key, id, ``least`` key of its class and links; and per class its first document."""
+    rows = saved(_signed(blocks, id_field, depth(similarity, recall)), "signed")
     # documents with equal sets are one member, known by its least key
     sets = saved(
         rows.groupBy("set_a", "set_b").agg(F.min("key").alias("key"), F.count("*").alias("weight")), "sets"
     )
     reps = rows.select("key", "paths").join(sets.select("key", "weight"), "key")
     walks = reps.select("key", F.posexplode("paths").alias("tree", "path"))
-    meeting = saved(
-        walks.groupBy("tree", "path").agg(F.count("*").alias("n")).where("n > 1")
-        .withColumn("parts", F.ceil(F.col("n") / MEMBERS).cast("int")), "meeting",
-    )
+    meeting = (
+        walks.groupBy("tree", "path")
+        .agg(F.count("*").alias("n"))
+        .where("n > 1")
+        .withColumn("parts", F.ceil(F.col("n") / MEMBERS).cast("int"))
+    )
     part = F.pmod(F.xxhash64("key", "tree"), F.col("parts")).cast("int")
     meets = (
-        walks.join(meeting, ["tree", "path"])
+        walks.join(saved(meeting, "meeting"), ["tree", "path"])
         .withColumn("part", part)
         .groupBy("key")
         .agg(F.collect_list(F.struct("tree", "path", "part", "parts")).alias("meets"))
@@ -297,17 +296,46 @@ def near_classes(
     links = saved(_links(_members(blocks, wanted), similarity), "links")
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
     classes = connected(links.select(F.col("key").alias("a"), F.col("other").alias("b")))
-    known = saved(
+    n_links = F.coalesce("links", F.lit(0)) + F.col("weight") - 1
+    known = (
         sets.join(counts, "key", "left")
         .join(classes, "key", "left")
-        .select("set_a", "set_b", F.coalesce("least", "key").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")),
-        "known",
-    )
-    found = rows.select("key", id_col, "set_a", "set_b").join(known, ["set_a", "set_b"])
-    found = saved(found.select("key", id_col, "least", "n_links"), "found")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("key"))
-    firsts = saved(
-        found.groupBy("least").agg(F.min_by(F.struct(F.col(id_col).alias("id"), F.col("key").alias("key")), order).alias("f"))
-        .select("least", F.col("f.id").alias("class_id"), F.col("f.key").alias("first")), "firsts",
-    )
-    return found.join(firsts, "least").select(id_col, "class_id", "n_links", (F.col("key") == F.col("first")).alias("kept"))
+        .select("set_a", "set_b", F.coalesce("least", "key").alias("least"), n_links.alias("n_links"))
+    )
+    name = id_field.name
+    found = rows.select("key", name, "set_a", "set_b").join(saved(known, "known"), ["set_a", "set_b"])
+    found = saved(found.select("key", name, "least", "n_links"), "found")
+    order = F.struct(F.col(name).isNull(), F.col(name), F.col("key"))
+    first = F.min_by(F.struct(F.col(name).alias("id"), F.col("key").alias("key")), order)
+    firsts = found.groupBy("least").agg(first.alias("f"))
+    return found, saved(firsts.select("least", F.col("f.id").alias("class_id"), F.col("f.key").alias("first")), "firsts")
+
+
+def near_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL
+) -> DataFrame:
+    """One row per document: id, ``class_id``, ``n_links`` (other documents it is alike) and ``kept`` (one per class)."""
+    found, firsts = _classes(to_blocks(docs, id_col, text_col), field_of(docs, id_col), similarity, recall)
+    kept = (F.col("key") == F.col("first")).alias("kept")
+    return found.join(firsts, "least").select(id_col, "class_id", "n_links", kept)
+
+
+def one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL
+) -> DataFrame:
+    """The first document of each class, with all columns."""
+    others = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    blocks = to_blocks(docs, id_col, text_col, others)
+    _, firsts = _classes(blocks, field_of(docs, id_col), similarity, recall)
+    places = firsts.groupBy(F.floor(F.col("first") / BLOCK_ROWS).alias("block")).agg(
+        F.collect_list(F.col("first") % BLOCK_ROWS).alias("places")
+    )
+    schema = T.StructType([field_of(docs, c) for c in (id_col, text_col, *others)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, own in zip(batch.column(0), batch.column(1), strict=True):
+                table = unpacked(rows.as_py()).take(pa.array(sorted(own.as_py()), pa.int64()))
+                yield from table.combine_chunks().to_batches(max_chunksize=512)
+
+    return blocks.join(places, "block").select("rows", "places").mapInArrow(run, schema).select(*docs.columns)

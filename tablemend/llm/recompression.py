@@ -183,19 +183,20 @@ def _per_block(rows: DataFrame, value: str, name: str) -> DataFrame:
     return rows.groupBy("block").agg(F.collect_list(value).alias(name))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, ``n_words``, ``n_removed`` and ``kept``, the words left, joined by one space."""
-    blocks = to_blocks(docs, id_col, text_col)
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = (), as_is: bool = False
+) -> DataFrame:
+    """Per document: id, ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one space) and other columns.
+
+    With ``as_is`` a text that loses no word keeps its own white space, and NULL stays NULL.
+    """
+    blocks = to_blocks(docs, id_col, text_col, others)
     named = Window.partitionBy("name")
-    shared = (
-        block_names(blocks).withColumn("n", F.count("*").over(named)).where((F.col("n") > 1) & ~F.col("many"))
-    )
+    shared = block_names(blocks).withColumn("n", F.count("*").over(named)).where((F.col("n") > 1) & ~F.col("many"))
     shared = saved(_per_block(shared, "name", "shared"), "shared")
     known = blocks.join(shared, "block", "left")
     hashed = Window.partitionBy("first", "second")
-    single = (
-        block_windows(known).withColumn("n", F.count("*").over(hashed)).where((F.col("n") == 1) & ~F.col("many"))
-    )
+    single = block_windows(known).withColumn("n", F.count("*").over(hashed)).where((F.col("n") == 1) & ~F.col("many"))
     judged = known.join(_per_block(single, "first", "single"), "block", "left")
     schema = T.StructType(
         [
@@ -203,20 +204,20 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             T.StructField("n_words", T.LongType()),
             T.StructField("n_removed", T.LongType()),
             T.StructField("kept", T.StringType()),
+            *[field_of(docs, c) for c in others],
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, found, once in zip(*batch.columns[:3], strict=True):
-                table = unpacked(rows.as_py())
-                texts = table.column(1).to_pylist()
-                yield from _judged(table.column(0).combine_chunks(), texts, _set(found), _set(once), schema.names)
+                yield from _judged(unpacked(rows.as_py()).combine_chunks(), _set(found), _set(once), schema.names, as_is)
 
     return judged.select("rows", "shared", "single").mapInArrow(run, schema)
 
 
-def _judged(ids: pa.Array, texts: list, shared: np.ndarray, once: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _judged(table: pa.Table, shared: np.ndarray, once: np.ndarray, names: list[str], as_is: bool) -> Iterator[pa.RecordBatch]:
+    texts = table.column(1).to_pylist()
     parsed = parse(texts)
     starts = candidates(parsed, shared)
     first, _ = window_hashes(parsed, starts)
@@ -226,16 +227,19 @@ def _judged(ids: pa.Array, texts: list, shared: np.ndarray, once: np.ndarray, na
     np.add.at(change, repeated + WINDOW, -1)
     removed = np.cumsum(change[:-1]) > 0
     ends = np.cumsum(parsed.counts)
-    for start in range(0, len(texts), 512):
-        kept, lost = [], []
-        for at in range(start, min(start + 512, len(texts))):
-            gone = removed[ends[at] - parsed.counts[at] : ends[at]]
-            words = (texts[at] or "").encode("utf-8", "surrogatepass").split()
+    at = 0
+    for part in table.to_batches(max_chunksize=512):
+        kept, lost, counts = [], [], parsed.counts[at : at + part.num_rows]
+        for row in range(at, at + part.num_rows):
+            gone = removed[ends[row] - parsed.counts[row] : ends[row]]
             lost.append(int(gone.sum()))
+            if as_is and not lost[-1]:
+                kept.append(texts[row])
+                continue
+            words = (texts[row] or "").encode("utf-8", "surrogatepass").split()
             if lost[-1]:
                 words = [words[i] for i in np.flatnonzero(~gone)]
             kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays(
-            [ids[start : start + 512], pa.array(parsed.counts[start : start + 512], pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())],
-            names=names,
-        )
+        at += part.num_rows
+        columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays([*columns, *part.columns[2:]], names=names)

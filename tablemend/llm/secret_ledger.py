@@ -24,6 +24,10 @@ FINDINGS = "array<struct<rule:string,start:bigint,order:int,end:bigint,kind:stri
 LEDGER = f"blob binary, rules array<string>, findings {FINDINGS}"
 
 
+#: blobs with findings that a broadcast may hold
+BROADCAST_ROWS = 50_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """A pattern with a version. ``hints``: lower-case texts of which a match must hold one, whatever its case."""
@@ -137,26 +141,39 @@ def update(spark: SparkSession, docs: DataFrame, ledger_dir: str, rules: Sequenc
     return read_ledger(spark, ledger_dir)
 
 
+def _found(ledger: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Blobs with findings of the given rules; saved, so that joins deal out both sides anew and can split hot blobs."""
+    known = _key_array(rules)
+    found = ledger.groupBy("blob").agg(F.flatten(F.collect_list("findings")).alias("findings"))
+    own = F.filter("findings", lambda s: F.array_contains(known, s["rule"]))
+    return saved(found.select("blob", own.alias("findings")).where(F.size("findings") > 0), "findings")
+
+
 def by_path(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", **columns) -> DataFrame:
     """One row per path and version: ``blob`` and the findings of the given rules in it."""
-    known = _key_array(rules)
-    # saved, so that the join below deals out both sides anew and can split a blob that many paths show
-    found = saved(
-        ledger.groupBy("blob")
-        .agg(F.flatten(F.collect_list("findings")).alias("findings"))
-        .select("blob", F.filter("findings", lambda s: F.array_contains(known, s["rule"])).alias("findings"))
-        .where(F.size("findings") > 0),
-        "findings",
-    )
+    none = F.array().cast(FINDINGS)
     return (
         versions(docs, id_col, **columns)
         .drop("text")
-        .join(found, "blob", "left")
-        .select(
-            F.col("path").alias(id_col),
-            "blob",
-            F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"),
-        )
+        .join(_found(ledger, rules), "blob", "left")
+        .select(F.col("path").alias(id_col), "blob", F.coalesce("findings", none).alias("findings"))
+    )
+
+
+def redacted(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text") -> DataFrame:
+    """All columns of the documents, with findings in the text replaced by marks.
+
+    Blobs with findings are broadcast while they are at most ``BROADCAST_ROWS``, else joined by blob.
+    """
+    found = _found(ledger, rules).withColumnsRenamed({"blob": "__blob", "findings": "__findings"})
+    if found.count() <= BROADCAST_ROWS:
+        found = F.broadcast(found)
+    blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    clean = F.when(F.col("__findings").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__findings")))
+    return (
+        docs.withColumn("__blob", blob)
+        .join(found, "__blob", "left")
+        .select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
     )
 
 
