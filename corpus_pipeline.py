@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemend.llm import compression_quality, lexical_packing, ngram_join, recompression, secret_ledger
-from tablemend.llm.common import saved, scratch, table
+from tablemend.llm.common import fresh, saved, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts."""
     model = compression_quality.fit(compression_quality.labelled(docs, table(spark, sf_dir, "labels")))
-    scored = compression_quality.score(docs, model, docs.columns, output="__score")
-    return scored.where(F.col("__score") >= compression_quality.ACCEPT).drop("__score")
+    score = fresh("score", docs.columns)
+    scored = compression_quality.score(docs, model, docs.columns, output=score)
+    return scored.where(F.col(score) >= compression_quality.ACCEPT).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that occur anywhere else; a text without any keeps its layout."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = recompression.without_repeats(docs, others=others, as_is=True)
-    changed = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept")).otherwise(F.col("n_chars"))}
+    words, removed, kept = (fresh(name, docs.columns) for name in ("n_words", "n_removed", "kept"))
+    found = recompression.without_repeats(docs, others=others, as_is=True, names=(words, removed, kept))
+    changed = {"text": F.col(kept), "n_chars": F.when(F.col(removed) > 0, F.length(kept)).otherwise(F.col("n_chars"))}
     return found.select(*[changed.get(c, F.col(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 

@@ -35,6 +35,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """A column name like ``name`` that is not taken yet, in any case of letters."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share, for the tables of one run."""
     return f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_of, slices
+from .common import field_of, fresh, slices
 
 #: bounds of the sample: lines of each label, bytes of a line, rows for calibration
 PIECES, PIECE_BYTES, ROWS = 12_000, 512, 20_000
@@ -119,7 +119,7 @@ def _map(rows: DataFrame, keep: list[str], text_col: str, model: Model, outputs:
                 kept = [batch.column(i).slice(start, end - start) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, made], names=schema.names)
 
-    return rows.select(*keep, F.col(text_col).alias("__text")).mapInArrow(batches, schema)
+    return rows.select(*keep, F.col(text_col).alias(fresh("__text", keep))).mapInArrow(batches, schema)
 
 
 def fit(

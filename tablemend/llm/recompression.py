@@ -184,11 +184,12 @@ def _per_block(rows: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = (), as_is: bool = False
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = (), as_is: bool = False,
+    names: tuple[str, str, str] = ("n_words", "n_removed", "kept"),
+) -> DataFrame:
     """Per document: id, ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one space) and other columns.
 
-    With ``as_is`` a text that loses no word keeps its own white space, and NULL stays NULL.
+    ``names`` are those of the three results. With ``as_is`` a text that loses no word keeps its own white space, and NULL stays NULL.
     """
     blocks = to_blocks(docs, id_col, text_col, others)
     named = Window.partitionBy("name")
@@ -201,9 +202,9 @@ def without_repeats(
     schema = T.StructType(
         [
             field_of(docs, id_col),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("n_removed", T.LongType()),
-            T.StructField("kept", T.StringType()),
+            T.StructField(names[0], T.LongType()),
+            T.StructField(names[1], T.LongType()),
+            T.StructField(names[2], T.StringType()),
             *[field_of(docs, c) for c in others],
         ]
     )

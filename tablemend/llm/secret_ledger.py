@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import let, saved
+from .common import fresh, let, saved
 
 FINDINGS = "array<struct<rule:string,start:bigint,order:int,end:bigint,kind:string>>"
 LEDGER = f"blob binary, rules array<string>, findings {FINDINGS}"
@@ -165,14 +165,15 @@ def redacted(docs: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES,
 
     Blobs with findings are broadcast while they are at most ``BROADCAST_ROWS``, else joined by blob.
     """
-    found = _found(ledger, rules).withColumnsRenamed({"blob": "__blob", "findings": "__findings"})
+    key, spans_of = fresh("__blob", docs.columns), fresh("__findings", docs.columns)
+    found = _found(ledger, rules).withColumnsRenamed({"blob": key, "findings": spans_of})
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    clean = F.when(F.col("__findings").isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col("__findings")))
+    clean = F.when(F.col(spans_of).isNull(), F.col(text_col)).otherwise(redact(F.col(text_col), F.col(spans_of)))
     return (
-        docs.withColumn("__blob", blob)
-        .join(found, "__blob", "left")
+        docs.withColumn(key, blob)
+        .join(found, key, "left")
         .select(*[clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
     )
 
