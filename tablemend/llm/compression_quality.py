@@ -5,8 +5,9 @@ compressed with either; the normalised difference of both sizes says which dicti
 calibration, on labelled rows whose texts did not build the dictionaries, turns it into a probability, with how
 far the whole text compresses by itself and its length as context.
 
-The fit sees a bounded sample: ``PIECES`` lines of either label (those of the lowest hashes; lines that several
-labelled texts share are left out, since they tell nothing) and ``ROWS`` rows for calibration. Scoring is a map.
+The fit sees a bounded sample: ``ROWS`` documents of either label, and ``PIECES`` lines of either label of half of them for
+the dictionaries (those of the lowest hashes; lines that several texts share are left out, since they tell
+nothing); the other half calibrates. Scoring is a map over the rows.
 
 Rows: NULL text is the empty text, which gets a score like any other. Rows with a NULL label, or a label
 that is neither 0 nor 1, teach nothing. Repeated rows score alike. Without labels of both kinds, each score is the share of
@@ -26,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_of, fresh, slices
+from .common import field_of, fresh, saved, slices
 
-#: bounds of the sample: lines of each label, bytes of a line, rows for calibration
-PIECES, PIECE_BYTES, ROWS = 12_000, 512, 20_000
+#: bounds of the sample: documents of each label, lines of each label, bytes of a line
+ROWS, PIECES, PIECE_BYTES = 6000, 12_000, 512
 DICTIONARY_BYTES = 112_640
 #: a text is predicted good from this score on
 ACCEPT = 0.7
@@ -95,17 +96,26 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Texts with the labels that a fit may learn from; a document labelled both ways teaches nothing."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: int = ROWS) -> DataFrame:
+    """Texts with labels that a fit may learn from, saved: at most ``rows`` ids of either label, those of the least hashes.
+
+    Ids are drawn from the narrow labels, so that texts are read once and not shuffled. An id labelled both ways
+    teaches nothing.
+    """
     own = (
-        labels.where(~held_out(F.col(id_col)))
+        labels.where(~held_out(F.col(id_col)) & F.col("quality").isin(0, 1))
         .groupBy(id_col)
         .agg(F.min("quality").alias("quality"), F.max("quality").alias("__most"))
         .where(F.col("quality") == F.col("__most"))
         .select(F.col(id_col).alias("__id"), "quality")
     )
-    texts = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), "text")
-    return texts.join(own, "__id").select("text", "quality")
+    drawn = [
+        own.where(F.col("quality") == label).orderBy(F.xxhash64("__id"), "__id").limit(rows) for label in (0, 1)
+    ]
+    texts = docs.select(F.col(id_col).alias("__id"), "text")
+    # 2 x rows ids at most
+    sample = texts.join(F.broadcast(drawn[0].unionAll(drawn[1])), "__id").select("text", "quality")
+    return saved(sample, "labelled")
 
 
 def _map(rows: DataFrame, keep: list[str], text_col: str, model: Model, outputs: list[T.StructField], run) -> DataFrame:
@@ -123,10 +133,10 @@ def _map(rows: DataFrame, keep: list[str], text_col: str, model: Model, outputs:
 
 
 def fit(
-    labelled: DataFrame, label_col: str = "quality", text_col: str = "text",
-    pieces: int = PIECES, rows: int = ROWS, dictionary_bytes: int = DICTIONARY_BYTES,
+    labelled: DataFrame, label_col: str = "quality", text_col: str = "text", pieces: int = PIECES,
+    dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> Model:
-    """Dictionaries and calibration from labelled rows; equal texts fall on the same side of the split."""
+    """Dictionaries and calibration from a bounded sample; equal texts fall on the same side of the split."""
     known = labelled.where(F.col(label_col).isin(0, 1)).select(
         F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label")
     )
@@ -138,8 +148,11 @@ def fit(
         .agg(F.count("*").alias("n"), F.first("line").alias("line"), F.first("label").alias("label"))
         .where("n = 1")
     )
-    cut = F.expr(f"transform(sequence(0, cast((octet_length(line) - 1) / {PIECE_BYTES} as int)), i -> substring(cast(line as binary), i * {PIECE_BYTES} + 1, {PIECE_BYTES}))")
-    parts = alone.select("label", F.explode(cut).alias("piece"))
+    cut = F.expr(
+        f"transform(sequence(0, cast((octet_length(line) - 1) / {PIECE_BYTES} as int)), "
+        f"i -> substring(cast(line as binary), i * {PIECE_BYTES} + 1, {PIECE_BYTES}))"
+    )
+    parts = saved(alone.select("label", F.explode(cut).alias("piece")), "pieces")
     drawn = {
         label: [
             bytes(r["piece"])
@@ -153,9 +166,8 @@ def fit(
     if not drawn[0] or not drawn[1]:
         return Model(b"", b"", (), prior)
     raw = Model(_dictionary(drawn[1], dictionary_bytes), _dictionary(drawn[0], dictionary_bytes), (), prior)
-    chosen = known.where("fold = 1").orderBy(F.xxhash64("text", "label")).limit(rows)
     output = T.StructField("inputs", T.ArrayType(T.DoubleType()))
-    found = _map(chosen, ["label"], "text", raw, [output], lambda m: pa.array(m, pa.list_(pa.float64()))).collect()
+    found = _map(known.where("fold = 1"), ["label"], "text", raw, [output], lambda m: pa.array(m, pa.list_(pa.float64()))).collect()
     if len({r["label"] for r in found}) < 2:
         return Model(b"", b"", (), prior)
     weights = calibrate(np.array([r["inputs"] for r in found]), np.array([float(r["label"]) for r in found]))
