@@ -12,17 +12,19 @@ from . import Query
 from . import inputs as I
 
 # file style: 0 clean header, 1 aliased header, 2 three header rows without a weight column
-# a file holds at most 5000 rows, so there are more files where there are more orders
-FILE = "o_orderkey % 48 + 48 * CAST(floor(o_orderkey / 240000) AS BIGINT)"
+# file 0 holds a third of all rows, whatever their number; 47 files share the rest
+REST = "(2 * CAST(floor(o_orderkey / 3) AS BIGINT) + o_orderkey % 3 - 1)"
+FILE = f"CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 + {REST} % 47 END"
+ROW = f"CASE WHEN o_orderkey % 3 = 0 THEN CAST(floor(o_orderkey / 3) AS BIGINT) ELSE CAST(floor({REST} / 47) AS BIGINT) END"
 BODY = """
-SELECT {file} AS f, CAST(floor((o_orderkey % 240000) / 48) AS BIGINT) AS r,
+SELECT {file} AS f, {row} AS r,
        concat('SHP-', o_orderkey) AS sid, lower(n_name) AS org, n_name AS dst,
        CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE o_orderpriority END AS mat,
        CASE WHEN o_orderkey % 13 = 0 THEN 'heavy' WHEN o_orderkey % 13 = 1 THEN concat('-', o_custkey + 1) ELSE concat(o_custkey, '.5') END AS wt,
        CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat(o_orderkey % 60, '') END AS del,
        CASE WHEN o_orderkey % 17 = 0 THEN 'NaN' WHEN o_orderkey % 2 = 0 THEN 'Processing' ELSE 'failed' END AS st
 FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nationkey = c_nationkey
-""".replace("{file}", FILE)
+""".replace("{file}", FILE).replace("{row}", ROW)
 
 # every 97th row of a file is a repeated header label and must be rejected
 LINES = f"""
@@ -32,13 +34,13 @@ SELECT f, r + CASE WHEN f % 3 = 2 THEN 3 ELSE 1 END AS row_idx, CASE WHEN r % 97
 FROM ({BODY})
 UNION ALL SELECT f, CAST(0 AS BIGINT), 'shipment_id', 'origin_hub', 'destination_hub', 'material_type', 'weight_kg', 'predicted_delay_hours', 'status'
 FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 0
-UNION ALL SELECT f, CAST(0 AS BIGINT), 'uid', 'origin_terminal', 'target_terminal', 'cargo_class', 'm3_vol', 'disruption_index', 'tracking_state'
+UNION ALL SELECT f, CAST(0 AS BIGINT), 'uid', 'source', 'target', 'cargo', 'mass', 'delay', 'state'
 FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 1
-UNION ALL SELECT f, CAST(0 AS BIGINT), 'Core Shipment Indicators', '', 'Routing Vectors', '', 'Physical Specifications', 'Predictive Analytics', 'System Metrics'
+UNION ALL SELECT f, CAST(0 AS BIGINT), 'Consignment', '', 'Journey', '', 'Load', 'Forecast', 'Progress'
 FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 2
-UNION ALL SELECT f, CAST(1 AS BIGINT), 'Tracking Identification', '', 'Hub Locations', '', 'Cargo Details', 'Disruption Metrics', 'Tracking State'
+UNION ALL SELECT f, CAST(1 AS BIGINT), 'Parcel ref', '', 'Stops', '', 'Goods', 'Lateness', 'Stage'
 FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 2
-UNION ALL SELECT f, CAST(2 AS BIGINT), 'ID', 'Type', 'Source Terminal', 'Target Terminal', 'Commodity', 'Expected Hours', 'Condition'
+UNION ALL SELECT f, CAST(2 AS BIGINT), 'ID', 'Type', 'From_hub', 'To_hub', 'Mass class', 'Hours late', 'State'
 FROM (SELECT DISTINCT {FILE} AS f FROM {{orders}}) WHERE f % 3 = 2
 """
 

@@ -6,26 +6,26 @@ from tablemend.operators.headers import periodicity_strength
 from tablemend.operators.profile import active_rows, profile_rows
 from tablemend.plans.reconstruct import reconstruct
 
+PLOTS = ((31, "Loam", "Barley", "Low"), (32, "Clay", "Barley", "Low"), (33, "Sand", "Oats", "High"), (34, "Loam", "Rye", "Low"))
 TABLES = {
     "segmented": (
-        ["ID", "Name", "Date", "Score", "Description"],
-        [["1", "Alice", "2023-01-01", "95", "Top scorer"], ["2", "Bob", "2023-01-02", "88", "Runner up"]],
+        ["ID", "Person", "Joined", "Points", "Remark"],
+        [["7", "Nadia", "2021-05-04", "61", "Slow start"], ["8", "Tomas", "2021-06-09", "74", "Steady climb"]],
     ),
     "positional": (
-        ["ID", "Name", "missing_header_1", "missing_header_1_1"],
-        [["1", "Alice", "95", "2023-01-01"], ["2", "Bob", "88", "2023-01-02"]],
+        ["ID", "Person", "missing_header_1", "missing_header_1_1"],
+        [["7", "Nadia", "61", "2021-05-04"], ["8", "Tomas", "74", "2021-06-09"]],
     ),
     "scientific": (
-        ["student_id", "age", "gender", "gaming_hours", "study_hours", "sleep_hours", "attendance", "gaming_genre",
-         "social_activity", "device_usage", "reaction_time_ms", "addiction_score", "stress_level", "grades"],
+        ["plot_id", "depth", "soil", "rain_mm", "sun_hours", "runoff", "humidity", "crop_name", "canopy_index", "root_index",
+         "yield_kg", "pest_score", "risk_level", "quality"],
         [
-            ["8", "23", "Female", "4.78", "6.79", "5.37", "66.46", "FPS", "2.85", "9.96", "271.21", "11.75", "Medium", "62.11"],
-            ["9", "20", "Female", "4.55", "7.93", "8.76", "72.5", "FPS", "1", "9.48", "272.39", "11.04", "Medium", "80.94"],
-            ["10", "19", "Male", "0.29", "4.24", "7.83", "71.39", "Casual", "3.07", "5.39", "318.59", "4.72", "Medium", "82.3492355"],
-            ["11", "23", "Female", "4.11", "2.61", "8.93", "61.95", "RPG", "1.04", "5.4", "273.33", "10.57", "Medium", "52.31"],
+            [str(n), str(n - 13), soil, *(f"{n * x:.2f}" for x in (0.13, 0.21, 0.17, 2.07)), crop, f"{n * 0.09:.2f}", f"{n * 0.3:.1f}",
+             f"{n * 8.51:.2f}", f"{n * 0.37:.2f}", risk, f"{n * 1.93:.2f}"]
+            for n, soil, crop, risk in PLOTS
         ],
     ),
-}
+}
 
 
 def result(r):
