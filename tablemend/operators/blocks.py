@@ -26,11 +26,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from ..session import cut
 
 BLOCK_ROWS = 1 << 16
+#: parts that the rows of a file are dealt to when facts about the file are joined
+FACT_PARTS = 32
 
 # rules travel to executors by value, so these need not have the package installed
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+def with_facts(
+    rows: DataFrame,
+    facts: DataFrame,
+    place: str,
+    how: str = "inner",
+    keys: Sequence[str] = ("file_id",),
+    parts: int = FACT_PARTS,
+) -> DataFrame:
+    """Join what is known per file onto the file's rows without gathering any file.
+
+    Rows are dealt by file and a part that ``place``, a column of theirs, decides; facts, few per file, are copied to
+    every part. What follows by ``(file_id, anything)`` is then dealt out anew, since rows do not lie by file.
+    """
+    part = "_part"
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(place), F.lit(parts)))
+    copies = facts.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    return dealt.join(copies, [*keys, part], how).drop(part)
+
+
 def with_prefix(
     df: DataFrame,
     keys: Sequence[str],
@@ -195,7 +216,7 @@ def fold_blocks(
 
     # files that fit one block need no summary: their entry state is known
     long_keys = narrow.filter(F.col(position) == block_rows).select(*keys)
-    summaries = narrow.join(long_keys, keys, "left_semi").groupBy(*block_keys).applyInPandas(summarise, summary_type)
+    summaries = with_facts(narrow, long_keys, position, "left_semi", keys).groupBy(*block_keys).applyInPandas(summarise, summary_type)
 
     entry_type = T.StructType(
         key_fields

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cells as C, rows as R
 from ..functions.scores import clamp
+from .blocks import with_facts
 from .profile import repeating_pattern
 
 MAX_CYCLE = 12
@@ -91,9 +92,11 @@ def extract_headers(bp: Column, header: Column) -> Column:
 def column_values(rows: DataFrame, files: DataFrame) -> DataFrame:
     """Statistics of every column of the data part, one row per (file, col)."""
     data = (
-        rows.filter("non_null_count > 0")
-        .select("file_id", "row_idx", "cells")
-        .join(files.select("file_id", "data_start"), "file_id")
+        with_facts(
+            rows.filter("non_null_count > 0").select("file_id", "row_idx", "cells"),
+            files.select("file_id", "data_start"),
+            "row_idx",
+        )
         .filter("row_idx >= data_start")
         .select("file_id", "row_idx", F.posexplode("cells").alias("col", "value"))
         .filter("value IS NOT NULL")
@@ -203,14 +206,13 @@ def row_has_anchor(cells: Column, anchors: Column, bp: Column) -> Column:
 def data_rows(active: DataFrame, files: DataFrame) -> DataFrame:
     """Active rows of the data part with position ``j`` and compact signatures ahead."""
     firsts = (
-        active.select("file_id", "row_idx", "seq")
-        .join(files.select("file_id", "data_start"), "file_id")
+        with_facts(active.select("file_id", "row_idx", "seq"), files.select("file_id", "data_start"), "seq")
         .filter("row_idx >= data_start")
         .groupBy("file_id")
         .agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_data"))
     )
     return (
-        active.join(firsts, "file_id")
+        with_facts(active, firsts, "seq")
         .filter("seq >= first_seq")
         .withColumn("j", F.col("seq") - F.col("first_seq"))
         .withColumn("sigs", F.transform("ahead", R.compact_signature))
@@ -240,7 +242,7 @@ def cycle_scores(data: DataFrame) -> DataFrame:
         ),
     )
     blocks = (
-        usable.join(template.drop("first_seq"), "file_id")
+        with_facts(usable, template.drop("first_seq"), "j")
         .select("file_id", "sigs", "template", F.explode(block_lengths).alias("cycle"))
         .withColumn("pairs", pair(F.col("cycle")))
         .select(
@@ -308,7 +310,7 @@ def best_cycle(data: DataFrame, profile: DataFrame) -> DataFrame:
         "b.signature_repeat", "b.width_repeat", "b.cyclic_sim",
     )
     weak = found.filter("n_data >= 4 AND (cycle <= 1 OR score < 0.45)").select("file_id")
-    again = data.join(weak, "file_id", "left_semi").select(
+    again = with_facts(data, weak, "j", "left_semi").select(
         "file_id", F.col("j").alias("seq"), F.col("sigs").alias("ahead")
     )
     pattern = repeating_pattern(again).select("file_id", F.col("span").alias("pattern_span"))
@@ -367,7 +369,9 @@ def validate_periodic(records: DataFrame, cycles: DataFrame) -> DataFrame:
         F.slice("template", F.lit(1), F.greatest(F.col("cycle"), F.lit(0))), F.lit(0), lambda a, s: a + value_width(s)
     )
     known = cycles.select("file_id", "cycle", F.col("score").alias("periodicity_score"), expected.alias("expected"))
-    per = records.select("file_id", filled.alias("filled"), F.size("values").alias("len")).join(known, "file_id")
+    per = with_facts(
+        records.select("file_id", "record_id", filled.alias("filled"), F.size("values").alias("len")), known, "record_id"
+    )
     share = F.when(F.col("expected") > 0, F.least(F.lit(1.0), F.col("filled") / F.col("expected"))).otherwise(
         F.col("filled") / F.greatest("len", F.lit(1))
     )

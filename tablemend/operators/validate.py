@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cells as C, rows as R
 from ..functions.scores import TABLE_WEIGHTS, clamp, combine_weighted, to_percent
+from .blocks import with_facts
 
 KEYS = ["file_id", "variant"]
 CLASSES = ["D", "N", "T", "M"]
@@ -148,7 +149,7 @@ def anchor_duplicates(tables: DataFrame, keyed: DataFrame) -> DataFrame:
 
 def _anchor_values(tables: DataFrame, keyed: DataFrame) -> DataFrame:
     return (
-        tables.join(keyed.select(*KEYS, "anchor_col"), KEYS)
+        with_facts(tables, keyed.select(*KEYS, "anchor_col"), "record_id", keys=KEYS)
         .select(*KEYS, F.get("values", F.col("anchor_col")).alias("value"))
         .filter("value IS NOT NULL")
     )
@@ -178,8 +179,7 @@ def record_coherence(tables: DataFrame, aligned: DataFrame) -> DataFrame:
     )
     bonus = F.when(F.coalesce(C.is_anchor(F.get("values", F.col("anchor_col"))), F.lit(False)), 0.1).otherwise(0.0)
     internal = (
-        with_classes(tables)
-        .join(with_key, KEYS)
+        with_facts(with_classes(tables), with_key, "record_id", keys=KEYS)
         .groupBy(*KEYS)
         .agg(F.avg(F.least(F.lit(1.0), per_record + bonus)).alias("internal_with_key"))
     )
@@ -232,4 +232,4 @@ def row_alignments(tables: DataFrame, names: DataFrame) -> DataFrame:
     """Mean type match of every record."""
     kinds = names.select(*KEYS, F.transform("names", C.header_type).alias("kinds"))
     fit = _sum(F.zip_with("kinds", "values", lambda k, v: C.type_match(k, C.value_type(v)))) / F.size("kinds")
-    return tables.join(kinds, KEYS).select(*KEYS, "record_id", fit.alias("row_alignment"))
+    return with_facts(tables, kinds, "record_id", keys=KEYS).select(*KEYS, "record_id", fit.alias("row_alignment"))

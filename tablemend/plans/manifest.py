@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cells as C, values as V
+from ..operators.blocks import with_facts
 from ..sources.tables import SHIPMENT_COLUMNS
 
 MARKER = "shp-"
@@ -53,7 +54,7 @@ def flatten_headers(raw_rows: DataFrame, horizon: DataFrame) -> DataFrame:
     Tokens are made distinct before they are gathered, so even a file with a
     very deep header moves each token once.
     """
-    top = _cells_long(raw_rows.join(horizon.drop("width"), "file_id").filter("row_idx < horizon"))
+    top = _cells_long(with_facts(raw_rows, horizon.drop("width"), "row_idx").filter("row_idx < horizon"))
     tokens = (
         top.groupBy("file_id", "col", F.lower(C.strip(F.col("value"))).alias("token"))
         .agg(F.min("row_idx").alias("first_row"))
@@ -102,7 +103,7 @@ def is_metric_text(value: Column) -> Column:
 
 def profile_columns(raw_rows: DataFrame, horizon: DataFrame) -> DataFrame:
     """``numeric_cols`` per file: columns of the data rows that are at least half numeric."""
-    data = _cells_long(raw_rows.join(horizon.select("file_id", "horizon"), "file_id").filter("row_idx >= horizon"))
+    data = _cells_long(with_facts(raw_rows, horizon.select("file_id", "horizon"), "row_idx").filter("row_idx >= horizon"))
     return (
         data.groupBy("file_id", "col")
         .agg(F.avg(is_metric_text(F.col("value")).cast("double")).alias("share"))
@@ -169,7 +170,7 @@ def project_canonical(raw_rows: DataFrame, mapping: DataFrame) -> DataFrame:
         for t in SHIPMENT_COLUMNS
     ]
     return (
-        raw_rows.join(mapping.select("file_id", "horizon", "columns"), "file_id")
+        with_facts(raw_rows, mapping.select("file_id", "horizon", "columns"), "row_idx")
         .filter("row_idx >= horizon")
         .select("file_id", "row_idx", *picked)
     )

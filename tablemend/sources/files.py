@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import cells as C
+from ..operators.blocks import with_facts
 
 MAX_FILE_BYTES = 50 * 1024 * 1024
 TEXT_EXTENSIONS = r"(?i)\.(csv|txt)$"
@@ -107,4 +108,4 @@ def admit(listed: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
 def with_width(raw_rows: DataFrame, keys: tuple[str, ...] = ("file_id",)) -> DataFrame:
     """Add the width of the widest line of each file as ``width``."""
     widths = raw_rows.groupBy(*keys).agg(F.max(F.size("cells")).alias("width"))
-    return raw_rows.join(widths, list(keys))
+    return with_facts(raw_rows, widths, "row_idx", keys=keys)

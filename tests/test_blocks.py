@@ -1,12 +1,14 @@
 """Block-wise ordered operators give the same result whatever the block size."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tablemend.operators import blocks as B
+from tablemend.operators import blocks as B, records, structure, validate
 from tablemend.operators.boundaries import BoundaryScoreRule, ScoredRule, SparseMergeRule
+from tablemend.plans import manifest
 
 
 def frame(spark, n=57, seed=3):
@@ -104,3 +106,43 @@ def test_summaries_agree_with_steps(seed):
             opens, _, state = rule.step(item, state)
             count += bool(opens)
         assert (rule.enter(text), opened) == (state, count)
+
+
+def exchanges(df):
+    """Keys that rows are dealt by in the physical plan."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.findall(r"hashpartitioning\(([^)]*), \d+\)", re.sub(r"#\d+L?", "", plan))
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_facts_join_like_a_plain_join(spark):
+    df, rows = frame(spark)
+    facts = spark.createDataFrame([("a", 1), ("b", 2), ("z", 3)], "file_id string, fact int")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got, want = B.with_facts(df, facts, "pos", how), df.join(facts, "file_id", how)
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_no_operator_deals_rows_by_file_alone(spark, no_broadcast):
+    """After per-file facts are joined, windows and aggregates deal rows out by block, column or value."""
+    rows = spark.createDataFrame([("a", i, ["1", "x"], 2) for i in range(9)], "file_id string, row_idx long, cells array<string>, width int")
+    widths = spark.createDataFrame([("a", 2, None)], "file_id string, schema_width int, stream_cols array<int>")
+    data = rows.withColumn("j", F.col("row_idx"))
+    assert "file_id, _blk" in exchanges(records.rechunk_stream(data, widths))
+    horizon = spark.createDataFrame([("a", 1, 2)], "file_id string, horizon long, width int")
+    assert "file_id, col" in exchanges(manifest.profile_columns(rows, horizon))
+    files_ = spark.createDataFrame([("a", 1)], "file_id string, data_start long")
+    profiled = rows.withColumn("non_null_count", F.lit(2))
+    assert "file_id, col, value" in exchanges(structure.column_values(profiled, files_))
+    tables = spark.createDataFrame([("a", "v", 0, ["1", "x"])], "file_id string, variant string, record_id long, values array<string>")
+    keyed = spark.createDataFrame([("a", "v", 0)], "file_id string, variant string, anchor_col int")
+    assert "file_id, variant, value" in exchanges(validate.anchor_duplicates(tables, keyed))
+    for found in (records.rechunk_stream(data, widths), manifest.profile_columns(rows, horizon), structure.column_values(profiled, files_)):
+        assert any(keys.startswith("file_id, _part") for keys in exchanges(found))
