@@ -16,13 +16,13 @@ TABLES = (
 ).split()
 
 VENDORS = """
-SELECT s_suppkey AS id, s_name AS name, s_nationkey % 4 + 1 AS tier FROM {supplier} WHERE s_suppkey % 10 < 8
+SELECT s_suppkey AS id, s_name AS name, s_nationkey % 4 + 1 AS tier FROM {supplier}
 """
 
 HUBS = """
 SELECT n_name AS code, CAST(n_nationkey * 7 % 120 - 60 AS DOUBLE) AS lat,
        CAST(n_nationkey * 37 % 340 - 170 AS DOUBLE) AS lng, CAST(n_nationkey AS BIGINT) AS position
-FROM {nation} WHERE n_nationkey < 20
+FROM {nation}
 """
 
 LOGS = """
@@ -36,12 +36,13 @@ FROM {events}
 
 SHIPMENTS = """
 SELECT l_orderkey * 100 + l_linenumber AS id, concat('SHP-', l_orderkey, '-', l_linenumber) AS shipment_id,
-       l_suppkey AS vendor_id, l_orderkey % 1000 AS ingestion_log_id, p_type AS material_type,
+       CASE WHEN l_suppkey % 10 < 8 THEN l_suppkey ELSE l_suppkey + 1000000000 END AS vendor_id, l_orderkey % 1000 AS ingestion_log_id, p_type AS material_type,
        l_quantity * p_size AS weight_kg,
        CAST((l_orderkey * 7 + l_linenumber * 13) % 300 AS DOUBLE) / 10 AS predicted_delay_hours,
        CASE WHEN l_returnflag = 'R' THEN 'delayed' WHEN l_returnflag = 'A' THEN 'in_transit'
             WHEN l_linestatus = 'O' THEN 'high_delay' ELSE 'delivered' END AS status,
-       sn.n_name AS origin_hub, cn.n_name AS destination_hub, l_shipdate AS departure_date
+       CASE WHEN sn.n_nationkey < 20 THEN sn.n_name ELSE concat('OFF ', sn.n_name) END AS origin_hub,
+       CASE WHEN cn.n_nationkey < 20 THEN cn.n_name ELSE concat('OFF ', cn.n_name) END AS destination_hub, l_shipdate AS departure_date
 FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {supplier} ON s_suppkey = l_suppkey
 JOIN {orders} ON o_orderkey = l_orderkey JOIN {customer} ON c_custkey = o_custkey
 JOIN {nation} sn ON sn.n_nationkey = s_nationkey JOIN {nation} cn ON cn.n_nationkey = c_nationkey

@@ -104,7 +104,7 @@ SELECT CAST(s.id AS VARCHAR) AS id,
        'None' AS primary_delay_driver, CAST(4500.0 AS DOUBLE) AS freight_cost_usd,
        coalesce(nullif(s.material_type, ''), 'General Cargo') AS material_type
 FROM ({I.duck(DIRTY_SHIPMENTS)}) s
-LEFT JOIN hubs fo ON fo.position = s.id % 20 LEFT JOIN hubs fd ON fd.position = (s.id + 2) % 20
+LEFT JOIN hubs fo ON fo.position = s.id % 25 LEFT JOIN hubs fd ON fd.position = (s.id + 2) % 25
 LEFT JOIN hubs ho ON ho.code = coalesce(nullif(s.origin_hub, ''), fo.code)
 LEFT JOIN hubs hd ON hd.code = coalesce(nullif(s.destination_hub, ''), fd.code)
 """
@@ -403,12 +403,13 @@ QUERIES: dict[str, Query] = {
         lambda sp, d: S.constraint_checks(
             I.shipments(sp, d),
             I.spark_view(sp, d, "SELECT s_nationkey % 6 AS tier, s_acctbal / 80 AS reliability_score FROM {supplier}"),
+            I.logs(sp, d),
         ),
         L(
             "SELECT 'vendor_tier' AS \"check\", count(*) AS violations FROM supplier WHERE s_nationkey % 6 NOT BETWEEN 1 AND 4 "
-            "HAVING count(*) > 0 UNION ALL SELECT 'vendor_reliability', count(*) FROM supplier WHERE s_acctbal / 80 NOT BETWEEN 0 AND 100 "
-            "HAVING count(*) > 0 UNION ALL SELECT 'shipment_status', count(*) FROM shipments "
-            "WHERE status NOT IN ('on_time', 'minor_delay', 'high_delay') HAVING count(*) > 0"
+            "UNION ALL SELECT 'vendor_reliability', count(*) FROM supplier WHERE s_acctbal / 80 NOT BETWEEN 0 AND 100 "
+            "UNION ALL SELECT 'shipment_status', count(*) FROM shipments WHERE status NOT IN ('on_time', 'minor_delay', 'high_delay') "
+            "UNION ALL SELECT 'log_status', count(*) FROM logs WHERE status NOT IN ('queued', 'processing', 'success', 'failed')"
         ),
     ),
     "confidence_guard": Query(

@@ -215,14 +215,14 @@ def _scores(spark, sf_dir):
     s, t = F.col("s"), F.col("t")
     return v.select(
         "event_id",
-        near(X.combine_weighted({"a": s, "b": t}, {"a": 0.3, "b": 0.2}), 6).alias("light"),
-        near(X.combine_weighted({"a": s, "b": t}, {"a": 3.0, "b": 1.0}), 6).alias("heavy"),
-        near(X.combine_weighted({"a": s, "b": t}, {}), 6).alias("plain"),
-        near(X.combine_product(F.array(s, t)), 6).alias("product"),
-        near(X.margin_over(s, F.when(F.col("event_id") % 3 > 0, t)), 6).alias("margin"),
-        near(X.normalize_linear(s, 0.1, 0.6), 6).alias("linear"),
+        near(X.Weighting({"a": 0.3, "b": 0.2}).sum({"a": s, "b": t}), 6).alias("light"),
+        near(X.Weighting({"a": 3.0, "b": 1.0}).sum({"a": s, "b": t}), 6).alias("heavy"),
+        near(X.Weighting({}).sum({"a": s, "b": t}), 6).alias("plain"),
+        near(X.joint(F.array(s, t)), 6).alias("product"),
+        near(X.lead(s, F.when(F.col("event_id") % 3 > 0, t)), 6).alias("margin"),
+        near(X.share_of_range(s, 0.1, 0.6), 6).alias("linear"),
         near(
-            X.global_confidence(F.create_map(F.lit("profiling"), s, F.lit("semantic"), t, F.lit("periodic"), F.lit(0.9))), 6
+            X.LAYERS.mean(F.create_map(F.lit("profiling"), s, F.lit("semantic"), t, F.lit("periodic"), F.lit(0.9))), 6
         ).alias("overall"),
     )
 

@@ -139,20 +139,23 @@ def delete_shipment(df: DataFrame, shipment_row_id) -> DataFrame:
     return df.filter(~F.col("id").eqNullSafe(F.lit(shipment_row_id)))
 
 
-def constraint_checks(shipments: DataFrame, vendors: DataFrame) -> DataFrame:
-    """Number of rows that violate each declared constraint."""
-    v = vendors.select(
-        F.explode(
-            quality_flags(
-                {
-                    "vendor_tier": F.col("tier").between(1, 4),
-                    "vendor_reliability": F.col("reliability_score").between(0, 100),
-                }
-            )
-        ).alias("check")
+def constraint_checks(shipments: DataFrame, vendors: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """Number of rows that violate each declared constraint, 0 where all hold."""
+    of_vendors = {
+        "vendor_tier": F.col("tier").between(1, 4),
+        "vendor_reliability": F.col("reliability_score").between(0, 100),
+    }
+    found = _violations(vendors, of_vendors).unionByName(_violations(shipments, shipment_checks(shipments.columns)))
+    return found if logs is None else found.unionByName(_violations(logs, {"log_status": log_status_check()}))
+
+
+def _violations(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    flags = quality_flags(checks)
+    counts = rows.select(flags.alias("flags")).agg(
+        *[F.count_if(F.array_contains("flags", name)).alias(name) for name in checks]
     )
-    s = shipments.select(F.explode(quality_flags(shipment_checks(shipments.columns))).alias("check"))
-    return v.unionByName(s).groupBy("check").agg(F.count("*").alias("violations"))
+    told = F.array(*[F.struct(F.lit(name).alias("check"), F.col(name).alias("violations")) for name in checks])
+    return counts.select(F.explode(told).alias("c")).select("c.*")
 
 
 def shipment_checks(columns: list[str]) -> dict[str, Column]:

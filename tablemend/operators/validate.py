@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cells as C, rows as R
-from ..functions.scores import TABLE_WEIGHTS, clamp, combine_weighted, to_percent
+from ..functions.scores import TABLE, clamp, percent
 from .blocks import with_facts
 
 KEYS = ["file_id", "variant"]
@@ -225,7 +225,7 @@ def strategy_score(report: DataFrame) -> DataFrame:
         "anomaly_penalty": F.lit(1.0) - F.col("n_duplicate_anchors") * 0.15,
     }
     bounded = {k: clamp(v) for k, v in signals.items()}
-    return report.withColumn("confidence_score", to_percent(combine_weighted(bounded, TABLE_WEIGHTS)))
+    return report.withColumn("confidence_score", percent(TABLE.sum(bounded)))
 
 
 def row_alignments(tables: DataFrame, names: DataFrame) -> DataFrame:

@@ -66,8 +66,22 @@ def cut(df: DataFrame) -> DataFrame:
     pushdown and size statistics for the steps that read it, and it survives
     the loss of any executor.
     """
-    spark = df.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
-    path = f"{folder}/{uuid.uuid4().hex}"
+    path = f"{work_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def work_folder(spark: SparkSession) -> str:
+    """The application's own folder for tables between steps; it goes when the application ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files that a frame from ``cut`` was read from, once nothing reads them any more."""
+    spark = df.sparkSession
+    for file in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import cells as C
 from ..operators.blocks import with_facts
 
-MAX_FILE_BYTES = 50 * 1024 * 1024
+#: a folder whose largest file is larger than this is read in splits
+WHOLE_BYTES = 64 << 20
 TEXT_EXTENSIONS = r"(?i)\.(csv|txt)$"
 KNOWN_EXTENSIONS = r"(?i)\.(csv|txt|xlsx|xls)$"
 
@@ -27,12 +28,15 @@ def explode_text(texts: DataFrame, file_id: str, text: Column) -> DataFrame:
     ).withColumn("row_idx", F.col("row_idx").cast("long"))
 
 
-def scan_matrix(spark: SparkSession, path: str) -> DataFrame:
+def scan_matrix(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
     """Delimited files to ``raw_rows(file_id, row_idx, cells)``.
 
-    Files are admitted up to 50 MB, so each one is read whole by one task and
-    its row order needs no shuffle.
+    Small files are each read whole by one task, so their row order needs no shuffle; where
+    one is larger than ``WHOLE_BYTES``, files are read in splits.
     """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    if (listed.agg(F.max("length")).first()[0] or 0) > whole_bytes:
+        return scan_large_matrix(spark, path)
     texts = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_id"), "value"
     )
@@ -83,7 +87,7 @@ def scan_large_matrix(spark: SparkSession, path: str) -> DataFrame:
     return rows_from_lines(numbered)
 
 
-def admit_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def admit_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """One row per known file with the decision taken for it; bytes are not read."""
     listed = (
         spark.read.format("binaryFile")
@@ -94,11 +98,12 @@ def admit_files(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES)
     return admit(listed, max_bytes)
 
 
-def admit(listed: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Decide on ``(path, file_size_bytes, ...)`` rows."""
+def admit(listed: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Decide on ``(path, file_size_bytes, ...)`` rows; files of any size are admitted unless ``max_bytes`` is given."""
+    too_large = F.lit(False) if max_bytes is None else F.col("file_size_bytes") > max_bytes
     decision = (
         F.when(~F.col("path").rlike(KNOWN_EXTENSIONS), "rejected_type")
-        .when(F.col("file_size_bytes") > max_bytes, "rejected_size")
+        .when(too_large, "rejected_size")
         .when(~F.col("path").rlike(TEXT_EXTENSIONS), "unsupported")
         .otherwise("admitted")
     )

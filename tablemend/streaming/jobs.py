@@ -9,7 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.shipments import to_stored
 from ..plans.manifest import process_manifest
-from ..session import cut
+from ..session import cut, drop_table
 from ..sources.files import explode_text, rows_from_lines, with_width
 from .sinks import read_batches, write_batch
 
@@ -23,7 +23,7 @@ METRIC_SCHEMA = "date date, ingested long, repaired long, failed long"
 
 
 def manifest_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """New manifest files, each whole (files are admitted up to 50 MB)."""
+    """New manifest files, each whole."""
     return (
         spark.readStream.format("text")
         .option("wholetext", True)
@@ -54,6 +54,7 @@ def ingest_batch(hubs: DataFrame, store: str) -> Callable[[DataFrame, int], None
         fresh = unseen(process_manifest(raw), read_batches(spark, store, STORED_SCHEMA, before=batch_id))
         log_id = F.regexp_extract("file_id", r"([^/]+)$", 1)
         write_batch(to_stored(fresh, hubs, log_id), store, batch_id)
+        drop_table(raw)
 
     return run
 

@@ -17,6 +17,8 @@ def test_scans_agree(spark, tmp_path):
     try:
         split = files.scan_large_matrix(spark, str(tmp_path)).withColumn("file_id", key)
         assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
+        chosen = files.scan_matrix(spark, str(tmp_path), whole_bytes=1000).withColumn("file_id", key)
+        assert chosen.exceptAll(whole).count() == 0 and whole.exceptAll(chosen).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert whole.filter("file_id = 'b.txt'").count() == 15
