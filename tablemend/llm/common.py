@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablemend.session import ensure_checkpoint_dir
+from tablemend.session import work_folder
 
 #: the white space that separates words everywhere in this subpackage
 SPACE = r"[\x20\x09-\x0D]"
@@ -45,7 +45,7 @@ def fresh(name: str, taken: Iterable[str]) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share, for the tables of one run."""
-    return f"{ensure_checkpoint_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

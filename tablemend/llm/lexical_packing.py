@@ -1,8 +1,8 @@
 """Packing of documents into training sequences by lexical retrieval.
 
 Document frequencies are counted over all documents, in ``SLOTS`` slots of hashed words. Each document is dealt to
-shards by its most telling word, by ranges of that word's slot and a hash of the text: documents on one subject meet, and a word
-that a third of all documents share spreads over as many shards as it needs. A task builds a BM25 index of the next
+shards by its most telling word, by ranges of that word's slot, hashes of the text and the id, and the row: documents on one subject
+meet, and a word or a text that a third of all documents share spreads over as many shards as it needs. A task builds a BM25 index of the next
 ``INDEX_ROWS`` documents or ``INDEX_BYTES`` of its shard. A seed fills its window; while there is room, the index returns
 the unused documents nearest to the seed, best first; the one that does not fit is cut, and what is left of it seeds the
 next window. Documents without a neighbour follow in the shard's order, so no window stays open: only the tail of a
@@ -307,6 +307,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             yield told()
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    routed = _routed(docs, id_col, text_col, idf).repartitionByRange(shards, "__slot", "__hash")
-    sorted_rows = routed.sortWithinPartitions("__slot", "__hash", id_col)
+    # the last keys tell copies apart, so that a large group of them spreads over shards
+    ranged = ["__slot", "__hash", "__key", "__row"]
+    routed = _routed(docs, id_col, text_col, idf).withColumns(
+        {"__key": F.xxhash64(id_col), "__row": F.monotonically_increasing_id()}
+    )
+    sorted_rows = routed.repartitionByRange(shards, *ranged).sortWithinPartitions(*ranged)
     return sorted_rows.select(id_col, "__text").mapInArrow(run, schema)
