@@ -305,6 +305,14 @@ def _fixed(spark, sf_dir):
     return _wide(K.reconstruct_fixed(data, files.withColumn("bp", bp), rows), 5)
 
 
+def _flatten_balance(spark, sf_dir):
+    """Groups of five rows read through a blueprint of three."""
+    _, data, files = _headed_data(spark, sf_dir)
+    bp = F.array(F.array(F.lit(0), F.lit(1)), F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)))
+    groups = B.group_cycle(data, files.withColumn("cycle", F.lit(5)))
+    return K.flatten_balance(groups, files.withColumn("bp", bp))
+
+
 def _cycle_records(spark, sf_dir):
     rows, data, files = _headed_data(spark, sf_dir)
     cycles = files.withColumn("cycle", F.lit(3))
@@ -402,6 +410,13 @@ QUERIES: dict[str, Query] = {
         ),
     ),
     "reconstruct_fixed": Query(_fixed, CUSTOMERS_SQL),
+    "flatten_balance": Query(
+        _flatten_balance,
+        "SELECT CAST(c_custkey % 16 AS VARCHAR) AS file_id, 3 * count(*) AS rows_in, "
+        "CAST(sum((3 * p % 5 < 3)::INT + ((3 * p + 1) % 5 < 3)::INT + ((3 * p + 2) % 5 < 3)::INT) AS BIGINT) AS rows_used, "
+        "3 * count(*) - CAST(sum((3 * p % 5 < 3)::INT + ((3 * p + 1) % 5 < 3)::INT + ((3 * p + 2) % 5 < 3)::INT) AS BIGINT) AS rows_dropped "
+        "FROM (SELECT c_custkey, row_number() OVER (PARTITION BY c_custkey % 16 ORDER BY c_custkey) - 1 AS p FROM customer) GROUP BY 1",
+    ),
     "reconstruct_cycle": Query(_cycle_records, CUSTOMERS_SQL),
     "validate_periodic": Query(
         _validate_periodic,
