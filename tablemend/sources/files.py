@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import cells as C
 from ..operators.blocks import with_facts
+from ..session import cut
 
 #: a folder whose largest file is larger than this is read in splits
 WHOLE_BYTES = 64 << 20
@@ -49,16 +50,22 @@ def scan_large_matrix(spark: SparkSession, path: str) -> DataFrame:
     The order key is (split start, order inside the split); line numbers come
     from one count per split, so no file is gathered anywhere.
     """
-    lines = (
-        spark.read.text(path)
-        .select(
-            F.col("_metadata.file_path").alias("file_id"),
-            F.col("_metadata.file_block_start").alias("split_start"),
-            F.monotonically_increasing_id().alias("scan_id"),
-            F.col("value").alias("line"),
-        )
-        .filter(C.strip(F.col("line")) != "")
-    )
+    return rows_from_lines(number_lines(spark.read.text(path).select(*line_columns())))
+
+
+def line_columns() -> list[Column]:
+    """What ``number_lines`` needs of a text source that is read line by line."""
+    return [
+        F.col("_metadata.file_path").alias("file_id"),
+        F.col("_metadata.file_block_start").alias("split_start"),
+        F.col("value").alias("line"),
+    ]
+
+
+def number_lines(read: DataFrame) -> DataFrame:
+    """Lines as read in splits, with their numbers among the non-blank lines of their file."""
+    kept = read.withColumn("scan_id", F.monotonically_increasing_id()).filter(C.strip(F.col("line")) != "")
+    lines = cut(kept)  # the ids are read twice below and must agree
     splits = lines.groupBy("file_id", "split_start").agg(
         F.count("*").alias("n"), F.min("scan_id").alias("first_id"), F.max("scan_id").alias("last_id")
     )
@@ -79,12 +86,11 @@ def scan_large_matrix(spark: SparkSession, path: str) -> DataFrame:
     carry = chunk_sizes.select(
         "file_id", "split_start", "chunk", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("carry")
     )
-    numbered = (
+    return (
         keyed.withColumn("rn", F.row_number().over(in_chunk))
         .join(carry, ["file_id", "split_start", "chunk"])
         .withColumn("row_idx", F.col("base") + F.col("carry") + F.col("rn") - 1)
     )
-    return rows_from_lines(numbered)
 
 
 def admit_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:

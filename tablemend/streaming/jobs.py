@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators.shipments import to_stored
 from ..plans.manifest import process_manifest
 from ..session import cut, drop_table
-from ..sources.files import explode_text, rows_from_lines, with_width
+from ..sources.files import line_columns, number_lines, rows_from_lines, with_width
 from .sinks import read_batches, write_batch
 
 STORED_SCHEMA = (
@@ -23,13 +23,12 @@ METRIC_SCHEMA = "date date, ingested long, repaired long, failed long"
 
 
 def manifest_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """New manifest files, each whole."""
+    """Lines of new manifest files; large files are read in splits."""
     return (
         spark.readStream.format("text")
-        .option("wholetext", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(path)
-        .select(F.col("_metadata.file_path").alias("file_id"), "value")
+        .select(*line_columns())
     )
 
 
@@ -50,7 +49,7 @@ def ingest_batch(hubs: DataFrame, store: str) -> Callable[[DataFrame, int], None
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the source files are read once per batch
-        raw = cut(with_width(rows_from_lines(explode_text(batch, "file_id", F.col("value")))))
+        raw = cut(with_width(rows_from_lines(number_lines(batch))))
         fresh = unseen(process_manifest(raw), read_batches(spark, store, STORED_SCHEMA, before=batch_id))
         log_id = F.regexp_extract("file_id", r"([^/]+)$", 1)
         write_batch(to_stored(fresh, hubs, log_id), store, batch_id)

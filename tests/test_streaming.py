@@ -25,7 +25,8 @@ def test_ingest_restarts_without_new_rows(spark, tmp_path):
 
 def test_a_batch_run_twice_overwrites_itself(spark, tmp_path):
     store = str(tmp_path / "store")
-    batch = spark.createDataFrame([("file:/x/a.csv", CLEAN)], "file_id string, value string")
+    lines = [("file:/x/a.csv", 0, line) for line in CLEAN.splitlines()]
+    batch = spark.createDataFrame(lines, "file_id string, split_start long, line string").coalesce(1)
     step = J.ingest_batch(dims.dim_geo_hubs(spark), store)
     step(batch, 0)
     step(batch, 0)
