@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.shipments import to_stored
-from ..plans.manifest import process_manifest
+from ..plans.manifest import manifest_report, process_manifest
 from ..session import cut, drop_table
 from ..sources.files import line_columns, number_lines, rows_from_lines, with_width
+from ..sources.tables import log_events
 from .sinks import read_batches, write_batch
 
 STORED_SCHEMA = (
@@ -43,8 +44,32 @@ def unseen(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return incoming.filter("shipment_id <> ''").join(known, "shipment_id", "left_anti")
 
 
-def ingest_batch(hubs: DataFrame, store: str) -> Callable[[DataFrame, int], None]:
-    """Batch function: clean, drop stored ids, enrich, append."""
+LOG_SCHEMA = (
+    "id long, filename string, file_size_bytes long, status string, rows_total long, rows_repaired long, "
+    "reconstruction_confidence double, error_message string, uploaded_at timestamp, processed_at timestamp, version int"
+)
+
+
+def batch_log(raw: DataFrame) -> DataFrame:
+    """Log events of a batch: every file was opened, and succeeded unless no shipment was found in it."""
+    size = F.sum(F.octet_length(F.array_join("cells", ",", "")) + 1)
+    seen = raw.groupBy("file_id").agg(size.alias("file_size_bytes"))
+    told = seen.join(manifest_report(raw), "file_id", "left").select(
+        F.xxhash64("file_id").alias("id"), F.regexp_extract("file_id", r"([^/]+)$", 1).alias("filename"),
+        "file_size_bytes", F.coalesce("rows_out", F.lit(0)).alias("rows_total"),
+        F.coalesce("anomalies_repaired", F.lit(0)).alias("rows_repaired"), F.current_timestamp().alias("at"),
+        F.when(F.coalesce("rows_out", F.lit(0)) == 0, "no shipment found").alias("error_message"),
+        F.col("confidence").alias("reconstruction_confidence"),
+    )
+    opened = told.select("id", "filename", "file_size_bytes", F.col("at").alias("uploaded_at"))
+    outcomes = told.select(
+        "id", "rows_total", "rows_repaired", "reconstruction_confidence", "error_message", F.col("at").alias("processed_at")
+    )
+    return log_events(opened, outcomes)
+
+
+def ingest_batch(hubs: DataFrame, store: str, log: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Batch function: clean, drop stored ids, enrich, append; with ``log``, events of each file go there."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -53,18 +78,21 @@ def ingest_batch(hubs: DataFrame, store: str) -> Callable[[DataFrame, int], None
         fresh = unseen(process_manifest(raw), read_batches(spark, store, STORED_SCHEMA, before=batch_id))
         log_id = F.regexp_extract("file_id", r"([^/]+)$", 1)
         write_batch(to_stored(fresh, hubs, log_id), store, batch_id)
+        if log is not None:
+            write_batch(batch_log(raw), log, batch_id)
         drop_table(raw)
 
     return run
 
 
 def stream_ingest(
-    spark: SparkSession, path: str, store: str, checkpoint: str, hubs: DataFrame, files_per_batch: int = 1000
-) -> DataStreamWriter:
+    spark: SparkSession, path: str, store: str, checkpoint: str, hubs: DataFrame, files_per_batch: int = 1000,
+    log: str | None = None,
+) -> DataStreamWriter:
     return (
         manifest_stream(spark, path, files_per_batch)
         .writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(ingest_batch(hubs, store))
+        .foreachBatch(ingest_batch(hubs, store, log))
     )
 
 

@@ -1,4 +1,4 @@
-from tablemend.sources import dims
+from tablemend.sources import dims, tables
 from tablemend.streaming import jobs as J
 from tablemend.streaming.sinks import read_batches
 from tests.fixtures import ALIASED, CHAOTIC, CLEAN
@@ -9,7 +9,8 @@ def test_ingest_restarts_without_new_rows(spark, tmp_path):
     source.mkdir()
     (source / "a.csv").write_text(CLEAN)
     (source / "b.csv").write_text(CHAOTIC)
-    run = lambda: J.drain(J.stream_ingest(spark, str(source), store, state, dims.dim_geo_hubs(spark), files_per_batch=1))
+    log = str(tmp_path / "log")
+    run = lambda: J.drain(J.stream_ingest(spark, str(source), store, state, dims.dim_geo_hubs(spark), files_per_batch=1, log=log))
     stored = lambda: read_batches(spark, store, J.STORED_SCHEMA)
     run()
     assert stored().count() == 25
@@ -21,6 +22,11 @@ def test_ingest_restarts_without_new_rows(spark, tmp_path):
     run()
     assert stored().count() == 31
     assert {r[0] for r in stored().select("ingestion_log_id").distinct().collect()} == {"a.csv", "b.csv", "d.csv"}
+    # a file without shipments is logged as failed
+    (source / "e.csv").write_text("shipment_id,origin_hub\n")
+    run()
+    state_of = {r["filename"]: (r["status"], r["rows_total"]) for r in tables.latest_log(read_batches(spark, log, J.LOG_SCHEMA).drop("batch_id")).collect()}
+    assert state_of == {"a.csv": ("success", 5), "b.csv": ("success", 20), "c.csv": ("success", 5), "d.csv": ("success", 6), "e.csv": ("failed", 0)}
 
 
 def test_a_batch_run_twice_overwrites_itself(spark, tmp_path):
