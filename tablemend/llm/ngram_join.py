@@ -246,7 +246,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
     def star(frame: DataFrame, large: bool) -> DataFrame:
         near = both_ways(frame) if large else frame.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # saved, so that the join deals out both sides anew and can split a key that many neighbours share
+        least = saved(near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         moved = near.join(least, "a")
         if large:
             moved = moved.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
