@@ -131,15 +131,47 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END, ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 10 * c >= 8 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT r.a AS doc_id, min(r.b) AS class_id, coalesce(any_value(k.n_links), 0) AS n_links, min(r.b) = r.a AS kept
+FROM r LEFT JOIN (SELECT a, count(*) AS n_links FROM e GROUP BY a) k ON k.a = r.a GROUP BY r.a
+"""
+
+OP8_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, length(d) AS n_chars, d AS text FROM (SELECT page_id, url,
+  replace(replace(replace(replace(replace(text, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS d FROM b)
+"""
+
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+d AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY g) > 1),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM d CROSS JOIN range(0, 35) t(o)),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM u ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_compression_quality": Query(op1_compression_quality),
-    "op2_ngram_jaccard_join": Query(op2_ngram_jaccard_join),
+    "op2_ngram_jaccard_join": Query(op2_ngram_jaccard_join, OP2_SQL),
     "op3_byte_bpe": Query(op3_byte_bpe),
     "op4_pii_boosting": Query(op4_pii_boosting),
     "op5_imatch": Query(op5_imatch),
     "op6_rule_ledger": Query(op6_rule_ledger, OP6_SQL),
     "op7_secret_ledger": Query(op7_secret_ledger),
-    "op8_wrappers": Query(op8_wrappers),
-    "op9_recompression": Query(op9_recompression),
+    "op8_wrappers": Query(op8_wrappers, OP8_SQL),
+    "op9_recompression": Query(op9_recompression, OP9_SQL),
     "op10_lexical_packing": Query(op10_lexical_packing),
 }
