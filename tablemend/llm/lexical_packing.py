@@ -1,8 +1,9 @@
 """Packing of documents into training sequences by lexical retrieval.
 
 Document frequencies are counted over all documents, in ``SLOTS`` slots of hashed words. Each document is dealt to
-shards by its most telling word, by ranges of that word's slot, hashes of the text and the id, and the row: documents on one subject
-meet, and a word or a text that a third of all documents share spreads over as many shards as it needs. A task builds a BM25 index of the next
+shards by one of its words, drawn so that telling words win and equal words draw alike, by ranges of that draw, hashes of
+the text and the id, and the row: documents on one subject meet, and a word or a text that a third of all documents
+share spreads over as many shards as it needs. A task builds a BM25 index of the next
 ``INDEX_ROWS`` documents or ``INDEX_BYTES`` of its shard. A seed fills its window; while there is room, the index returns
 the unused documents nearest to the seed, best first; the one that does not fit is cut, and what is left of it seeds the
 next window. Documents without a neighbour follow in the shard's order, so no window stays open: only the tail of a
@@ -17,7 +18,6 @@ own. An empty table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,9 +41,9 @@ SLOTS = 1 << 18
 INDEX_ROWS, INDEX_BYTES = 2048, 8 << 20
 #: words of a seed that are looked up
 QUERY = 16
-CACHE = 300_000
+#: pieces whose ids a worker keeps, and the marks that are looked up apart from the word before them
+CACHE, MARKS = 500_000, ".,;:!?"
 _K, _B = 1.2, 0.75
-_JOINS = re.compile(f"[{BLANK}] ")
 
 
 @lru_cache(maxsize=2)
@@ -53,16 +53,15 @@ def _tokenizer(path: str) -> Tokenizer:
     return tokenizer
 
 
-_cache: dict[str, bytes] = {}
+#: ids of pieces by what follows their leading space, and of pieces without one
+_spaced: dict[str, bytes] = {}
+_plain: dict[str, bytes] = {}
+_BEFORE_SPACE = [blank + " " for blank in BLANK]
 
 
 def pieces(text: str) -> list[str]:
     """Cuts before each space that follows a character other than white space."""
     parts = text.split(" ")
-    if len(parts) == 1:
-        return parts
-    if _JOINS.search(text) is None and text[0] != " ":
-        return [parts[0], *[" " + part for part in parts[1:]]]
     out = [parts[0]]
     for part in parts[1:]:
         if out[-1] and out[-1][-1] not in BLANK:
@@ -72,19 +71,63 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+def _fresh(pieces_: list[str], path: str) -> list[bytes]:
+    found = _tokenizer(path).encode_batch_fast(pieces_, add_special_tokens=False)
+    return [np.array(f.ids, "<u4").tobytes() for f in found]
+
+
+def _marks(piece: str) -> tuple[str, str]:
+    """A piece before and from its trailing marks; no token spans a letter or digit and a mark after it."""
+    core = piece.rstrip(MARKS)
+    return (core, piece[len(core) :]) if core and core[-1].isalnum() else (piece, "")
+
+
+def _learn(missing: set[str], lead: str, known: dict[str, bytes], path: str) -> dict[str, bytes]:
+    """Ids of pieces that are not known: without their trailing marks where that is known, else encoded."""
+    parts = {p: _marks(p) for p in missing}
+    cores = [c for c in {core for core, _ in parts.values()} if c not in known]
+    some = dict(zip(cores, _fresh([lead + c for c in cores], path), strict=True)) if cores else {}
+    marks = [m for m in {m for _, m in parts.values()} if m and m not in _plain]
+    if marks:
+        _plain.update(zip(marks, _fresh(marks, path), strict=True))
+    found = {}
+    for piece, (core, mark) in parts.items():
+        found[piece] = (known[core] if core in known else some[core]) + (_plain[mark] if mark else b"")
+    for more in (some, found):
+        room = CACHE - len(known)
+        known.update(list(more.items())[: max(room, 0)] if len(more) > room else more)
+    return found
+
+
 def encoded(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids of texts, each with the closing id, as little-endian unsigned 32-bit integers."""
-    cut = [pieces(t) if t else [] for t in texts]
-    fresh = list({p for own in cut for p in own if p not in _cache})
-    if len(_cache) + len(fresh) > CACHE:
-        _cache.clear()
-        fresh = list({p for own in cut for p in own})
-    for at in range(0, len(fresh), 4096):
-        some = fresh[at : at + 4096]
-        for piece, found in zip(some, _tokenizer(path).encode_batch_fast(some, add_special_tokens=False), strict=True):
-            _cache[piece] = np.array(found.ids, "<u4").tobytes()
+    """Ids of texts, each with the closing id, as little-endian unsigned 32-bit integers.
+
+    The first ``CACHE`` pieces that a worker meets are kept: frequent ones come early.
+    """
+    heads: list[list[str]] = []
+    rests: list[list[str]] = []
+    for text in texts:
+        if not text:
+            heads.append([])
+            rests.append([])
+        elif text[0] == " " or any(blank in text for blank in _BEFORE_SPACE):
+            heads.append(pieces(text))
+            rests.append([])
+        else:
+            first, *rest = text.split(" ")
+            heads.append([first])
+            rests.append(rest)
+    out: list[list[bytes]] = []
+    for lead, known, rows in (("", _plain, heads), (" ", _spaced, rests)):
+        ids = [list(map(known.get, row)) for row in rows]
+        gaps = [at for at, row in enumerate(ids) if None in row]
+        missing = {p for at in gaps for p, i in zip(rows[at], ids[at], strict=True) if i is None}
+        found = _learn(missing, lead, known, path) if missing else {}
+        for at in gaps:
+            ids[at] = [found[p] if i is None else i for p, i in zip(rows[at], ids[at], strict=True)]
+        out = [a + b for a, b in zip(out, ids, strict=True)] if out else ids
     closing = np.array([CLOSING], "<u4").tobytes()
-    return [b"".join([_cache[p] for p in own]) + closing for own in cut]
+    return [b"".join(row) + closing for row in out]
 
 
 def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -136,9 +179,10 @@ class Index:
         values, first = np.unique(slot[order], return_index=True)
         self.range = {int(v): (int(a), int(b)) for v, a, b in zip(values, first, [*first[1:], len(order)], strict=True) if b - a > 1}
         # the heaviest words of each document that some other one of the index has as well
-        shared = np.isin(slot, np.fromiter(self.range, np.int64, len(self.range)))
-        by = np.lexsort((slot, -weight, doc))
-        by = by[shared[by] & (idf[slot[by]] > 0)]
+        common = np.zeros(SLOTS, bool)
+        common[np.fromiter(self.range, np.int64, len(self.range))] = True
+        use = np.flatnonzero(common[slot] & (idf[slot] > 0))
+        by = use[np.argsort(doc[use] - weight[use] / (weight.max(initial=0.0) + 1.0), kind="stable")]
         self.slot = slot[by]
         self.start = np.searchsorted(doc[by], np.arange(len(texts) + 1))
         self.unused = np.ones(len(texts), bool)
@@ -222,13 +266,31 @@ class Packer:
             yield from self._closed(tail(self.held))
 
 
+def _routes(texts: list[str | None], idf: np.ndarray) -> np.ndarray:
+    """Of each text, the least of its words' draws, in which a word's chance grows with what it tells.
+
+    Equal words draw alike everywhere, so texts that share telling words often have the same route.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    hashes, places = word_hashes(b"\n".join(raw))
+    found = np.full(len(raw), np.inf)
+    if len(hashes):
+        first = np.searchsorted(places, np.cumsum([0, *[len(r) + 1 for r in raw]]))
+        chance = ((hashes >> U64(11)).astype(np.float64) + 0.5) / 2.0**53
+        with np.errstate(divide="ignore"):
+            draws = -np.log(chance) / idf[(hashes % U64(SLOTS)).astype(np.int64)]
+        some = np.flatnonzero(np.diff(first) > 0)
+        found[some] = np.minimum.reduceat(draws, first[some])
+    return found
+
+
 def _routed(docs: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:
-    """Adds the slot of each document's most telling word (-1 without one) and a hash of its text."""
+    """Adds the route of each document and a hash of its text."""
     schema = T.StructType(
         [
             field_of(docs, id_col),
             T.StructField("__text", T.StringType()),
-            T.StructField("__slot", T.IntegerType()),
+            T.StructField("__route", T.DoubleType()),
             T.StructField("__hash", T.LongType()),
         ]
     )
@@ -237,14 +299,8 @@ def _routed(docs: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:
         for batch in batches:
             for start, end in slices(batch, [len(t.as_py() or "") for t in batch.column(1)]):
                 part = batch.slice(start, end - start)
-                doc, slot, times, _ = _terms(part.column(1).to_pylist())
-                weight = idf.value[slot] * times / (times + _K)
-                by = np.lexsort((slot, -weight, doc))
-                by = by[weight[by] > 0]
-                first = by[np.unique(doc[by], return_index=True)[1]] if len(by) else by
-                best = np.full(end - start, -1, np.int32)
-                best[doc[first]] = slot[first]
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(best), part.column(2)], names=schema.names)
+                routes = pa.array(_routes(part.column(1).to_pylist(), idf.value))
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], routes, part.column(2)], names=schema.names)
 
     text = F.col(text_col)
     return docs.select(id_col, text.alias("__text"), F.xxhash64(text).alias("__hash")).mapInArrow(run, schema)
@@ -308,7 +364,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the last keys tell copies apart, so that a large group of them spreads over shards
-    ranged = ["__slot", "__hash", "__key", "__row"]
+    ranged = ["__route", "__hash", "__key", "__row"]
     routed = _routed(docs, id_col, text_col, idf).withColumns(
         {"__key": F.xxhash64(id_col), "__row": F.monotonically_increasing_id()}
     )

@@ -97,5 +97,13 @@ def test_index_ranks_as_bm25():
     assert index.nearest(0).tolist() == [-k for _, k in sorted(scores, reverse=True)]
 
 
+def test_routes_follow_shared_telling_words():
+    idf = np.full(L.SLOTS, 1e-6)
+    telling = L._terms(["zebra"])[1][0]
+    idf[telling] = 10.0
+    routes = L._routes(["the zebra ran", "a zebra sat", "the cat ran", None, ""], idf)
+    assert routes[0] == routes[1] != routes[2] and np.isinf(routes[3:]).all()
+
+
 def test_tail_is_cut_into_powers_of_two():
     assert L.tail(1023) == [512, 256, 128, 64, 32, 16, 8, 4, 2, 1] and L.tail(8) == [8] and L.tail(0) == []
