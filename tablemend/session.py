@@ -15,6 +15,8 @@ DEFAULTS = {
     # cell expressions are heavy for their bytes: keep small shuffles parallel
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # what an executor and its Python workers hold of a batch, whatever the length of rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 
