@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from tablemend.llm import compression_quality, lexical_packing, ngram_join, recompression, secret_ledger
 from tablemend.llm.common import fresh, saved, scratch, table
+from tablemend.session import prepare
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts."""
+    prepare(spark)
     model = compression_quality.fit(compression_quality.labelled(docs, table(spark, sf_dir, "labels")))
     score = fresh("score", docs.columns)
     scored = compression_quality.score(docs, model, docs.columns, output=score)
@@ -25,11 +27,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of texts that share most of their word 5-grams."""
+    prepare(spark)
     return ngram_join.one_of_each(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages that occur anywhere else; a text without any keeps its layout."""
+    prepare(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     words, removed, kept = (fresh(name, docs.columns) for name in ("n_words", "n_removed", "kept"))
     found = recompression.without_repeats(docs, others=others, as_is=True, names=(words, removed, kept))
@@ -39,6 +43,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with found secrets replaced by marks."""
+    prepare(spark)
     ledger = secret_ledger.update(spark, docs, scratch(spark, "ledger"))
     clean = secret_ledger.redacted(docs, ledger)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -46,7 +51,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full sequences, neighbours by lexical retrieval."""
-    return lexical_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    prepare(spark)
+    # workers keep fewer pieces here, since they have run the stages before
+    return lexical_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=100_000)
 
 
 STAGES = [

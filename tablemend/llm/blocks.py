@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from .common import saved, slices
 
 #: text bytes and rows of a block, unless one document is larger; blocks of one task
-BLOCK_BYTES, BLOCK_ROWS, BLOCKS = 4 << 20, 1 << 16, 1 << 20
+BLOCK_BYTES, BLOCK_ROWS, BLOCKS = 2 << 20, 1 << 16, 1 << 20
 #: bytes of text that are hashed at a time
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 U64 = np.uint64
 PRIME, OTHER = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)

@@ -38,7 +38,7 @@ WINDOW, CLOSING = 1024, 0
 #: slots of hashed words: the size of what is broadcast, 8 bytes each, whatever the size of the corpus
 SLOTS = 1 << 18
 #: documents and text bytes of one index
-INDEX_ROWS, INDEX_BYTES = 2048, 8 << 20
+INDEX_ROWS, INDEX_BYTES = 2048, 4 << 20
 #: words of a seed that are looked up
 QUERY = 16
 #: pieces whose ids a worker keeps, and the marks that are looked up apart from the word before them
@@ -82,7 +82,7 @@ def _marks(piece: str) -> tuple[str, str]:
     return (core, piece[len(core) :]) if core and core[-1].isalnum() else (piece, "")
 
 
-def _learn(missing: set[str], lead: str, known: dict[str, bytes], path: str) -> dict[str, bytes]:
+def _learn(missing: set[str], lead: str, known: dict[str, bytes], path: str, cache: int) -> dict[str, bytes]:
     """Ids of pieces that are not known: without their trailing marks where that is known, else encoded."""
     parts = {p: _marks(p) for p in missing}
     cores = [c for c in {core for core, _ in parts.values()} if c not in known]
@@ -94,15 +94,15 @@ def _learn(missing: set[str], lead: str, known: dict[str, bytes], path: str) ->
     for piece, (core, mark) in parts.items():
         found[piece] = (known[core] if core in known else some[core]) + (_plain[mark] if mark else b"")
     for more in (some, found):
-        room = CACHE - len(known)
+        room = cache - len(known)
         known.update(list(more.items())[: max(room, 0)] if len(more) > room else more)
     return found
 
 
-def encoded(texts: list[str | None], path: str) -> list[bytes]:
+def encoded(texts: list[str | None], path: str, cache: int = CACHE) -> list[bytes]:
     """Ids of texts, each with the closing id, as little-endian unsigned 32-bit integers.
 
-    The first ``CACHE`` pieces that a worker meets are kept: frequent ones come early.
+    The first ``cache`` pieces that a worker meets are kept: frequent ones come early.
     """
     heads: list[list[str]] = []
     rests: list[list[str]] = []
@@ -122,7 +122,7 @@ def encoded(texts: list[str | None], path: str) -> list[bytes]:
         ids = [list(map(known.get, row)) for row in rows]
         gaps = [at for at, row in enumerate(ids) if None in row]
         missing = {p for at in gaps for p, i in zip(rows[at], ids[at], strict=True) if i is None}
-        found = _learn(missing, lead, known, path) if missing else {}
+        found = _learn(missing, lead, known, path, cache) if missing else {}
         for at in gaps:
             ids[at] = [found[p] if i is None else i for p, i in zip(rows[at], ids[at], strict=True)]
         out = [a + b for a, b in zip(out, ids, strict=True)] if out else ids
@@ -306,7 +306,9 @@ def _routed(docs: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:
     return docs.select(id_col, text.alias("__text"), F.xxhash64(text).alias("__hash")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE
+) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
     spark = docs.sparkSession
     frequency, n, mean = statistics(docs, text_col)
@@ -336,7 +338,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         def packed() -> Iterator[pa.RecordBatch]:
             ids = []
             for start in range(0, len(texts), 256):
-                ids += encoded(texts[start : start + 256], tokenizer_path)
+                ids += encoded(texts[start : start + 256], tokenizer_path, cache)
             for at in order(texts, [len(i) // 4 for i in ids], idf.value, mean, WINDOW - packer.held):
                 out.extend(packer.add(keys[at], ids[at]))
                 if len(out) >= 4096:

@@ -28,10 +28,13 @@ def test_pieces_give_the_ids_of_the_whole(text):
     assert L.encoded([text], PATH) == [whole(text)]
 
 
-def test_full_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr(L, "CACHE", 3)
-    texts = ["a b c d e f", "g h i", "a b c d e f"]
-    assert L.encoded(texts, PATH) == [whole(t) for t in texts]
+def test_full_cache_learns_no_more():
+    L._spaced.clear()
+    L._plain.clear()
+    texts = ["a b, c d e. f", "g h i!", "a b, c d e. f"]
+    for _ in range(2):
+        assert L.encoded(texts, PATH, cache=3) == [whole(t) for t in texts]
+        assert len(L._spaced) == 3
 
 
 def checked(rows, found):
