@@ -15,7 +15,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import saved, slices
+from .common import lean, saved, slices
 
 #: text bytes and rows of a block, unless one document is larger; blocks of one task
 BLOCK_BYTES, BLOCK_ROWS, BLOCKS = 2 << 20, 1 << 16, 1 << 20
@@ -76,6 +76,7 @@ def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     Blocks hold the id first, then the text, then the other columns.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() * BLOCKS
         press = zstandard.ZstdCompressor(level=3)

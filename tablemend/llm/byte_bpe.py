@@ -22,15 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_of, slices
+from .common import BLANK, field_of, lean, slices
 
 #: texts beyond this many characters are encoded in pieces
 PIECE = 1 << 16
 
-#: Unicode white space as the splitting pattern's engine has it
-BLANK = "".join(
-    map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
-)
 _SAFE = re.compile(f"(?<=[^{BLANK}])(?=[{BLANK}])")
 
 
@@ -69,6 +65,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         [field_of(docs, id_col), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoding(ranks_path, pattern)
         for batch in batches:
@@ -92,6 +89,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str, ids_col: str = "id
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
     at = encoded.columns.index(ids_col)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoding(ranks_path, pattern)
         for batch in batches:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_of, fresh, saved, slices
+from .common import field_of, fresh, lean, saved, slices
 
 #: bounds of the sample: documents of each label, lines of each label, bytes of a line
 ROWS, PIECES, PIECE_BYTES = 6000, 12_000, 512
@@ -121,6 +121,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: i
 def _map(rows: DataFrame, keep: list[str], text_col: str, model: Model, outputs: list[T.StructField], run) -> DataFrame:
     schema = T.StructType([*[field_of(rows, c) for c in keep], *outputs])
 
+    @lean
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             texts = batch.column(len(keep))

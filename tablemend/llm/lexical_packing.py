@@ -31,8 +31,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .blocks import U64, word_hashes
-from .byte_bpe import BLANK
-from .common import field_of, slices
+from .common import BLANK, field_of, lean, slices
 
 WINDOW, CLOSING = 1024, 0
 #: slots of hashed words: the size of what is broadcast, 8 bytes each, whatever the size of the corpus
@@ -142,6 +141,7 @@ def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def statistics(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int, float]:
     """Document frequency of each slot, number of documents, mean words of a document; over all documents."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS + 2, np.int64)
         for batch in batches:
@@ -295,6 +295,7 @@ def _routed(docs: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:
         ]
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, end in slices(batch, [len(t.as_py() or "") for t in batch.column(1)]):
@@ -321,6 +322,7 @@ def pack(
     )
     key_type = pa.int64()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 32)
         keys: list = []

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BLOCK_ROWS, OTHER, PRIME, U64, mix, powers, to_blocks, unpacked, word_hashes
-from .common import field_of, saved
+from .common import field_of, lean, saved
 
 NGRAM, SIMILARITY, RECALL = 5, 0.8, 0.995
 #: trees, and values of a path before it is shortened
@@ -95,6 +95,7 @@ def _signed(blocks: DataFrame, id_field: T.StructField, length: int) -> DataFram
         ]
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, rows in zip(batch.column(0), batch.column(1), strict=True):
@@ -129,6 +130,7 @@ def _members(blocks: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = "tree int, path bigint, low int, high int, part int, key bigint, weight bigint, paths binary, grams binary"
     names = [c.split()[0] for c in schema.split(", ")]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, wants in zip(batch.column(0), batch.column(1), strict=True):
@@ -221,6 +223,7 @@ def _links(members: DataFrame, similarity: float) -> DataFrame:
             return None
         return pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(counts[some]), pa.array(keys[root[some]])], names=names)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows = None, []
         for batch in batches:
@@ -333,6 +336,7 @@ def one_of_each(
     )
     schema = T.StructType([field_of(docs, c) for c in (id_col, text_col, *others)])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, own in zip(batch.column(0), batch.column(1), strict=True):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import OTHER, PRIME, U64, mix, powers, to_blocks, unpacked, word_hashes
-from .common import field_of, saved
+from .common import field_of, lean, saved
 
 WINDOW = 35
 #: rounds of pairs; further rounds leave windows of 35 words without a whole name
@@ -139,6 +139,7 @@ def _set(value: pa.Scalar) -> np.ndarray:
 def block_names(blocks: DataFrame) -> DataFrame:
     """Distinct names of each block, and whether it holds them twice or more."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, rows in zip(batch.column(0), batch.column(1), strict=True):
@@ -157,6 +158,7 @@ def block_names(blocks: DataFrame) -> DataFrame:
 def block_windows(known: DataFrame) -> DataFrame:
     """Distinct hashes of the candidate windows of each block, and whether it holds them twice or more."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, rows, shared in zip(*batch.columns[:3], strict=True):
@@ -209,6 +211,7 @@ def without_repeats(
         ]
     )
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, found, once in zip(*batch.columns[:3], strict=True):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field_of, saved, slices
+from .common import field_of, lean, saved, slices
 
 #: groups that the parts of a host are aligned in before they meet
 SPREAD = 16
@@ -321,6 +321,7 @@ def _one(parts: pd.DataFrame) -> str:
 def infer(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One wrapper per host, from all of its pages."""
 
+    @lean
     def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Block] = {}
 
@@ -362,6 +363,7 @@ def main_text(
     size = known.agg(F.sum(F.octet_length("__wrapper"))).first()[0] or 0
     joined = rows.join(F.broadcast(known) if size <= BROADCAST_BYTES else known, "__host", "left")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, dict[str, frozenset[str]]] = {}
         for batch in batches:
