@@ -53,7 +53,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of full sequences, neighbours by lexical retrieval."""
     prepare(spark)
     # workers keep fewer pieces here, since they have run the stages before
-    return lexical_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=100_000)
+    return lexical_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), cache=50_000)
 
 
 STAGES = [

@@ -37,7 +37,7 @@ WINDOW, CLOSING = 1024, 0
 #: slots of hashed words: the size of what is broadcast, 8 bytes each, whatever the size of the corpus
 SLOTS = 1 << 18
 #: documents and text bytes of one index
-INDEX_ROWS, INDEX_BYTES = 2048, 4 << 20
+INDEX_ROWS, INDEX_BYTES = 2048, 2 << 20
 #: words of a seed that are looked up
 QUERY = 16
 #: pieces whose ids a worker keeps, and the marks that are looked up apart from the word before them
