@@ -1,13 +1,17 @@
 """Packing of documents into training sequences by lexical retrieval.
 
-Document frequencies are counted over all documents, in ``SLOTS`` slots of hashed words. Each document is dealt to
-shards by one of its words, drawn so that telling words win and equal words draw alike, by ranges of that draw, hashes of
-the text and the id, and the row: documents on one subject meet, and a word or a text that a third of all documents
-share spreads over as many shards as it needs. A task builds a BM25 index of the next
-``INDEX_ROWS`` documents or ``INDEX_BYTES`` of its shard. A seed fills its window; while there is room, the index returns
-the unused documents nearest to the seed, best first; the one that does not fit is cut, and what is left of it seeds the
-next window. Documents without a neighbour follow in the shard's order, so no window stays open: only the tail of a
-shard is short, and it is cut into sequences whose lengths are powers of two. Nothing is padded and no token is lost.
+Each document is dealt to shards by one of its words, drawn so that telling words win and equal words draw alike, by
+ranges of that draw, hashes of the text and the id, and the row: documents on one subject meet, and a word or a text that
+a third of all documents share spreads over as many shards as it needs. The draw weighs words by frequencies in ``SLOTS``
+slots of hashed words. A shard holds about ``SHARD_BYTES`` of text and is one BM25 index, whatever its size: its postings,
+word lists and ids lie in temporary files of its task, and memory holds a few numbers per document and distinct word.
+BM25 weighs words by the number of all documents that hold them, counted by word and joined to the shards that need it.
+
+A seed fills its window; while there is room, the index returns the unused documents nearest to the seed by all of its
+words, best first; the one that does not fit is cut, and what is left of it seeds the next window. Documents without a
+neighbour follow in the shard's order, so no window stays open: only the tail of a shard is short, and it is cut into
+sequences whose lengths are powers of two. Nothing is padded and no token is lost. Shards do not ask each other, since
+which documents are unused is known in order only.
 
 Ids are those of the tokenizers library. Texts are cut before white space that follows another character, where no
 token can span (see ``byte_bpe``), and the ids of such pieces are kept per worker, up to ``CACHE`` pieces.
@@ -18,28 +22,31 @@ own. An empty table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from .blocks import U64, word_hashes
-from .common import BLANK, field_of, lean, slices
+from .blocks import U64, unpacked, word_hashes
+from .common import BLANK, field_of, lean, saved, slices
 
 WINDOW, CLOSING = 1024, 0
 #: slots of hashed words: the size of what is broadcast, 8 bytes each, whatever the size of the corpus
 SLOTS = 1 << 18
-#: documents and text bytes of one index
-INDEX_ROWS, INDEX_BYTES = 2048, 2 << 20
-#: words of a seed that are looked up
-QUERY = 16
+#: text bytes of a shard, from which the number of shards follows
+SHARD_BYTES = 16 << 20
+#: documents and text bytes whose postings are sorted at a time, and parts that a shard's postings are gathered in
+INDEX_ROWS, INDEX_BYTES, PARTS = 2048, 2 << 20, 64
 #: pieces whose ids a worker keeps, and the marks that are looked up apart from the word before them
 CACHE, MARKS = 500_000, ".,;:!?"
 _K, _B = 1.2, 0.75
@@ -138,12 +145,12 @@ def _terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return both // SLOTS, both % SLOTS, times, np.bincount(doc, minlength=len(raw))
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int, float]:
-    """Document frequency of each slot, number of documents, mean words of a document; over all documents."""
+def statistics(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int, float, int]:
+    """Document frequency of each slot, number of documents, mean words of a document, characters; over all documents."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS + 2, np.int64)
+        counts = np.zeros(SLOTS + 3, np.int64)
         for batch in batches:
             sizes = [len(t.as_py() or "") for t in batch.column(0)]
             for start, end in slices(batch, sizes):
@@ -151,16 +158,17 @@ def statistics(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int
                 counts[:SLOTS] += np.bincount(slot, minlength=SLOTS)
                 counts[SLOTS] += end - start
                 counts[SLOTS + 1] += words.sum()
+                counts[SLOTS + 2] += sum(sizes[start:end])
         some = np.flatnonzero(counts)
         for at in range(0, len(some), 1 << 16):
             part = some[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["slot", "n"])
 
     rows = docs.select(text_col).mapInArrow(run, "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    found = np.zeros(SLOTS + 2, np.int64)
-    table = rows.toArrow()  # SLOTS + 2 rows at most
+    found = np.zeros(SLOTS + 3, np.int64)
+    table = rows.toArrow()  # SLOTS + 3 rows at most
     found[table.column("slot").to_numpy()] = table.column("n").to_numpy()
-    return found[:SLOTS], int(found[SLOTS]), float(found[SLOTS + 1]) / max(int(found[SLOTS]), 1)
+    return found[:SLOTS], int(found[SLOTS]), float(found[SLOTS + 1]) / max(int(found[SLOTS]), 1), int(found[SLOTS + 2])
 
 
 def _weights(frequency: np.ndarray, n: int) -> np.ndarray:
@@ -168,41 +176,131 @@ def _weights(frequency: np.ndarray, n: int) -> np.ndarray:
     return np.where(frequency > 1, np.log1p((n - frequency + 0.5) / (frequency + 0.5)), 0.0)
 
 
+class Spill:
+    """Bytes in a temporary file without a name, appended and read by place."""
+
+    def __init__(self):
+        self.file, self.size = tempfile.TemporaryFile(buffering=0), 0  # noqa: SIM115
+
+    def add(self, data: bytes) -> int:
+        at, view = self.size, memoryview(data)
+        while view:
+            view = view[self.file.write(view) :]
+        self.size += len(data)
+        return at
+
+    def read(self, at: int, size: int) -> bytes:
+        found = os.pread(self.file.fileno(), size, at)
+        while len(found) < size:
+            found += os.pread(self.file.fileno(), size - len(found), at + len(found))
+        return found
+
+    def close(self) -> None:
+        self.file.close()
+
+
+_POSTING = np.dtype([("doc", "<i4"), ("weight", "<f4")])
+_ENTRY = np.dtype([("word", "<i4"), ("doc", "<i4"), ("weight", "<f4")])
+
+
 class Index:
-    """BM25 over a bounded number of documents, with corpus-wide frequencies."""
-
-    def __init__(self, texts: list[str | None], idf: np.ndarray, mean: float):
-        doc, slot, times, words = _terms(texts)
-        weight = idf[slot] * times * (_K + 1) / (times + _K * (1 - _B + _B * words[doc] / max(mean, 1.0)))
-        order = np.argsort(slot, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        values, first = np.unique(slot[order], return_index=True)
-        self.range = {int(v): (int(a), int(b)) for v, a, b in zip(values, first, [*first[1:], len(order)], strict=True) if b - a > 1}
-        # the heaviest words of each document that some other one of the index has as well
-        common = np.zeros(SLOTS, bool)
-        common[np.fromiter(self.range, np.int64, len(self.range))] = True
-        use = np.flatnonzero(common[slot] & (idf[slot] > 0))
-        by = use[np.argsort(doc[use] - weight[use] / (weight.max(initial=0.0) + 1.0), kind="stable")]
-        self.slot = slot[by]
-        self.start = np.searchsorted(doc[by], np.arange(len(texts) + 1))
-        self.unused = np.ones(len(texts), bool)
+    """BM25 over any number of documents, with corpus-wide weights of words.
+
+    ``idf`` has the weights of the sorted hashes ``words``, or of slots where these are not given; other words count
+    nothing. Postings and the word list of each document lie in temporary files.
+    """
+
+    def __init__(self, texts: list[str | None], idf: np.ndarray, mean: float, words: np.ndarray | None = None):
+        self.idf, self.mean, self.words = idf, mean, words
+        self.runs, self.bounds = Spill(), []
+        self.lists, self.start = Spill(), [0]
+        if texts:
+            self.add(texts)
+            self.build()
+
+    def add(self, texts: list[str | None]) -> None:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        hashes, places = word_hashes(b"\n".join(raw))
+        doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), places, side="right")
+        sizes = np.bincount(doc, minlength=len(raw))
+        if self.words is None:
+            word = (hashes % U64(SLOTS)).astype(np.int64)
+        elif len(self.words):
+            word = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+            known = self.words[word] == hashes
+            word, doc = word[known], doc[known]
+        else:
+            word, doc = np.empty(0, np.int64), np.empty(0, np.int64)
+        n = max(len(self.idf), 1)
+        both, times = np.unique(doc * n + word, return_counts=True)
+        doc, word = both // n, both % n
+        first = len(self.start) - 1
+        self.lists.add(word.astype("<i4").tobytes())
+        self.start += (self.start[-1] + np.searchsorted(doc, np.arange(1, len(texts) + 1))).tolist()
+        entries = np.empty(len(word), _ENTRY)
+        entries["word"], entries["doc"] = word, doc + first
+        entries["weight"] = self.idf[word] * times * (_K + 1) / (times + _K * (1 - _B + _B * sizes[doc] / max(self.mean, 1.0)))
+        entries = entries[np.argsort(word, kind="stable")]
+        at = self.runs.add(entries.tobytes())
+        cuts = np.searchsorted(entries["word"], np.arange(PARTS + 1) * n // PARTS)
+        self.bounds.append(at + cuts * _ENTRY.itemsize)
+
+    def build(self) -> None:
+        """Gather the postings of each word, part by part."""
+        self.postings = Spill()
+        counts = np.zeros(len(self.idf) + 1, np.int64)
+        for part in range(PARTS):
+            data = b"".join(self.runs.read(b[part], b[part + 1] - b[part]) for b in self.bounds)
+            entries = np.frombuffer(data, _ENTRY)
+            entries = entries[np.argsort(entries["word"], kind="stable")]
+            word, n = np.unique(entries["word"], return_counts=True)
+            counts[word + 1] = n
+            gathered = np.empty(len(entries), _POSTING)
+            gathered["doc"], gathered["weight"] = entries["doc"], entries["weight"]
+            self.postings.add(gathered.tobytes())
+        self.range = np.cumsum(counts)
+        self.runs.close()
+        self.unused = np.ones(len(self.start) - 1, bool)
+
+    def close(self) -> None:
+        for spill in (self.runs, self.lists, self.postings):
+            spill.close()
+
+    def _scores(self, seed: int) -> np.ndarray:
+        low, high = self.start[seed], self.start[seed + 1]
+        word = np.frombuffer(self.lists.read(4 * low, 4 * (high - low)), "<i4")
+        first, last = self.range[word], self.range[word + 1]
+        some = (last - first > 1) & (self.idf[word] > 0)
+        step = _POSTING.itemsize
+        lists = [self.postings.read(a * step, (b - a) * step) for a, b in zip(first[some].tolist(), last[some].tolist(), strict=True)]
+        found = np.frombuffer(b"".join(lists), _POSTING)
+        return np.bincount(found["doc"], found["weight"], len(self.unused))
+
+    def ranked(self, seed: int, few: int = 32) -> Iterator[np.ndarray]:
+        """Unused documents that share words with the seed, best first: the first few, then all others."""
+        scores = self._scores(seed)
+        found = np.flatnonzero((scores > 0) & self.unused)
+        if len(found) > 2 * few:
+            own = scores[found]
+            best = own >= np.partition(own, len(own) - few)[len(own) - few]
+            first, found = found[best], found[~best]
+            yield first[np.argsort(-scores[first], kind="stable")]
+        yield found[np.argsort(-scores[found], kind="stable")]
 
     def nearest(self, seed: int) -> np.ndarray:
         """Unused documents that share words with the seed, best first."""
-        scores = np.zeros(len(self.unused))
-        low = self.start[seed]
-        for slot in self.slot[low : min(low + QUERY, self.start[seed + 1])]:
-            a, b = self.range[int(slot)]
-            scores[self.doc[a:b]] += self.weight[a:b]
-        found = np.flatnonzero((scores > 0) & self.unused)
-        return found[np.argsort(-scores[found], kind="stable")]
+        return np.concatenate(list(self.ranked(seed)))
 
 
 def order(texts: list[str | None], sizes: list[int], idf: np.ndarray, mean: float, room: int) -> Iterator[int]:
     """Documents of one index in the order in which they fill windows; ``room`` is what is left of the first."""
-    index = Index(texts, idf, mean)
+    return walk(Index(texts, idf, mean), sizes, room)
+
+
+def walk(index: Index, sizes: list[int], room: int) -> Iterator[int]:
+    """Documents of an index in the order in which they fill windows."""
     ahead = 0
-    left = len(texts)
+    left = len(sizes)
     while left:
         while not index.unused[ahead]:
             ahead += 1
@@ -214,11 +312,11 @@ def order(texts: list[str | None], sizes: list[int], idf: np.ndarray, mean: floa
             room = (room - sizes[seed]) % WINDOW
             last = seed
             if room:
-                for at in index.nearest(seed):
+                for at in (int(at) for some in index.ranked(seed) for at in some):
                     index.unused[at] = False
-                    yield int(at)
+                    yield at
                     left -= 1
-                    last = int(at)
+                    last = at
                     if sizes[last] >= room:
                         break
                     room -= sizes[last]
@@ -307,12 +405,86 @@ def _routed(docs: DataFrame, id_col: str, text_col: str, idf) -> DataFrame:
     return docs.select(id_col, text.alias("__text"), F.xxhash64(text).alias("__hash")).mapInArrow(run, schema)
 
 
+class Counted:
+    """Number of documents that hold each word."""
+
+    def __init__(self):
+        self.words, self.n, self.more, self.held = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
+
+    def add(self, texts: list[str | None]) -> None:
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        hashes, places = word_hashes(b"\n".join(raw))
+        doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), places, side="right")
+        words, at = np.unique(hashes, return_inverse=True)
+        both = np.unique(doc * max(len(words), 1) + at)
+        self.more.append((words, np.bincount(both % max(len(words), 1), minlength=len(words))))
+        self.held += len(words)
+        if self.held > max(1 << 18, len(self.words)):
+            self.merge()
+
+    def merge(self) -> None:
+        words = np.concatenate([self.words, *[w for w, _ in self.more]])
+        n = np.concatenate([self.n, *[n for _, n in self.more]])
+        self.words, at = np.unique(words, return_inverse=True)
+        self.n = np.bincount(at, n, len(self.words)).astype(np.int64)
+        self.more, self.held = [], 0
+
+
+def _sharded(rows: DataFrame) -> DataFrame:
+    """Of each partition, its number, its documents in compressed blocks, and its words with their numbers of documents."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId()
+        press = zstandard.ZstdCompressor(level=3)
+        counted, place = Counted(), 0
+
+        def row(at: int, data: bytes, n: bytes | None) -> pa.RecordBatch:
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([v], k) for v, k in zip((shard, at, data, n), kinds, strict=True)], names=["__shard", "__place", "__data", "__n"]
+            )
+
+        for batch in batches:
+            for start, end in slices(batch, [len(t.as_py() or "") for t in batch.column(1)]):
+                part = batch.slice(start, end - start)
+                counted.add(part.column(1).to_pylist())
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema) as stream:
+                    stream.write_batch(part)
+                yield row(place, press.compress(sink.getvalue().to_pybytes()), None)
+                place += 1
+        counted.merge()
+        for at in range(0, len(counted.words), 1 << 16):
+            yield row(-1, *(x[at : at + (1 << 16)].tobytes() for x in (counted.words, counted.n)))
+
+    return saved(rows.mapInArrow(run, "__shard int, __place bigint, __data binary, __n binary"), "shards")
+
+
+def frequencies(sharded: DataFrame) -> DataFrame:
+    """Of each shard, the words that several of its documents hold, with the number of all documents that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, words, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words = np.frombuffer(words, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(words), shard, np.int32)), pa.array(words), pa.array(np.frombuffer(n, np.int64))],
+                    names=["__shard", "__word", "__n"],
+                )
+
+    packed = sharded.where("__place < 0").select("__shard", "__data", "__n")
+    local = packed.mapInArrow(run, "__shard int, __word bigint, __n bigint")
+    total = local.groupBy("__word").agg(F.sum("__n").alias("__df"))
+    return local.where("__n > 1").select("__shard", "__word").join(total, "__word")
+
+
 def pack(
     docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id and offset."""
     spark = docs.sparkSession
-    frequency, n, mean = statistics(docs, text_col)
+    frequency, n, mean, chars = statistics(docs, text_col)
     idf = spark.sparkContext.broadcast(_weights(frequency, n))
     schema = T.StructType(
         [
@@ -325,7 +497,11 @@ def pack(
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 32)
+        words: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        index: Index | None = None
         keys: list = []
+        ids, first = Spill(), [0]
         texts: list = []
         held = 0
         out: list[tuple] = []
@@ -337,40 +513,65 @@ def pack(
                 [pa.array(columns[0], kind), *[pa.array(c, key_type) for c in columns[1:]]], names=schema.names
             )
 
-        def packed() -> Iterator[pa.RecordBatch]:
-            ids = []
+        def indexed() -> Index:
+            found = index
+            if found is None:
+                all_words = np.concatenate([np.empty(0, np.int64), *words]).view(np.uint64)
+                by = np.argsort(all_words)
+                weights = _weights(np.concatenate([np.empty(0, np.int64), *counts])[by], n)
+                found = Index([], weights, mean, all_words[by])
+                words.clear()
+                counts.clear()
+            found.add(texts)
             for start in range(0, len(texts), 256):
-                ids += encoded(texts[start : start + 256], tokenizer_path, cache)
-            for at in order(texts, [len(i) // 4 for i in ids], idf.value, mean, WINDOW - packer.held):
-                out.extend(packer.add(keys[at], ids[at]))
-                if len(out) >= 4096:
-                    yield told()
-            keys.clear()
+                for own in encoded(texts[start : start + 256], tokenizer_path, cache):
+                    ids.add(own)
+                    first.append(ids.size)
             texts.clear()
+            return found
 
         kind = None
         for batch in batches:
-            kind = batch.column(0).type
-            for start, end in slices(batch, [len(t.as_py() or "") for t in batch.column(1)]):
-                more = batch.column(1).slice(start, end - start).to_pylist()
+            told_words = int(np.count_nonzero(batch.column(0).to_numpy() < 0))
+            if told_words:  # these come before the documents
+                words.append(batch.column(2).slice(0, told_words).to_numpy().astype(np.int64))
+                counts.append(batch.column(3).slice(0, told_words).to_numpy().astype(np.int64))
+            for packed in batch.column(1).slice(told_words):
+                block = unpacked(packed.as_py())
+                kind = block.schema.field(0).type
+                more = block.column(1).to_pylist()
                 size = sum(len(t or "") for t in more)
                 if texts and (held + size > INDEX_BYTES or len(texts) + len(more) > INDEX_ROWS):
-                    yield from packed()
-                    held = 0
-                keys += batch.column(0).slice(start, end - start).to_pylist()
+                    index, held = indexed(), 0
+                keys += block.column(0).to_pylist()
                 texts += more
                 held += size
         if texts:
-            yield from packed()
+            index = indexed()
+        if index is not None:
+            index.build()
+            sizes = [(b - a) // 4 for a, b in zip(first, first[1:], strict=False)]
+            for at in walk(index, sizes, WINDOW):
+                out.extend(packer.add(keys[at], ids.read(first[at], first[at + 1] - first[at])))
+                if len(out) >= 4096:
+                    yield told()
+            index.close()
+        ids.close()
         out.extend(packer.end())
         if out:
             yield told()
 
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // SHARD_BYTES))
     # the last keys tell copies apart, so that a large group of them spreads over shards
     ranged = ["__route", "__hash", "__key", "__row"]
     routed = _routed(docs, id_col, text_col, idf).withColumns(
         {"__key": F.xxhash64(id_col), "__row": F.monotonically_increasing_id()}
     )
-    sorted_rows = routed.repartitionByRange(shards, *ranged).sortWithinPartitions(*ranged)
-    return sorted_rows.select(id_col, "__text").mapInArrow(run, schema)
+    dealt = routed.repartitionByRange(shards, *ranged).sortWithinPartitions(*ranged).select(id_col, "__text")
+    sharded = _sharded(dealt)
+    none = F.lit(None).cast("bigint")
+    documents = sharded.where("__place >= 0").select("__shard", "__place", "__data", none.alias("__word"), none.alias("__df"))
+    empty = [F.lit(-1).cast("bigint"), F.lit(None).cast("binary")]
+    rows = documents.unionAll(frequencies(sharded).select("__shard", *empty, "__word", "__df"))
+    together = rows.repartitionById(shards, "__shard").sortWithinPartitions("__place")
+    return together.select("__place", "__data", "__word", "__df").mapInArrow(run, schema)

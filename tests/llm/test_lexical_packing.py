@@ -110,3 +110,33 @@ def test_routes_follow_shared_telling_words():
 
 def test_tail_is_cut_into_powers_of_two():
     assert L.tail(1023) == [512, 256, 128, 64, 32, 16, 8, 4, 2, 1] and L.tail(8) == [8] and L.tail(0) == []
+
+
+def test_every_word_of_a_seed_is_looked_up():
+    heavy = " ".join(f"h{i}" for i in range(20))
+    texts = [f"{heavy} last", "last other", *[f"h{i} own{i}" for i in range(20)]]
+    idf = np.full(L.SLOTS, 5.0)
+    idf[L._terms(["last"])[1][0]] = 0.01
+    index = L.Index(texts, idf, 3.0)
+    index.unused[0] = False
+    assert sorted(index.nearest(0).tolist()) == list(range(1, 22))
+
+
+def test_pieces_of_a_shard_are_one_index():
+    texts = ["zebra one", *[f"filler{i}" for i in range(30)], "zebra two"]
+    words = np.unique(L.word_hashes(b"zebra")[0])
+    index = L.Index([], np.ones(1), 2.0, words)
+    for text in texts:
+        index.add([text])
+    index.build()
+    index.unused[0] = False
+    assert index.nearest(0).tolist() == [31]
+
+
+def test_frequencies_are_counted_by_word_over_all_shards(spark):
+    rows = [(i, f"common w{i % 7} only{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, __text string").repartition(4)
+    found = L.frequencies(L._sharded(docs)).collect()
+    hashes = {int(L.word_hashes(w.encode())[0].view(np.int64)[0]): w for w in ["common", *[f"w{i}" for i in range(7)]]}
+    assert found and all(r["__df"] == sum(hashes[r["__word"]] in t.split() for _, t in rows) for r in found)
+    assert {hashes[r["__word"]] for r in found} >= {"common"}
