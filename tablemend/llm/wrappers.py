@@ -21,6 +21,7 @@ import html as references
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,7 +50,9 @@ _INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script style noscript template textarea title svg iframe object select"
+_RAW = "script style noscript template textarea title iframe"
+#: left out up to their end tag, or to the end of the block that holds them
+_SKIPPED = frozenset(("svg", "object", "select"))
 _ASIDE = frozenset("nav footer aside form button dialog menu head figcaption fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _HINTS = frozenset(
@@ -60,7 +63,7 @@ _HINTS = frozenset(
 )
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW.replace(' ', '|')})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW.replace(' ', '|')})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|<[/!?A-Za-z][^<>]*+>?|(?P<text>[^<]++|<)",
     re.S | re.I,
@@ -105,6 +108,7 @@ def page(source: str | None) -> Block:
     """The blocks and texts of one page."""
     root = Block("")
     open_blocks, text, linked, in_link = [root], [], 0, False
+    skipped, inside = "", Counter()
 
     def flush() -> None:
         nonlocal linked, in_link
@@ -127,6 +131,22 @@ def page(source: str | None) -> Block:
                 return
 
     for token in _TOKEN.finditer(source or ""):
+        if skipped:
+            name = (token["tag"] or "").lower()
+            if not name:
+                continue
+            if not token["end"]:
+                if name not in _VOID and not token["rest"].endswith("/"):
+                    inside[name] += 1
+                continue
+            if inside[name]:
+                inside[name] -= 1
+                continue
+            if name != skipped and all(b.key.split(" ", 1)[0] != name for b in open_blocks):
+                continue
+            done, skipped = name == skipped, ""
+            if done:
+                continue
         if token["text"] is not None:
             piece = references.unescape(token["text"]) if "&" in token["text"] else token["text"]
             text.append(piece)
@@ -135,7 +155,11 @@ def page(source: str | None) -> Block:
         tag = (token["tag"] or "").lower()
         if not tag:
             continue
-        if tag == "br":
+        if tag in _SKIPPED:
+            if not token["end"] and (tag == "select" or not token["rest"].endswith("/")):
+                skipped = tag
+                inside.clear()
+        elif tag == "br":
             text.append(" ")
         elif tag in _INLINE:
             if tag == "a":

@@ -78,3 +78,10 @@ def test_wrappers_joined_when_too_large_to_broadcast(spark, monkeypatch):
     rng = random.Random(8)
     pages = spark.createDataFrame([(i, f"http://h{i % 2}.org/", site(rng, f"<p>text {i}</p>")) for i in range(8)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in W.extracted(pages).collect()} == {i: f"text {i}" for i in range(8)}
+
+
+def test_only_whole_raw_names_are_left_out():
+    for odd in ("<svg-icon name=x></svg-icon>", "<title-bar></title-bar>", "<select-box></select-box>", "<svg width=1 />", "<object data='x'/>"):
+        assert extract(f"<body>{odd}<article><p>one</p>{odd}<p>two</p><svg><g><path/></g><text>no</text></svg></article></body>") == "one two"
+    for odd in ("<svg><path d=1>no", "<object>no", "<select><option>no"):
+        assert extract(f"<article><div>{odd}</div><p>rest</p></article>") == "rest"
