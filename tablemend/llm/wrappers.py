@@ -17,9 +17,11 @@ count as one page of evidence each. An empty table gives no wrappers and no rows
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import json
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -41,8 +43,6 @@ BROADCAST_BYTES = 8 << 20
 EVIDENCE = 4
 #: items that a repeated group spans at most
 GROUP = 6
-#: blocks deeper than this are read as part of the block that holds them
-DEPTH = 40
 
 # fixed values: element names by their role in a page
 _INLINE = frozenset(
@@ -86,14 +86,39 @@ class Block:
     text: str = ""
 
     def packed(self) -> list:
-        return [
-            self.key, int(self.optional), int(self.repeated), self.pages, self.seen, self.chars, self.linked,
-            [c.packed() for c in self.children],
-        ]
+        """Blocks in order, each with the number of its children, so that no depth is too much."""
+        out, left = [], [self]
+        while left:
+            b = left.pop()
+            out.append([b.key, int(b.optional), int(b.repeated), b.pages, b.seen, b.chars, b.linked, len(b.children)])
+            left += b.children[::-1]
+        return out
 
     @staticmethod
-    def unpacked(row: list) -> Block:
-        return Block(row[0], bool(row[1]), bool(row[2]), row[3], row[4], row[5], row[6], [Block.unpacked(c) for c in row[7]])
+    def unpacked(rows: list) -> Block:
+        top: list[Block] = []
+        open_blocks, deepest = [(top, 1)], 1
+        for row in rows:
+            block = Block(row[0], bool(row[1]), bool(row[2]), *row[3:7])
+            while not open_blocks[-1][1]:
+                open_blocks.pop()
+            into, n = open_blocks[-1]
+            into.append(block)
+            open_blocks[-1] = (into, n - 1)
+            open_blocks.append((block.children, row[7]))
+            deepest = max(deepest, len(open_blocks))
+        _room(deepest)
+        return top[0]
+
+
+def _room(depth: int) -> None:
+    """Lets blocks of this depth be walked: calls between Python functions take no other stack."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * depth + 1000))
+
+
+def _below(path: bytes, key: str) -> bytes:
+    """The path of a block as a hash, as long at any depth."""
+    return hashlib.blake2b(path + key.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _key(tag: str, rest: str) -> str:
@@ -109,6 +134,8 @@ def page(source: str | None) -> Block:
     root = Block("")
     open_blocks, text, linked, in_link = [root], [], 0, False
     skipped, inside = "", Counter()
+    names: Counter[str] = Counter()
+    deepest = 1
 
     def flush() -> None:
         nonlocal linked, in_link
@@ -122,9 +149,12 @@ def page(source: str | None) -> Block:
         linked, in_link = 0, False
 
     def close(tag: str, within: frozenset[str] = frozenset()) -> None:
+        if not names[tag]:
+            return
         for at in range(len(open_blocks) - 1, 0, -1):
             name = open_blocks[at].key.split(" ", 1)[0]
             if name == tag:
+                names.subtract(b.key.split(" ", 1)[0] for b in open_blocks[at:])
                 del open_blocks[at:]
                 return
             if name in within:
@@ -142,7 +172,7 @@ def page(source: str | None) -> Block:
             if inside[name]:
                 inside[name] -= 1
                 continue
-            if name != skipped and all(b.key.split(" ", 1)[0] != name for b in open_blocks):
+            if name != skipped and not names[name]:
                 continue
             done, skipped = name == skipped, ""
             if done:
@@ -174,11 +204,13 @@ def page(source: str | None) -> Block:
             close("p", frozenset(("td", "th", "li", "blockquote", "button")))
             if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 close(tag, frozenset(("ul", "ol", "dl", "table", "tbody")))
-            if len(open_blocks) <= DEPTH:
-                block = Block(_key(tag, token["rest"]))
-                open_blocks[-1].children.append(block)
-                open_blocks.append(block)
+            block = Block(_key(tag, token["rest"]))
+            open_blocks[-1].children.append(block)
+            open_blocks.append(block)
+            names[tag] += 1
+            deepest = max(deepest, len(open_blocks))
     flush()
+    _room(deepest)
     return root
 
 
@@ -283,40 +315,40 @@ def _is_main(key: str) -> bool:
     return key.split(" ", 1)[0] in ("article", "main") or "role=main" in key or "role=article" in key
 
 
-def slots_of(wrapper: Block) -> dict[str, list[str]]:
+def slots_of(wrapper: Block) -> dict[str, list[bytes]]:
     """Paths of the slots that hold the article: below main elements, and elsewhere."""
-    found: dict[tuple[bool, str], list[bool]] = {}
+    found: dict[tuple[bool, bytes], list[bool]] = {}
 
-    def walk(block: Block, path: str, in_main: bool) -> None:
+    def walk(block: Block, path: bytes, in_main: bool) -> None:
         for child in block.children:
             if child.key == "#":
                 varies = child.seen < 0 or child.repeated or child.pages < EVIDENCE
                 mostly_links = 2 * child.linked > child.chars
                 found.setdefault((in_main, path), []).append(in_main or (varies and not mostly_links))
             elif not _aside(child.key, in_main):
-                walk(child, f"{path}>{child.key}", in_main or _is_main(child.key))
+                walk(child, _below(path, child.key), in_main or _is_main(child.key))
 
-    walk(wrapper, "", False)
+    walk(wrapper, b"", False)
     return {
         "main": sorted(p for (inside, p), kept in found.items() if inside and any(kept)),
         "rest": sorted(p for (inside, p), kept in found.items() if not inside and any(kept)),
     }
 
 
-def extract(source: str | None, known: dict[str, frozenset[str]]) -> str:
+def extract(source: str | None, known: dict[str, frozenset[bytes]]) -> str:
     """Main text of a page by the slots of its host's wrapper."""
     taken: dict[str, list[str]] = {"main": [], "rest": []}
 
-    def walk(block: Block, path: str) -> None:
+    def walk(block: Block, path: bytes) -> None:
         for child in block.children:
             if child.key == "#":
                 for place in ("main", "rest"):
                     if path in known[place]:
                         taken[place].append(child.text)
             else:
-                walk(child, f"{path}>{child.key}")
+                walk(child, _below(path, child.key))
 
-    walk(page(source), "")
+    walk(page(source), b"")
     return " ".join(taken["main"] or taken["rest"])
 
 
@@ -389,13 +421,13 @@ def main_text(
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, dict[str, frozenset[str]]] = {}
+        cache: dict[str, dict[str, frozenset[bytes]]] = {}
         for batch in batches:
             sources, plans = batch.column(2), batch.column(3)
             for start, end in slices(batch, (len(s.as_py() or "") for s in sources)):
                 texts = []
                 for source, plan in zip(sources.slice(start, end - start), plans.slice(start, end - start), strict=True):
-                    key = plan.as_py() or '["",0,0,1,0,0,0,[]]'
+                    key = plan.as_py() or '[["",0,0,1,0,0,0,0]]'
                     if key not in cache:
                         if len(cache) > 1000:
                             cache.clear()

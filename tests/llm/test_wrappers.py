@@ -85,3 +85,13 @@ def test_only_whole_raw_names_are_left_out():
         assert extract(f"<body>{odd}<article><p>one</p>{odd}<p>two</p><svg><g><path/></g><text>no</text></svg></article></body>") == "one two"
     for odd in ("<svg><path d=1>no", "<object>no", "<select><option>no"):
         assert extract(f"<article><div>{odd}</div><p>rest</p></article>") == "rest"
+
+
+def test_roles_and_ends_at_any_depth():
+    for n in (39, 45, 2000):
+        deep = "<div>" * n + "<nav>menu</nav><p>core</p><aside>side</aside>" + "</div>" * n
+        assert extract(f"<div><article><p>before</p>{deep}<p>after</p></article>tail</div>") == "before core after"
+        assert extract("<div>" * n + "<p>loose</p><article>core</article>" + "</div>" * n) == "core"
+    wrapper = W.folded(W.page("<div>" * 2000 + "core"))
+    W._join(wrapper, W.folded(W.page("<div>" * 2000 + "other")))
+    assert W._load(W.json.dumps(wrapper.packed())).packed() == wrapper.packed()
