@@ -53,7 +53,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = "script style noscript template textarea title iframe"
 #: left out up to their end tag, or to the end of the block that holds them
 _SKIPPED = frozenset(("svg", "object", "select"))
-_ASIDE = frozenset("nav footer aside form button dialog menu head figcaption fieldset".split())
+_ASIDE = frozenset("nav footer aside form button dialog menu head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsored sponsor promo promotion banner sidebar side menu nav "
@@ -61,6 +61,11 @@ _HINTS = frozenset(
     "popup modal overlay comment comments commentlist disqus respond reply replies discussion share sharing social "
     "related recommended newsletter subscribe signup login search widget toolbar pagination pager tags".split()
 )
+#: of these, the ones that name parts of an article as well: inside one they need evidence from the wrapper
+_UNSURE = frozenset(
+    "promo promotion side header notice notices alert comment reply replies respond discussion share sharing social related "
+    "recommended search login signup tags menu navigation widget banner overlay consent".split()
+)
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW.replace(' ', '|')})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -296,17 +301,40 @@ def expression(block: Block) -> str:
     return f"({body}){mark}" if mark else body
 
 
-def _aside(key: str, in_main: bool) -> bool:
-    """Whether an element is no part of an article."""
-    name, _, marks = key.partition(" ")
-    if name in _ASIDE or (name == "header" and not in_main):
+def _told(block: Block) -> bool:
+    """Whether the pages show that a block is no part of an article: template text, mostly links or a form."""
+    chars = linked = 0
+    template, left = True, [block]
+    while left:
+        for child in left.pop().children:
+            if child.key == "#":
+                chars, linked = chars + child.chars, linked + child.linked
+                template &= child.seen >= 0 and not child.repeated and child.pages >= EVIDENCE
+            elif child.key.split(" ", 1)[0] in ("form", "fieldset", "button"):
+                return True
+            else:
+                left.append(child)
+    return template or 2 * linked > chars
+
+
+def _aside(block: Block, in_main: bool) -> bool:
+    """Whether an element is no part of an article.
+
+    Elsewhere any word of a class or id is a hint; inside an article only whole names are, and unsure ones by evidence.
+    """
+    name, _, marks = block.key.partition(" ")
+    if name in _ASIDE or (name in ("header", "fieldset") and not in_main):
         return True
     for mark in re.split(r" (?=class=|id=|role=)", marks):
         kind, _, value = mark.partition("=")
         if kind == "role" and value in _ROLES:
             return True
         if kind in ("class", "id") and not name == "body" and not name == "html":
-            if any(word in _HINTS for word in re.split(r"[^a-z]+", value)):
+            if in_main:
+                hints = _HINTS.intersection(value.split())
+                if hints - _UNSURE or (hints and _told(block)):
+                    return True
+            elif any(word in _HINTS for word in re.split(r"[^a-z]+", value)):
                 return True
     return False
 
@@ -325,7 +353,7 @@ def slots_of(wrapper: Block) -> dict[str, list[bytes]]:
                 varies = child.seen < 0 or child.repeated or child.pages < EVIDENCE
                 mostly_links = 2 * child.linked > child.chars
                 found.setdefault((in_main, path), []).append(in_main or (varies and not mostly_links))
-            elif not _aside(child.key, in_main):
+            elif not _aside(child, in_main):
                 walk(child, _below(path, child.key), in_main or _is_main(child.key))
 
     walk(wrapper, b"", False)

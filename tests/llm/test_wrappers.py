@@ -95,3 +95,14 @@ def test_roles_and_ends_at_any_depth():
     wrapper = W.folded(W.page("<div>" * 2000 + "core"))
     W._join(wrapper, W.folded(W.page("<div>" * 2000 + "other")))
     assert W._load(W.json.dumps(wrapper.packed())).packed() == wrapper.packed()
+
+
+def test_names_alone_drop_no_part_of_an_article():
+    body = (
+        '<div class="article-header"><h1>T</h1></div><figure><img src=x><figcaption>caption</figcaption></figure>'
+        '<section id="related-work"><p>earlier work</p></section><section id="discussion"><p>we find</p></section>'
+    )
+    own = '<div class="related"><a href=x>more of this</a></div><div class="sidebar">x</div><div id="search"><form>q</form></div>'
+    assert extract(f"<article>{body}{own}</article>") == "T caption earlier work we find"
+    pages = [f"<article><p>text {i}</p><div class='alert'>same words</div></article>" for i in range(5)]
+    assert extract(pages[0], pages[1:]) == "text 0"
