@@ -12,7 +12,7 @@ vary and are not mostly links; in either case outside menus, headers, footers, s
 comments, which tags, roles and class names mark.
 
 Rows: NULL or empty html gives empty text. A NULL or odd url belongs to the host ''. Repeated rows give a row each and
-count as one page of evidence each. An empty table gives no wrappers and no rows. Only id, url and html are read.
+count as one page of evidence, as do pages whose texts outside menus are equal. An empty table gives no wrappers and no rows. Only id, url and html are read.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from .common import field_of, lean, saved, slices
 SPREAD = 16
 #: wrappers are broadcast while all of them take at most this many bytes, else joined by host
 BROADCAST_BYTES = 8 << 20
-#: pages from which a slot that never varied counts as template text
+#: different pages from which a slot that never varied counts as template text
 EVIDENCE = 4
 #: items that a repeated group spans at most
 GROUP = 6
@@ -87,6 +87,7 @@ class Block:
     seen: int = 0  # a hash of the slot's only text, -1 once it varied
     chars: int = 0
     linked: int = 0
+    who: tuple[int, ...] = ()  # hashes of the texts of different pages that had it, EVIDENCE at most
     children: list[Block] = field(default_factory=list)
     text: str = ""
 
@@ -95,7 +96,7 @@ class Block:
         out, left = [], [self]
         while left:
             b = left.pop()
-            out.append([b.key, int(b.optional), int(b.repeated), b.pages, b.seen, b.chars, b.linked, len(b.children)])
+            out.append([b.key, int(b.optional), int(b.repeated), b.pages, b.seen, b.chars, b.linked, b.who, len(b.children)])
             left += b.children[::-1]
         return out
 
@@ -104,13 +105,13 @@ class Block:
         top: list[Block] = []
         open_blocks, deepest = [(top, 1)], 1
         for row in rows:
-            block = Block(row[0], bool(row[1]), bool(row[2]), *row[3:7])
+            block = Block(row[0], bool(row[1]), bool(row[2]), *row[3:7], tuple(row[7]))
             while not open_blocks[-1][1]:
                 open_blocks.pop()
             into, n = open_blocks[-1]
             into.append(block)
             open_blocks[-1] = (into, n - 1)
-            open_blocks.append((block.children, row[7]))
+            open_blocks.append((block.children, row[8]))
             deepest = max(deepest, len(open_blocks))
         _room(deepest)
         return top[0]
@@ -216,15 +217,35 @@ def page(source: str | None) -> Block:
             deepest = max(deepest, len(open_blocks))
     flush()
     _room(deepest)
+    _signed(root)
     return root
 
 
+def _signed(root: Block) -> None:
+    """Marks the blocks of a page with a hash of its text outside menus and their like: copies are one page."""
+    blocks, left = [], [(root, False)]
+    own = hashlib.blake2b(digest_size=8)
+    while left:
+        block, aside = left.pop()
+        blocks.append(block)
+        if block.key == "#":
+            if not aside and 2 * block.linked <= block.chars:
+                own.update(block.text.encode("utf-8", "surrogatepass") + b"\n")
+        else:
+            left += [(c, aside or (c.key != "#" and _aside(c, False))) for c in reversed(block.children)]
+    who = (int.from_bytes(own.digest()[:7]),)
+    for block in blocks:
+        block.who = who
+
+
 def _merge_slot(into: Block, other: Block) -> None:
     into.optional |= other.optional
     into.repeated |= other.repeated
     into.seen = into.seen if into.seen == other.seen else -1
     into.chars += other.chars
     into.linked += other.linked
+    if into.who != other.who:
+        into.who = tuple(sorted({*into.who, *other.who})[:EVIDENCE])
 
 
 def _fold(items: list[Block]) -> list[Block]:
@@ -309,7 +330,7 @@ def _told(block: Block) -> bool:
         for child in left.pop().children:
             if child.key == "#":
                 chars, linked = chars + child.chars, linked + child.linked
-                template &= child.seen >= 0 and not child.repeated and child.pages >= EVIDENCE
+                template &= child.seen >= 0 and not child.repeated and len(child.who) >= EVIDENCE
             elif child.key.split(" ", 1)[0] in ("form", "fieldset", "button"):
                 return True
             else:
@@ -350,7 +371,7 @@ def slots_of(wrapper: Block) -> dict[str, list[bytes]]:
     def walk(block: Block, path: bytes, in_main: bool) -> None:
         for child in block.children:
             if child.key == "#":
-                varies = child.seen < 0 or child.repeated or child.pages < EVIDENCE
+                varies = child.seen < 0 or child.repeated or len(child.who) < EVIDENCE
                 mostly_links = 2 * child.linked > child.chars
                 found.setdefault((in_main, path), []).append(in_main or (varies and not mostly_links))
             elif not _aside(child, in_main):
@@ -455,7 +476,7 @@ def main_text(
             for start, end in slices(batch, (len(s.as_py() or "") for s in sources)):
                 texts = []
                 for source, plan in zip(sources.slice(start, end - start), plans.slice(start, end - start), strict=True):
-                    key = plan.as_py() or '[["",0,0,1,0,0,0,0]]'
+                    key = plan.as_py() or '[["",0,0,1,0,0,0,[],0]]'
                     if key not in cache:
                         if len(cache) > 1000:
                             cache.clear()

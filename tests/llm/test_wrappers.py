@@ -106,3 +106,9 @@ def test_names_alone_drop_no_part_of_an_article():
     assert extract(f"<article>{body}{own}</article>") == "T caption earlier work we find"
     pages = [f"<article><p>text {i}</p><div class='alert'>same words</div></article>" for i in range(5)]
     assert extract(pages[0], pages[1:]) == "text 0"
+
+
+def test_copies_are_no_evidence():
+    one = "<body><h1>Title</h1><p>whole text</p></body>"
+    for n in range(1, 9):
+        assert extract(one, [one.replace("<body>", f"<body><!-- {i} --><nav>at {i}</nav>") for i in range(n - 1)]) == "Title whole text"
