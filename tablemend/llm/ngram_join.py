@@ -1,9 +1,9 @@
-"""Similarity join of texts on their sets of word n-grams, by an LSH forest.
+"""Similarity join of texts on their sets of word n-grams, by banded min-hashes.
 
-Every text has a signature of min-hashes, cut into trees. In a tree, signatures sorted as sequences form a prefix
-trie; texts meet where their paths agree. Matched prefixes are shortened from ``LONGEST`` until pairs at the threshold
-meet in some tree with the target recall (``depth``): with 12 trees and similarity 0.8 at four values, for 99.8 % of such
-pairs and more of closer ones. All pairs that meet are verified by the exact Jaccard similarity of their whole sets.
+Fixed banding replaces an LSH forest: every text has 12 bands ("trees") of min-hashes, and texts meet where all values of
+a band agree. The number of values is computed from the threshold and the target recall before data is read (``depth``):
+four at similarity 0.8, where 99.8 % of such pairs are expected to meet, and more of closer ones. There are no sorted
+prefix tries, and prefixes are not shortened on the data. All pairs that meet are verified by the exact Jaccard similarity of their whole sets.
 
 Texts with equal sets are one class and join once; their number weighs its links. A pair that meets in several trees is
 judged in the first. A group that meets is verified within one task in blocks of ``MEMBERS``: a larger group is cut
