@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from queries import Query
 
-from . import byte_bpe, compression_quality, imatch, lexical_packing, ngram_join, pii_boosting, recompression, rule_ledger, secret_ledger, spans, wrappers
+from . import byte_bpe, compression_quality, fill_middle, imatch, lexical_packing, ngram_join, piece_bpe, pii_boosting, recompression
+from . import rule_ledger, secret_ledger, spans, whitening, wrappers
 from .common import scratch, table
 
 
@@ -131,6 +132,51 @@ def op10_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restore(fill_middle.transform(table(spark, sf_dir, "documents")))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = piece_bpe.decode(piece_bpe.encode(table(spark, sf_dir, "documents"), model), model)
+    return found.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS us FROM t),
+d AS (SELECT *, CAST(len(us) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(us) + 1) AS a,
+             CAST('0x' || h[9:16] AS BIGINT) % (len(us) + 1) AS b, CAST('0x' || h[25:32] AS BIGINT) % 100 < 50 AS spm FROM u),
+p AS (SELECT doc_id, n, text, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                                   WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+             array_to_string(us[1:least(a, b)], '') AS pre, array_to_string(us[least(a, b) + 1:greatest(a, b)], '') AS mid,
+             array_to_string(us[greatest(a, b) + 1:], '') AS suf FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || suf || '<P>' || pre || '<M>' || mid
+                        ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
 OP2_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 5 THEN ws ELSE ws[i:i + 4] END, ' ') AS g
@@ -174,4 +220,7 @@ QUERIES: dict[str, Query] = {
     "op8_wrappers": Query(op8_wrappers, OP8_SQL),
     "op9_recompression": Query(op9_recompression, OP9_SQL),
     "op10_lexical_packing": Query(op10_lexical_packing),
+    "op11_fill_middle": Query(op11_fill_middle, OP11_SQL),
+    "op12_piece_bpe": Query(op12_piece_bpe),
+    "op13_whitening": Query(op13_whitening),
 }
