@@ -35,7 +35,7 @@ from .blocks import PRIME, mix, powers
 from .common import field_of, lean, slices
 
 #: characters that are merged together; symbols from which a word is merged from a heap
-GROUP, LONG = 1 << 18, 256
+GROUP, LONG = 1 << 19, 256
 #: no pair
 NONE = np.int32(np.iinfo(np.int32).max)
 #: code points, and room for one more than any
@@ -181,7 +181,7 @@ def merged_by_heap(symbols: np.ndarray, v: Vocabulary) -> np.ndarray:
 def merged(symbols: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Words (runs of ``sizes`` symbols, none empty) with all their merges done: flat symbols and new sizes."""
     done_symbols, done_words = [], []
-    sym, word = symbols, np.repeat(np.arange(len(sizes)), sizes)
+    sym, word = symbols.copy(), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
 
     def ranked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ranks of the pairs that begin at the given places, NONE across words."""
@@ -210,23 +210,26 @@ def merged(symbols: np.ndarray, sizes: np.ndarray, v: Vocabulary) -> tuple[np.nd
         fresh = np.diff(at, prepend=-2) > 1
         run = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
         at = at[(np.arange(len(at)) - run) % 2 == 0]
-        # merges up to the first that makes a pair of equal or better rank
+        # where a word has several, those up to the first that makes a pair of equal or better rank
         new = made[at]
-        touching = np.append(False, at[1:] == at[:-1] + 2)
         first = np.diff(word[at], prepend=-1) != 0
-        touching &= ~first
-        left = np.where(touching, np.append(new[:1], new[:-1]), sym[np.maximum(at - 1, 0)])
-        to_left, _ = v.look_up(left, new)
-        to_left[(at == 0) | (word[np.maximum(at - 1, 0)] != word[at])] = NONE
-        nxt = np.minimum(at + 2, len(sym) - 1)
-        to_right, _ = v.look_up(new, sym[nxt])
-        to_right[(at + 2 >= len(sym)) | (word[nxt] != word[at])] = NONE
-        bad = np.minimum(to_left, to_right) <= level[at]
-        before = np.cumsum(bad) - bad
-        keep = before == before[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        at, new = at[keep], new[keep]
+        several = np.flatnonzero(~(first & np.append(first[1:], True)))
+        if len(several):
+            here, new_here, first_here = at[several], new[several], first[several]
+            touching = ~first_here & np.append(False, here[1:] == here[:-1] + 2)
+            back = np.maximum(here - 1, 0)
+            to_left, _ = v.look_up(np.where(touching, np.append(new_here[:1], new_here[:-1]), sym[back]), new_here)
+            to_left[(here == 0) | (word[back] != word[here])] = NONE
+            on = np.minimum(here + 2, len(sym) - 1)
+            to_right, _ = v.look_up(new_here, sym[on])
+            to_right[(here + 2 >= len(sym)) | (word[on] != word[here])] = NONE
+            bad = np.minimum(to_left, to_right) <= level[here]
+            before = np.cumsum(bad) - bad
+            late = before != before[np.flatnonzero(first_here)[np.cumsum(first_here) - 1]]
+            keep = np.ones(len(at), bool)
+            keep[several[late]] = False
+            at, new = at[keep], new[keep]
         # the right symbols go
-        sym = sym.copy()
         sym[at] = new
         stays = np.ones(len(sym), bool)
         stays[at + 1] = False
