@@ -7,21 +7,21 @@ one of three ways:
 
 * ``with_prefix``      one summary row per block is scanned, and the carry is joined back;
 * ``with_neighbours``  a few rows around each border are copied into the next block;
-* ``fold_blocks``      a greedy rule is summarised per block for every state it may be
-                       entered in, the summaries are chained, and each block is replayed
-                       from its true entry state.
-
-The only per-file windows run over block summaries: one row for ``BLOCK_ROWS`` rows.
+* ``fold_blocks``      a greedy rule is summarised per block as a transition array (for every
+                       state it may be entered in), a prefix over the summaries gives the
+                       true entry states, and each block is replayed from its own;
+* ``follow_links``     rows that point to later rows of the file: pointers are doubled inside
+                       blocks, and the places where blocks are entered are followed in turn.
+
+The only per-file windows run over block summaries: one row for ``BLOCK_ROWS`` rows. Rules and
+links run as expressions over the rows of a block, gathered into one array.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 
@@ -29,10 +29,6 @@ BLOCK_ROWS = 1 << 16
 #: parts that the rows of a file are dealt to when facts about the file are joined
 FACT_PARTS = 32
 
-# rules travel to executors by value, so these need not have the package installed
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def with_facts(
     rows: DataFrame,
     facts: DataFrame,
@@ -149,33 +145,146 @@ def with_neighbours(
 
 
 class BlockRule:
-    """A greedy scan rule that can be summarised per block.
-
-    ``step`` maps (row, state) to (opens a record, offset in the record, next
-    state); rows are tuples of ``columns``. ``summarise`` turns the rows of one
-    block into a text that holds the outcome for every state the block may be
-    entered in, and ``advance`` applies it to a state. Between blocks a state is
-    text; the empty text is the state before the first row, and ``enter``
-    decodes it.
+    """A greedy scan rule as expressions: a finite automaton over the rows of a file.
+
+    A state is a long; ``first`` is the state before the first row of a file. ``step`` maps (row, state) to
+    (opens a record, offset in the record, next state); ``states`` lists, from a row of the file, the states that a
+    block may be entered in. ``row`` is a struct of the position and of ``columns``.
     """
 
     columns: Sequence[str] = ()
+    first: int = 0
 
-    def enter(self, state: str):
+    def states(self, row: Column) -> Column:
         raise NotImplementedError
 
-    def step(self, row: tuple, state) -> tuple:
+    def step(self, row: Column, state: Column) -> tuple[Column, Column, Column]:
         raise NotImplementedError
 
-    def summarise(self, rows: list[tuple]) -> str:
-        raise NotImplementedError
 
-    def advance(self, state: str, summary: str) -> tuple[str, int]:
-        raise NotImplementedError
+#: rows that are folded together before their outcomes are appended to those of the block
+CHUNK_ROWS = 128
+#: summaries that are composed by one task
+FAN = 1024
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times, also inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def chunks(rows: Column, size: int = CHUNK_ROWS) -> Column:
+    """An array cut into arrays of ``size``."""
+    last = F.floor((F.size(rows) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(rows, i * size + 1, F.lit(size)))
+
+
+def gathered(narrow: DataFrame, block_keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows of each block as one array in order of their position, the first of ``columns``."""
+    return narrow.groupBy(*block_keys).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("_rows"))
+
+
+def replayed(
+    rows: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], out_type: str
+) -> Column:
+    """Run ``step`` over the rows from state ``start``; it gives (what is emitted for the row, next state).
+
+    Appending copies an array, so outcomes are appended within chunks, and chunks to the block.
+    """
+    nothing = F.array().cast(f"array<{out_type}>")
+
+    def one(held: Column, row: Column) -> Column:
+        return let(
+            F.struct(*[c.alias(n) for c, n in zip(step(row, held["state"]), ("emitted", "state"))]),
+            lambda s: F.struct(s["state"].alias("state"), F.array_append(held["out"], s["emitted"]).alias("out")),
+        )
+
+    def many(held: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(held["state"].alias("state"), nothing.alias("out")), one)
+        return let(
+            inner, lambda s: F.struct(s["state"].alias("state"), F.array_append(held["out"], s["out"]).alias("out"))
+        )
+
+    zero = F.struct(start.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("out"))
+    return F.flatten(F.aggregate(chunks(rows), zero, many)["out"])
+
+
+def _summaries(arrays: DataFrame, block_keys: Sequence[str], rule: BlockRule) -> DataFrame:
+    """Transition array of each block: for every entry state the exit state and the records opened.
+
+    States that have met stay together, so a chunk is folded once per different state.
+    """
+    walked = "struct<state:bigint,n:bigint>"
+
+    def one(held: Column, row: Column) -> Column:
+        opens, _, following = rule.step(row, held["state"])
+        return F.struct(following.cast("long").alias("state"), (held["n"] + opens.cast("long")).alias("n"))
+
+    def many(held: Column, part: Column) -> Column:
+        def through(apart: Column) -> Column:
+            ends = F.transform(apart, lambda s: F.aggregate(part, F.struct(s.alias("state"), F.lit(0).cast("long").alias("n")), one))
+            return let(
+                ends,
+                lambda e: F.transform(
+                    held,
+                    lambda h: let(
+                        F.get(e, F.array_position(apart, h["state"]).cast("int") - 1),
+                        lambda x: F.struct(x["state"].alias("state"), (h["n"] + x["n"]).alias("n")),
+                    ),
+                ),
+            )
+
+        return let(F.array_distinct(F.transform(held, lambda h: h["state"])), through)
+
+    states = F.concat(F.array(F.lit(rule.first).cast("long")), rule.states(F.get("_rows", F.lit(0))))
+    started = F.transform("_states", lambda s: F.struct(s.alias("state"), F.lit(0).cast("long").alias("n")))
+    return arrays.withColumn("_states", states).select(
+        *block_keys, "_states", F.aggregate(chunks(F.col("_rows")), started.cast(f"array<{walked}>"), many).alias("_ends")
+    )
+
+
+def _passed(block: Column, held: Column) -> Column:
+    """State and count behind a summarised block."""
+    return let(
+        F.get(block["_ends"], F.array_position(block["_states"], held["state"]).cast("int") - 1),
+        lambda e: F.struct(e["state"].alias("state"), (held["n"] + e["n"]).alias("n")),
+    )
+
+
+def _entries(summaries: DataFrame, keys: list[str], place: str, first: int, fan: int = FAN) -> DataFrame:
+    """True entry state and count of every summarised block, by a prefix over groups of blocks, groups of groups, ...
+
+    No task sees more than ``fan`` summaries.
+    """
+    group = f"{place}g"
+    grouped = cut(
+        summaries.withColumn(group, F.floor(F.col(place) / fan))
+        .groupBy(*keys, group)
+        .agg(F.sort_array(F.collect_list(F.struct(place, "_states", "_ends"))).alias("_blocks"))
+    )
+    zero = F.struct(F.lit(first).cast("long").alias("state"), F.lit(0).cast("long").alias("n"))
+    if grouped.filter(F.col(group) > 0).isEmpty():
+        entered = grouped.withColumn("_in", zero)
+    else:
+        states = F.get("_blocks", F.lit(0))["_states"]
+        each = lambda s: F.aggregate(
+            "_blocks", F.struct(s.alias("state"), F.lit(0).cast("long").alias("n")), lambda held, block: _passed(block, held)
+        )
+        composed = grouped.select(*keys, group, states.alias("_states"), F.transform(states, each).alias("_ends"))
+        above = _entries(composed, keys, group, first, fan)
+        entered = grouped.join(
+            above.select(*keys, group, F.struct(F.col("_entry").alias("state"), F.col("_base").alias("n")).alias("_in")),
+            [*keys, group],
+        )
 
+    def step(block: Column, held: Column) -> tuple[Column, Column]:
+        told = F.struct(block[place].alias("place"), held["state"].alias("state"), held["n"].alias("n"))
+        return told, _passed(block, held)
 
-def _tuples(pdf: pd.DataFrame, columns: Sequence[str]) -> list[tuple]:
-    return list(zip(*[pdf[c].tolist() for c in columns]))
+    told = replayed(F.col("_blocks"), F.col("_in"), step, "struct<place:bigint,state:bigint,n:bigint>")
+    return entered.select(*keys, F.explode(told).alias("_t")).select(
+        *keys, F.col("_t.place").alias(place), F.col("_t.state").alias("_entry"), F.col("_t.n").alias("_base")
+    )
 
 
 def fold_blocks(
@@ -185,95 +294,180 @@ def fold_blocks(
     rule: BlockRule,
     keep: Sequence[str] = (),
     block_rows: int = BLOCK_ROWS,
+    fan: int = FAN,
 ) -> DataFrame:
     """Run a greedy rule over each key; adds ``record_id`` and ``offset``.
 
-    Returns ``keys + position + keep + record_id + offset``. Only the columns
-    the rule names are handed to Python, never the cells. They are
-    materialised once, as up to three passes read them.
+    Returns ``keys + position + keep + record_id + offset``. The rows of a block are one array, over which the rule
+    runs as an expression. Keys of one block start in the rule's first state; of longer ones each block is summarised
+    as a transition array, and a prefix over these gives the state that each block is entered in. Only the columns the
+    rule names are gathered, never the cells. They are materialised once, as up to three passes read them.
     """
     keys = list(keys)
     block_keys = keys + ["_blk"]
-    fields = {f.name: f for f in df.schema.fields}
-    key_fields = [fields[k] for k in keys]
-    carried = [c for c in keep if c not in (*keys, position)]
-    columns = list(dict.fromkeys([*rule.columns, *carried]))
+    columns = list(dict.fromkeys([c for c in (*rule.columns, *keep) if c not in (*keys, position)]))
     narrow = cut(
         df.select(*keys, F.col(position).cast("long").alias(position), *columns).withColumn(
             "_blk", F.floor(F.col(position) / block_rows)
         )
     )
+    arrays = gathered(narrow, block_keys, [position, *columns])
+    # keys that fit one block need no summary: their entry state is known
+    long_keys = narrow.filter(F.col(position) == block_rows).select(*keys)
+    if long_keys.isEmpty():
+        entered = arrays.withColumns({"_entry": F.lit(rule.first).cast("long"), "_base": F.lit(0).cast("long")})
+    else:
+        own = [position, *[c for c in rule.columns if c != position]]
+        longer = gathered(with_facts(narrow, long_keys, position, "left_semi", keys), block_keys, own)
+        entries = _entries(_summaries(longer, block_keys, rule), keys, "_blk", rule.first, fan)
+        entered = arrays.join(entries, block_keys, "left").fillna({"_entry": rule.first, "_base": 0})
+
+    kept = [position, *[c for c in keep if c not in (*keys, position)]]
+    fields = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
+    out_type = "struct<" + ",".join([*[f"`{c}`:{fields[c]}" for c in kept], "record_id:bigint,offset:bigint"]) + ">"
+
+    def step(row: Column, held: Column) -> tuple[Column, Column]:
+        opens, offset, following = rule.step(row, held["state"])
+        record = held["n"] + opens.cast("long")
+        told = F.struct(*[row[c].alias(c) for c in kept], (record - 1).alias("record_id"), offset.cast("long").alias("offset"))
+        return told, F.struct(following.cast("long").alias("state"), record.alias("n"))
+
+    start = F.struct(F.col("_entry").alias("state"), F.col("_base").alias("n"))
+    told = replayed(F.col("_rows"), start, step, out_type)
+    return entered.select(*keys, F.explode(told).alias("_t")).select(*keys, "_t.*")
+
+
+def _followed(nodes: DataFrame, block_keys: list[str], block_rows: int, starts: DataFrame) -> DataFrame:
+    """For every place in ``starts`` the last place of its block on the way, how many lie on it, and where it leaves to.
+
+    ``nodes`` have dense ``_at`` and ``_to``. Pointers inside a block are doubled until none moves: an entry holds where
+    it leads in its low half and how many steps away that is in its high half.
+    """
+    low = (1 << 32) - 1
+    home = F.col("_blk") * block_rows
+    to = F.transform("_rows", lambda r: r["_to"])
+    own = F.transform(
+        "_rows",
+        lambda r, i: F.when(r["_to"] < home + F.size("_rows"), (r["_to"] - home) + (1 << 32)).otherwise(i.cast("long")),
+    )
 
-    summary_type = T.StructType(
-        key_fields + [T.StructField("_blk", T.LongType()), T.StructField("summary", T.StringType())]
+    def doubled(hops: Column, _: Column) -> Column:
+        def further(h: Column) -> Column:
+            then = F.get(hops, h.bitwiseAND(F.lit(low)).cast("int"))
+            return then + F.shiftright(h, 32) * (1 << 32)
+
+        return F.transform(hops, further)
+
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size("_rows").cast("long"))).cast("int"))
+    arrays = gathered(nodes, block_keys, ["_at", "_to"])
+    asked = starts.groupBy(*block_keys).agg(F.collect_list("_at").alias("_starts"))
+    leaps = (
+        arrays.join(asked, block_keys)
+        .withColumns({"_next": to, "_hops": F.aggregate(rounds, own, doubled)})
+        .select(*block_keys, "_next", "_hops", F.explode("_starts").alias("_at"))
+        .withColumn("_hop", F.get("_hops", (F.col("_at") - home).cast("int")))
+    )
+    last = F.col("_hop").bitwiseAND(F.lit(low))
+    return leaps.select(
+        *block_keys, "_at", (home + last).alias("_last"), (F.shiftright("_hop", 32) + 1).alias("_n"),
+        F.get("_next", last.cast("int")).alias("_to"),
     )
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position, kind="stable")
-        out = pdf[block_keys].iloc[:1].copy()
-        out["summary"] = rule.summarise(_tuples(pdf, rule.columns))
-        return out
 
-    # files that fit one block need no summary: their entry state is known
-    long_keys = narrow.filter(F.col(position) == block_rows).select(*keys)
-    summaries = with_facts(narrow, long_keys, position, "left_semi", keys).groupBy(*block_keys).applyInPandas(summarise, summary_type)
-
-    entry_type = T.StructType(
-        key_fields
-        + [
-            T.StructField("_blk", T.LongType()),
-            T.StructField("_entry", T.StringType()),
-            T.StructField("_base", T.LongType()),
-        ]
+def follow_links(
+    df: DataFrame, keys: Sequence[str], position: str, link: str, keep: Sequence[str] = (), block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Records that begin at row 0 of each key and at every row its links lead to; adds ``record_id`` and ``offset``.
+
+    ``position`` is dense per key; ``link`` is a later position or NULL. Within a block, pointers are doubled. The
+    places where links enter a block become the nodes of a graph with far fewer rows, which is followed in the same way;
+    so a key of any length takes a few rounds, and no task holds more than a block.
+    """
+    keys = list(keys)
+    block_keys = keys + ["_blk"]
+    carried = [c for c in keep if c not in (*keys, position)]
+    block = lambda place: F.floor(F.col(place) / block_rows)
+    narrow = cut(
+        df.select(*keys, F.col(position).cast("long").alias("_at"), F.col(link).cast("long").alias("_to"), *carried).withColumn(
+            "_blk", block("_at")
+        )
     )
+    arrays = gathered(narrow, block_keys, ["_at", "_to", *carried])
+    long_keys = narrow.filter(F.col("_at") == block_rows).select(*keys)
+    none = F.lit(None).cast("long")
+    if long_keys.isEmpty():
+        entered = arrays.withColumns({"_entry": F.lit(0).cast("long"), "_open": none, "_base": F.lit(0).cast("long")})
+    else:
+        longer = cut(with_facts(narrow.select(*keys, "_at", "_to", "_blk"), long_keys, "_at", "left_semi", keys))
+        crossing = longer.filter(block("_to") > F.col("_blk")).select(*keys, F.col("_to").alias("_at"))
+        starts = crossing.union(longer.filter("_at = 0").select(*keys, "_at")).distinct().withColumn("_blk", block("_at"))
+        # nodes: the places where a block is entered, numbered densely
+        entered_at = cut(_followed(longer, block_keys, block_rows, starts))
+        nodes = cut(with_rank(entered_at, keys, "_at", "_rank", block_rows))
+        led = nodes.join(
+            nodes.select(*keys, F.col("_at").alias("_to"), F.col("_rank").alias("_to_rank")), [*keys, "_to"], "left"
+        ).withColumnsRenamed({"_at": "_node", "_to": "_node_to"})
+        # blocks double with each level, so that any graph ends in one
+        seen = follow_links(led, keys, "_rank", "_to_rank", ["_node", "_node_to", "_last", "_n"], 2 * block_rows)
+        counted = with_prefix(seen.filter("offset = 0"), keys, "record_id", F.col("_n"), "_base", block_rows)
+        linked = with_neighbours(
+            counted, keys, "record_id", before=1, after=0,
+            columns=lambda w: {"_before": F.lag("_last").over(w)}, block_rows=max(block_rows, 2),
+        )
+        ends = longer.groupBy(*keys).agg(F.max("_blk").alias("_end"))
+        first, past = block("_node"), F.coalesce(block("_node_to"), F.col("_end") + 1)
+        here = F.col("_blk") == first
+        # a block that no record begins in belongs to the record that was open before
+        entries = (
+            with_facts(linked, ends, "_node", keys=keys)
+            .withColumn("_blk", F.explode(F.sequence(first, past - 1)))
+            .select(
+                *block_keys,
+                F.when(here, F.col("_node")).otherwise(F.lit(-1)).alias("_entry"),
+                F.when(here, F.col("_before")).otherwise(F.col("_last")).alias("_open"),
+                F.when(here, F.col("_base")).otherwise(F.col("_base") + F.col("_n")).alias("_base"),
+            )
+        )
+        entered = arrays.join(entries, block_keys, "left").fillna({"_entry": 0, "_base": 0})
+
+    fields = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
+    out_type = "struct<" + ",".join(["_at:bigint", *[f"`{c}`:{fields[c]}" for c in carried], "record_id:bigint,offset:bigint"]) + ">"
+
+    def step(row: Column, held: Column) -> tuple[Column, Column]:
+        opens = row["_at"] == F.coalesce(held["next"], F.lit(-1))
+        begun = F.when(opens, row["_at"]).otherwise(held["begun"])
+        record = held["n"] + opens.cast("long")
+        told = F.struct(
+            row["_at"].alias("_at"), *[row[c].alias(c) for c in carried], (record - 1).alias("record_id"),
+            (row["_at"] - begun).alias("offset"),
+        )
+        return told, F.struct(
+            F.when(opens, row["_to"]).otherwise(held["next"]).alias("next"), begun.alias("begun"), record.alias("n")
+        )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_blk", kind="stable")
-        state, base, entries, bases = "", 0, [], []
-        for summary in pdf["summary"]:
-            entries.append(state)
-            bases.append(base)
-            state, starts = rule.advance(state, summary)
-            base += starts
-        out = pdf[block_keys].copy()
-        out["_entry"] = entries
-        out["_base"] = bases
-        return out
-
-    entries = summaries.groupBy(*keys).applyInPandas(chain, entry_type)
-
-    out_type = T.StructType(
-        key_fields
-        + [
-            T.StructField(position, T.LongType()),
-            *[fields[c] for c in carried],
-            T.StructField("record_id", T.LongType()),
-            T.StructField("offset", T.LongType()),
-        ]
+    start = F.struct(F.col("_entry").alias("next"), F.col("_open").alias("begun"), F.col("_base").alias("n"))
+    told = replayed(F.col("_rows"), start, step, out_type)
+    return (
+        entered.select(*keys, F.explode(told).alias("_t"))
+        .select(*keys, "_t.*")
+        .withColumnRenamed("_at", position)
     )
 
-    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, state, record = None, None, -1
-        for pdf in batches:
-            records, offsets = [], []
-            places = zip(_tuples(pdf, block_keys), _tuples(pdf, rule.columns), pdf["_entry"], pdf["_base"])
-            for place, row, entry, base in places:
-                if place != block:
-                    block, state, record = place, rule.enter(entry), int(base) - 1
-                opens, offset, state = rule.step(row, state)
-                record += bool(opens)
-                records.append(record)
-                offsets.append(offset)
-            out = pdf[keys + [position] + carried].copy()
-            out["record_id"] = records
-            out["offset"] = offsets
-            yield out
-
-    # blocks lie whole and in order inside a partition; many small files share one
+
+def with_next(
+    df: DataFrame, keys: Sequence[str], position: str, name: str, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """Add the next larger ``position`` of the same key, NULL for its last row."""
+    keys = list(keys)
+    block_keys = keys + ["_blk"]
+    blocked = df.withColumn("_blk", F.floor(F.col(position) / block_rows))
+    local = blocked.withColumn("_local", F.lead(position).over(Window.partitionBy(*block_keys).orderBy(position)))
+    firsts = blocked.groupBy(*block_keys).agg(F.min(position).alias("_first"))
+    carry = firsts.select(
+        *block_keys, F.lead("_first").over(Window.partitionBy(*keys).orderBy("_blk")).alias("_carry")
+    ).filter(F.col("_carry").isNotNull())
     return (
-        narrow.join(entries, block_keys, "left")
-        .fillna({"_entry": "", "_base": 0})
-        .repartition(*block_keys)
-        .sortWithinPartitions(*block_keys, position)
-        .mapInPandas(replay, out_type)
+        local.join(carry, block_keys, "left")
+        .withColumn(name, F.coalesce("_local", "_carry"))
+        .drop("_blk", "_local", "_carry")
     )

@@ -1,13 +1,14 @@
 """Block-wise ordered operators give the same result whatever the block size."""
 
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tablemend.operators import blocks as B, records, structure, validate
-from tablemend.operators.boundaries import BoundaryScoreRule, ScoredRule, SparseMergeRule
+from tablemend.operators import blocks as B, boundaries, records, structure, validate
+from tablemend.operators.boundaries import BoundaryScoreRule, ScoredRule
 from tablemend.plans import manifest
 
 
@@ -61,51 +62,118 @@ FEATURES = (
 )
 
 
-def plain_run(rule, rows):
-    """The rule applied row by row to each whole file."""
+def offset_at(row, place):
+    expected = place % row["span"]
+    return expected if row["fits"][expected] == "1" else row["best"]
+
+
+def scored(row, state):
+    """Greedy scored grouping, row by row: (opens, offset, next state)."""
+    place, seen = state or (0, False)
+    span = row["span"]
+    if place == 0 or offset_at(row, place) == 0 or (row["anchor"] and seen):
+        return True, 0, (1, row["anchor"])
+    return False, place, (place + 1 if place + 1 < 2 * span else span, seen or row["anchor"])
+
+
+def boundary(row, state):
+    place, opened = state or (0, False)
+    span, rep, offset = row["span"], max(row["rep_span"], 1), offset_at(row, place)
+    total = offset + row["extra"] + 40 * row["anchor"]
+    if offset == 0:
+        total += 30 + row["reset"] + 20 * (place > 0) + 10 * row["aligned"]
+    total += 15 * (rep > 1 and place > 0 and place % rep == 0)
+    if opened and (total >= 45 or (offset == 0 and place > 0 and total >= 25)):
+        return True, place, (0, True)
+    period = math.lcm(span, rep)
+    return not opened, place, (place + 1 if place + 1 < 2 * period else period, True)
+
+
+def plain_run(step, rows):
+    """A rule applied row by row to each whole file."""
     out = {}
     for f in sorted({r[0] for r in rows}):
-        state, record = rule.enter(""), -1
+        state, record = None, -1
         for r in sorted(x for x in rows if x[0] == f):
-            named = dict(zip([c.split()[0] for c in FEATURES.split(", ")], r))
-            opens, offset, state = rule.step(tuple(named[c] for c in rule.columns), state)
+            opens, offset, state = step(dict(zip([c.split()[0] for c in FEATURES.split(", ")], r)), state)
             record += bool(opens)
             out[f, r[1]] = (record, offset)
     return out
 
 
-@pytest.mark.parametrize("rule", [ScoredRule(), BoundaryScoreRule(), SparseMergeRule()], ids=lambda r: type(r).__name__)
-def test_folds_do_not_depend_on_blocks(spark, rule):
-    rows = feature_rows(11)
+@pytest.mark.parametrize("rule, step", [(ScoredRule(), scored), (BoundaryScoreRule(), boundary)], ids=["scored", "boundary"])
+@pytest.mark.parametrize("seed", [11, 12])
+def test_folds_do_not_depend_on_blocks(spark, rule, step, seed):
+    rows = feature_rows(seed)
     df = spark.createDataFrame(rows, FEATURES).repartition(6)
-    want = plain_run(rule, rows)
-    for size in (1, 4, 1 << 16):
-        got = {(r["file_id"], r["j"]): (r["record_id"], r["offset"]) for r in B.fold_blocks(df, ["file_id"], "j", rule, (), size).collect()}
-        if isinstance(rule, SparseMergeRule):
-            assert got == want
-        else:  # places beyond a period are only kept modulo the period
-            assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
-            assert got == want
-
-
-@pytest.mark.parametrize("seed", range(20))
-def test_summaries_agree_with_steps(seed):
-    """Summary of a block, for every entry state, equals stepping through it."""
+    want = plain_run(step, rows)
+    for size, fan in ((4, 3), (1 << 16, 1024)):
+        folded = B.fold_blocks(df, ["file_id"], "j", rule, (), size, fan)
+        assert {(r["file_id"], r["j"]): (r["record_id"], r["offset"]) for r in folded.collect()} == want
+
+
+def test_folds_over_many_chunks(spark):
+    """Outcomes are appended in chunks, and states that met are followed once."""
+    rows = [r for r in feature_rows(5, 700) if r[0] == "a"]
+    df = spark.createDataFrame(rows, FEATURES).repartition(3)
+    for rule, step in ((ScoredRule(), scored), (BoundaryScoreRule(), boundary)):
+        for size in (300, 1 << 16):
+            folded = B.fold_blocks(df, ["file_id"], "j", rule, ["anchor"], size).collect()
+            assert {(r["file_id"], r["j"]): (r["record_id"], r["offset"]) for r in folded} == plain_run(step, rows)
+            assert {r["j"]: r["anchor"] for r in folded} == {r[1]: r[6] for r in rows}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_links_do_not_depend_on_blocks(spark, seed):
     rng = random.Random(seed)
-    rows = [r for r in feature_rows(seed, 40) if r[0] == "a"]
-    names = [c.split()[0] for c in FEATURES.split(", ")]
-    for rule in (ScoredRule(), BoundaryScoreRule(), SparseMergeRule()):
-        items = [tuple(dict(zip(names, r))[c] for c in rule.columns) for r in rows]
-        cut = rng.randint(1, len(items) - 1)
-        text, opened = "", 0
-        for part in (items[:cut], items[cut:]):
-            text, n = rule.advance(text, rule.summarise(part))
-            opened += n
-        state, count = rule.enter(""), 0
-        for item in items:
-            opens, _, state = rule.step(item, state)
-            count += bool(opens)
-        assert (rule.enter(text), opened) == (state, count)
+    links, want = [], {}
+    for f, n, far in (("a", 90, 6), ("b", 50, 40), ("c", 1, 3), ("d", 7, 2)):
+        own = [rng.choice([None] * (far > 10) + [i + rng.randint(1, far)] * 5) for i in range(n)]
+        own = [None if t is None or t >= n else t for t in own]
+        links += [(f, i, t, f"{f}{i}") for i, t in enumerate(own)]
+        start, record = 0, -1
+        for i in range(n):
+            if i == 0 or i == own[start]:
+                start, record = i, record + 1
+            want[f, i] = (record, i - start, f"{f}{i}")
+    df = spark.createDataFrame(links, "file_id string, j long, next long, name string").repartition(5)
+    for size in (7, 1 << 16):
+        found = B.follow_links(df, ["file_id"], "j", "next", ["name"], size).collect()
+        assert {(r["file_id"], r["j"]): (r["record_id"], r["offset"], r["name"]) for r in found} == want
+
+
+def merged(masks):
+    """Record of each row of a greedy merge of rows without a common column."""
+    out, held, record = [], None, -1
+    for mask in masks:
+        if held is None or held & mask:
+            held, record = set(), record + 1
+        held = held | mask
+        out.append(record)
+    return out
+
+
+@pytest.mark.parametrize("width, share", [(6, 0.3), (40, 0.04), (1000, 0.002)])
+def test_sparse_merge(spark, width, share):
+    """Wide rows cost their filled cells; records of many rows cross several blocks."""
+    rng = random.Random(width)
+    rows, want = [], {}
+    for f, n in (("a", 120), ("b", 9)):
+        masks = [{c for c in range(width) if rng.random() < share} or {rng.randrange(width)} for _ in range(n)]
+        rows += [(f, 2 * j + 1, j, ["x" if c in m else None for c in range(width)]) for j, m in enumerate(masks)]
+        want |= {(f, 2 * j + 1): r for j, r in enumerate(merged(masks))}
+    df = spark.createDataFrame(rows, "file_id string, row_idx long, j long, cells array<string>").repartition(4)
+    for size in (32, 1 << 16):
+        found = boundaries.sparse_merge_groups(df, size).collect()
+        assert {(r["file_id"], r["row_idx"]): r["record_id"] for r in found} == want
+
+
+def test_greedy_rules_run_without_python(spark):
+    df = spark.createDataFrame(feature_rows(1), FEATURES)
+    plans = [B.fold_blocks(df, ["file_id"], "j", rule, (), 4) for rule in (ScoredRule(), BoundaryScoreRule())]
+    cells = df.select("file_id", "j", F.col("j").alias("row_idx"), F.array(F.lit("x")).alias("cells"))
+    for plan in (*plans, boundaries.sparse_merge_groups(cells, 4)):
+        assert not re.search("Pandas|Arrow|Python", plan._jdf.queryExecution().executedPlan().toString())
 
 
 def exchanges(df):
