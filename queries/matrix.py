@@ -186,7 +186,7 @@ array_to_string(ls[first_i + 1 : first_i + span], '|') AS pattern FROM pattern p
 def _similarities(spark, sf_dir):
     rows = P.profile_rows(I.doc_rows(spark, sf_dir))
     active = P.active_rows(rows).select(
-        "file_id", "seq", F.get("ahead", F.lit(0)).alias("a"), F.get("ahead", F.lit(1)).alias("b")
+        "file_id", "seq", F.col("signature").alias("a"), F.col("next_signature").alias("b")
     )
     active = active.filter("b IS NOT NULL").withColumns(
         {"a": R.compact_signature(F.col("a")), "b": R.compact_signature(F.col("b"))}

@@ -192,7 +192,8 @@ def _doc_plan(data):
 
 def _doc_features(spark, sf_dir):
     rows = P.profile_rows(I.doc_rows(spark, sf_dir))
-    data = _doc_data(spark, sf_dir)
+    files = rows.select("file_id").distinct().withColumn("data_start", F.lit(0))
+    data = S.data_rows(P.active_rows(rows), files)
     return B.boundary_features(data, _doc_plan(data), rows)
 
 
@@ -316,7 +317,7 @@ def _flatten_balance(spark, sf_dir):
 def _cycle_records(spark, sf_dir):
     rows, data, files = _headed_data(spark, sf_dir)
     cycles = files.withColumn("cycle", F.lit(3))
-    template = data.filter("j = 0").select("file_id", F.col("sigs").alias("template"))
+    template = S.templates(data).select("file_id", "template")
     plan = cycles.join(template, "file_id").withColumn("bp", S.cycle_blueprint(F.col("template"), F.col("cycle")))
     return _wide(K.flatten_groups(B.group_cycle(data, cycles), rows, plan), 5)
 
@@ -343,7 +344,7 @@ def _validate_periodic(spark, sf_dir):
     bp = F.array(F.array(F.lit(0), F.lit(1)), F.array(F.lit(0), F.lit(1)), F.array(F.lit(0)))
     records = K.reconstruct_fixed(data, files.withColumn("bp", bp), rows)
     profile_free = S.cycle_scores(data).filter("cycle = 3").select("file_id", "cycle", "score")
-    template = data.filter("j = 0").select("file_id", F.col("sigs").alias("template"))
+    template = S.templates(data).select("file_id", "template")
     out = S.validate_periodic(records, profile_free.join(template, "file_id"))
     return out.select(
         "file_id", F.col("cycle").cast("long").alias("cycle"), "periodic_valid", near("completeness", 6).alias("completeness"),

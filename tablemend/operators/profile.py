@@ -3,12 +3,9 @@
 Vocabulary used throughout the package:
 
 * ``rows``    one line of a file: ``file_id, row_idx, cells, width`` plus profile columns;
-* ``active``  rows with at least one value, ranked densely by ``seq`` and carrying
-              ``ahead``: the signatures of the row itself and the next ones.
+* ``active``  rows with at least one value, ranked densely by ``seq``.
 
-``ahead`` is built once with a block-local window. Every block comparison of the
-pattern and cycle searches then is a map-side expression, and only small counters
-are shuffled.
+Searches for patterns compare digests of consecutive rows, see ``span_blocks``; only small counters are shuffled.
 """
 
 from __future__ import annotations
@@ -43,8 +40,8 @@ def profile_rows(raw_rows: DataFrame) -> DataFrame:
     )
 
 
-def active_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS, depth: int = MAX_SPAN) -> DataFrame:
-    """Non-empty rows with ``seq`` and ``ahead`` (up to ``depth`` signatures)."""
+def active_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Non-empty rows with ``seq``, the signature of the next one and the place of the one before."""
     kept = [c for c in ("cells", "width", "anchor_share", "is_label") if c in rows.columns]
     present = rows.filter(F.col("non_null_count") > 0).select("file_id", "row_idx", "signature", *kept)
     ranked = with_rank(present, ["file_id"], "row_idx", "seq", block_rows)
@@ -53,9 +50,9 @@ def active_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS, depth: int = MAX_
         ["file_id"],
         "seq",
         before=1,
-        after=depth,
+        after=1,
         columns=lambda w: {
-            "ahead": F.collect_list("signature").over(w.rowsBetween(0, depth - 1)),
+            "next_signature": F.lead("signature").over(w),
             "prev_row_idx": F.lag("row_idx").over(w),
         },
         block_rows=block_rows,
@@ -64,34 +61,49 @@ def active_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS, depth: int = MAX_
 
 def row_similarity(active: DataFrame) -> DataFrame:
     """Mean similarity of consecutive active rows per file."""
-    step = R.similarity(F.get("ahead", F.lit(0)), F.get("ahead", F.lit(1)))
+    following = F.col("next_signature")
+    step = R.similarity(F.col("signature"), following)
     return active.groupBy("file_id").agg(
-        F.coalesce(F.avg(F.when(F.size("ahead") > 1, step)), F.lit(0.0)).alias("row_similarity_stability"),
+        F.coalesce(F.avg(F.when(following.isNotNull(), step)), F.lit(0.0)).alias("row_similarity_stability"),
         F.count("*").alias("n_active"),
     )
 
 
-def span_blocks(active: DataFrame, max_span: int = MAX_SPAN, keep: Sequence[str] = ()) -> DataFrame:
+def span_blocks(
+    active: DataFrame, max_span: int = MAX_SPAN, keep: Sequence[str] = (), block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Every complete block of 2..max_span consecutive rows, by digest.
 
-    A block that starts at ``seq`` belongs to the chunking with offset
-    ``seq % span``, so each start yields one row per span, not one per offset.
+    A signature is known by two hashes. The digest of k rows is the one of k - 1 rows hashed on with the next row, so a
+    row needs the hashes of the rows behind it once for all spans, as columns of one narrow window, and no row carries
+    the signatures of others. A block that starts at ``seq`` belongs to the chunking with offset ``seq % span``, so each
+    start yields one row per span, not one per offset.
     """
-    spans = F.sequence(F.lit(2), F.greatest(F.least(F.lit(max_span), F.size("ahead")), F.lit(2)))
-    return (
-        active.filter(F.size("ahead") >= 2)
-        .select("file_id", "seq", "ahead", *keep, F.explode(spans).alias("span"))
-        .withColumn("text", F.array_join(F.slice("ahead", F.lit(1), F.col("span")), "|"))
-        .select(
-            "file_id",
-            "seq",
-            *keep,
-            "span",
-            (F.col("seq") % F.col("span")).cast("int").alias("offset"),
-            # a 128-bit digest in two longs: fixed width, cheap to sort and to group by
-            F.xxhash64("text").alias("block"),
-            F.xxhash64(F.lit("|"), "text").alias("block2"),
+    coded = active.select(
+        "file_id", "seq", *keep, F.xxhash64("signature").alias("code"), F.xxhash64(F.lit("|"), "signature").alias("code2")
+    )
+    codes = ("code", "code2")
+    near = with_neighbours(
+        coded,
+        ["file_id"],
+        "seq",
+        before=0,
+        after=max_span - 1,
+        columns=lambda w: {f"{c}_{k}": F.lead(c, k).over(w) for c in codes for k in range(1, max_span)},
+        block_rows=block_rows,
+    )
+    # a 128-bit digest in two longs: fixed width, cheap to sort and to group by
+    for k in range(1, max_span):
+        near = near.withColumns({c: F.xxhash64(c, f"{c}_{k}") for c in codes}).withColumn(
+            f"at_{k}",
+            F.when(
+                F.col(f"code_{k}").isNotNull(),
+                F.struct(F.lit(k + 1).alias("span"), F.col("code").alias("block"), F.col("code2").alias("block2")),
+            ),
         )
+    blocks = F.filter(F.array(*[f"at_{k}" for k in range(1, max_span)]), lambda b: b.isNotNull())
+    return near.select("file_id", "seq", *keep, F.explode(blocks).alias("_b")).select(
+        "file_id", "seq", *keep, "_b.span", (F.col("seq") % F.col("_b.span")).cast("int").alias("offset"), "_b.block", "_b.block2"
     )
 
 
@@ -145,10 +157,15 @@ def repeating_pattern(active: DataFrame, shares: DataFrame | None = None, max_sp
 
 def pattern_signatures(active: DataFrame, pattern: DataFrame) -> DataFrame:
     """The signatures of the repeating block itself."""
+    places = pattern.select(
+        "file_id", "span", F.explode(F.sequence(F.col("first_seq"), F.col("first_seq") + F.col("span") - 1)).alias("seq")
+    )
+    # at most MAX_SPAN rows of a file
     return (
-        pattern.withColumnRenamed("first_seq", "seq")
-        .join(active.select("file_id", "seq", "ahead"), ["file_id", "seq"])
-        .select("file_id", "span", F.slice("ahead", F.lit(1), F.col("span")).alias("pattern"))
+        active.select("file_id", "seq", "signature")
+        .join(places, ["file_id", "seq"])
+        .groupBy("file_id", "span")
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "signature")))["signature"].alias("pattern"))
     )
 
 

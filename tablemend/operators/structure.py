@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cells as C, rows as R
 from ..functions.scores import clamp
-from .blocks import with_facts
+from .blocks import BLOCK_ROWS, with_facts, with_neighbours
 from .profile import repeating_pattern
 
 MAX_CYCLE = 12
@@ -204,7 +204,7 @@ def row_has_anchor(cells: Column, anchors: Column, bp: Column) -> Column:
 
 
 def data_rows(active: DataFrame, files: DataFrame) -> DataFrame:
-    """Active rows of the data part with position ``j`` and compact signatures ahead."""
+    """Active rows of the data part with position ``j`` and the compact signature ``sig``."""
     firsts = (
         with_facts(active.select("file_id", "row_idx", "seq"), files.select("file_id", "data_start"), "seq")
         .filter("row_idx >= data_start")
@@ -215,7 +215,16 @@ def data_rows(active: DataFrame, files: DataFrame) -> DataFrame:
         with_facts(active, firsts, "seq")
         .filter("seq >= first_seq")
         .withColumn("j", F.col("seq") - F.col("first_seq"))
-        .withColumn("sigs", F.transform("ahead", R.compact_signature))
+        .withColumn("sig", R.compact_signature(F.col("signature")))
+    )
+
+
+def templates(data: DataFrame) -> DataFrame:
+    """Per file ``template``: the signatures of its first ``MAX_CYCLE`` data rows."""
+    return (
+        data.filter(F.col("j") < MAX_CYCLE)
+        .groupBy("file_id")
+        .agg(F.sort_array(F.collect_list(F.struct("j", "sig")))["sig"].alias("template"), F.max("n_data").alias("n_data"))
     )
 
 
@@ -223,18 +232,27 @@ def value_width(signature: Column) -> Column:
     return F.length(F.replace(signature, F.lit("E"), F.lit("")))
 
 
-def cycle_scores(data: DataFrame) -> DataFrame:
-    """Score of every cycle length 2..12 per file; files of fewer than 4 rows have none."""
+def cycle_scores(data: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Score of every cycle length 2..12 per file; files of fewer than 4 rows have none.
+
+    The signatures of the next rows stand beside a row only inside this operator, in one narrow window.
+    """
     longest = F.least(F.lit(MAX_CYCLE), F.floor(F.col("n_data") / 2)).cast("int")
-    template = data.filter("j = 0").select(
-        "file_id", F.slice("sigs", 1, MAX_CYCLE).alias("template"), "first_seq"
+    narrow = data.filter("n_data >= 4").select("file_id", "j", "n_data", "sig", longest.alias("longest"))
+    usable = with_neighbours(
+        with_facts(narrow, templates(data).select("file_id", "template"), "j"),
+        ["file_id"],
+        "j",
+        before=0,
+        after=MAX_CYCLE,
+        columns=lambda w: {"nearby": F.collect_list("sig").over(w.rowsBetween(0, MAX_CYCLE))},
+        block_rows=block_rows,
     )
-    usable = data.filter("n_data >= 4").select("file_id", "j", "n_data", "sigs", longest.alias("longest"))
 
     lengths = F.sequence(F.lit(2), F.col("longest"))
     block_lengths = F.filter(lengths, lambda c: (F.col("j") % c == 0) & (F.col("j") + c <= F.col("n_data")))
     pair = lambda c: F.zip_with(
-        F.slice("sigs", F.lit(1), c),
+        F.slice("nearby", F.lit(1), c),
         F.slice("template", F.lit(1), c),
         lambda a, b: F.struct(
             R.layout_similarity(a, b).alias("sim"),
@@ -242,8 +260,7 @@ def cycle_scores(data: DataFrame) -> DataFrame:
         ),
     )
     blocks = (
-        with_facts(usable, template.drop("first_seq"), "j")
-        .select("file_id", "sigs", "template", F.explode(block_lengths).alias("cycle"))
+        usable.select("file_id", "nearby", "template", F.explode(block_lengths).alias("cycle"))
         .withColumn("pairs", pair(F.col("cycle")))
         .select(
             "file_id",
@@ -258,12 +275,12 @@ def cycle_scores(data: DataFrame) -> DataFrame:
     )
     steps = F.filter(lengths, lambda c: F.col("j") + c < F.col("n_data"))
     cyclic = (
-        usable.select("file_id", "j", "sigs", F.explode(steps).alias("cycle"))
+        usable.select("file_id", "j", "nearby", F.explode(steps).alias("cycle"))
         .select(
             "file_id",
             "cycle",
             (F.col("j") % F.col("cycle")).alias("residue"),
-            R.layout_similarity(F.get("sigs", F.lit(0)), F.get("sigs", F.col("cycle"))).alias("sim"),
+            R.layout_similarity(F.get("nearby", F.lit(0)), F.get("nearby", F.col("cycle"))).alias("sim"),
         )
         .groupBy("file_id", "cycle", "residue")
         .agg(F.avg("sim").alias("sim"))
@@ -302,8 +319,7 @@ def best_cycle(data: DataFrame, profile: DataFrame) -> DataFrame:
             ).alias("b")
         )
     )
-    first = data.filter("j = 0").select("file_id", "n_data", F.col("sigs").alias("template"))
-    found = first.join(best, "file_id", "left").select(
+    found = templates(data).join(best, "file_id", "left").select(
         "file_id", "n_data", "template",
         F.coalesce(-F.col("b.neg"), F.lit(0)).alias("cycle"),
         F.coalesce("b.score", F.lit(0.0)).alias("score"),
@@ -311,7 +327,7 @@ def best_cycle(data: DataFrame, profile: DataFrame) -> DataFrame:
     )
     weak = found.filter("n_data >= 4 AND (cycle <= 1 OR score < 0.45)").select("file_id")
     again = with_facts(data, weak, "j", "left_semi").select(
-        "file_id", F.col("j").alias("seq"), F.col("sigs").alias("ahead")
+        "file_id", F.col("j").alias("seq"), F.col("sig").alias("signature")
     )
     pattern = repeating_pattern(again).select("file_id", F.col("span").alias("pattern_span"))
     likelihood = profile.select("file_id", "segmentation_likelihood")
