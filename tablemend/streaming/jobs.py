@@ -10,7 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators.shipments import to_stored
 from ..plans.manifest import manifest_report, process_manifest
 from ..session import cut, drop_table
-from ..sources.files import line_columns, number_lines, rows_from_lines, with_width
+from ..sources.files import content_of, decision, line_columns, number_lines, readable, rows_from_lines, with_width
 from ..sources.tables import log_events
 from .sinks import read_batches, write_batch
 
@@ -24,10 +24,12 @@ METRIC_SCHEMA = "date date, ingested long, repaired long, failed long"
 
 
 def manifest_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Lines of new manifest files; large files are read in splits."""
+    """Lines of new files below a folder; large files are read in splits. What is no manifest is told apart in the batch."""
     return (
         spark.readStream.format("text")
         .option("maxFilesPerTrigger", files_per_batch)
+        .option("recursiveFileLookup", "true")
+        .option("ignoreCorruptFiles", "true")
         .load(path)
         .select(*line_columns())
     )
@@ -50,15 +52,26 @@ LOG_SCHEMA = (
 )
 
 
-def batch_log(raw: DataFrame) -> DataFrame:
-    """Log events of a batch: every file was opened, and succeeded unless no shipment was found in it."""
+def file_sizes(raw: DataFrame) -> DataFrame:
+    """Bytes of each file's lines."""
     size = F.sum(F.octet_length(F.array_join("cells", ",", "")) + 1)
-    seen = raw.groupBy("file_id").agg(size.alias("file_size_bytes"))
+    return raw.groupBy("file_id").agg(size.alias("file_size_bytes"))
+
+
+def batch_log(raw: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+    """Log events of a batch: every file was opened, and succeeded unless no shipment was found in it.
+
+    ``lost`` holds ``file_id, file_size_bytes, error_message`` of files that were not processed: they failed.
+    """
+    seen = file_sizes(raw).withColumn("lost", F.lit(None).cast("string"))
+    if lost is not None:
+        seen = seen.unionByName(lost.withColumnRenamed("error_message", "lost"))
+    none_found = F.when(F.coalesce("rows_out", F.lit(0)) == 0, "no shipment found")
     told = seen.join(manifest_report(raw), "file_id", "left").select(
         F.xxhash64("file_id").alias("id"), F.regexp_extract("file_id", r"([^/]+)$", 1).alias("filename"),
         "file_size_bytes", F.coalesce("rows_out", F.lit(0)).alias("rows_total"),
         F.coalesce("anomalies_repaired", F.lit(0)).alias("rows_repaired"), F.current_timestamp().alias("at"),
-        F.when(F.coalesce("rows_out", F.lit(0)) == 0, "no shipment found").alias("error_message"),
+        F.coalesce("lost", none_found).alias("error_message"),
         F.col("confidence").alias("reconstruction_confidence"),
     )
     opened = told.select("id", "filename", "file_size_bytes", F.col("at").alias("uploaded_at"))
@@ -69,18 +82,27 @@ def batch_log(raw: DataFrame) -> DataFrame:
 
 
 def ingest_batch(hubs: DataFrame, store: str, log: str | None = None) -> Callable[[DataFrame, int], None]:
-    """Batch function: clean, drop stored ids, enrich, append; with ``log``, events of each file go there."""
+    """Batch function: admit files, clean, drop stored ids, enrich, append; with ``log``, events of each file go there.
+
+    Files that are no manifests by name, or binary by content, become failed entries of the log; the others go on.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         # the source files are read once per batch
-        raw = cut(with_width(rows_from_lines(number_lines(batch))))
+        read = cut(rows_from_lines(number_lines(batch)))
+        fate = decision(F.col("file_id"), F.lit(0))
+        seen = cut(content_of(read))
+        raw = cut(with_width(readable(read.filter(fate == "admitted"), seen)))
         fresh = unseen(process_manifest(raw), read_batches(spark, store, STORED_SCHEMA, before=batch_id))
         log_id = F.regexp_extract("file_id", r"([^/]+)$", 1)
         write_batch(to_stored(fresh, hubs, log_id), store, batch_id)
         if log is not None:
-            write_batch(batch_log(raw), log, batch_id)
-        drop_table(raw)
+            error = F.when(fate != "admitted", fate).when(F.col("is_binary"), "binary content")
+            lost = seen.select("file_id", error.alias("error_message")).filter("error_message IS NOT NULL")
+            write_batch(batch_log(raw, lost.join(file_sizes(read), "file_id")), log, batch_id)
+        for table in (read, seen, raw):
+            drop_table(table)
 
     return run
 

@@ -35,6 +35,32 @@ def test_admission(spark, tmp_path):
     }
 
 
+def test_scan_follows_admission_and_accounts_for_every_file(spark, tmp_path):
+    (tmp_path / "sub" / "deep one").mkdir(parents=True)
+    (tmp_path / "a.csv").write_text(CLEAN)
+    (tmp_path / "sub" / "b.TXT").write_text(SCIENTIFIC)
+    (tmp_path / "sub" / "deep one" / "c+d.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "sheet.xlsx").write_bytes(b"PK\x03\x04" + bytes(50))
+    (tmp_path / "sub" / "paper.pdf").write_text("text")
+    (tmp_path / "binary.csv").write_bytes(bytes(range(256)) * 4)
+    (tmp_path / "empty.csv").write_text(" \n\n")
+    (tmp_path / "large.csv").write_text("1,2\n" * 1000)
+    scan = files.scan_admitted(spark, str(tmp_path), max_bytes=3000)
+    name = lambda path: path.rsplit("/", 1)[1]
+    found = {name(r["path"]): (r["status"], r["error_message"], r["rows_total"]) for r in scan.files.collect()}
+    rows = {name(r["file_id"]).replace("%20", " "): r["n"] for r in scan.rows.groupBy("file_id").agg(F.count("*").alias("n")).collect()}
+    assert found == {
+        "a.csv": ("read", None, rows["a.csv"]), "b.TXT": ("read", None, rows["b.TXT"]), "c+d.csv": ("read", None, 2),
+        "sheet.xlsx": ("refused", "unsupported", 0), "paper.pdf": ("refused", "rejected_type", 0),
+        "large.csv": ("refused", "rejected_size", 0), "binary.csv": ("failed", "binary content", 0),
+        "empty.csv": ("failed", "nothing could be read", 0),
+    }
+    assert set(rows) == {"a.csv", "b.TXT", "c+d.csv"}
+    # the plain scan reads the same files, nested ones too
+    whole = {name(r["file_id"]) for r in files.scan_matrix(spark, str(tmp_path)).select("file_id").distinct().collect()}
+    assert whole == {"a.csv", "b.TXT", "c+d.csv", "binary.csv", "large.csv"}
+
+
 def test_log_lifecycle(spark):
     opened = spark.sql("SELECT * FROM VALUES (1L, 'a.csv', 10L, TIMESTAMP'2024-01-01'), (2L, 'b.csv', 20L, TIMESTAMP'2024-01-02'), (3L, 'c.csv', 5L, TIMESTAMP'2024-01-02') AS t(id, filename, file_size_bytes, uploaded_at)")
     done = spark.sql("SELECT * FROM VALUES (1L, 5L, 1L, 0.9D, CAST(NULL AS STRING), TIMESTAMP'2024-01-03'), (2L, 0L, 0L, 0D, 'bad', TIMESTAMP'2024-01-03') AS t(id, rows_total, rows_repaired, reconstruction_confidence, error_message, processed_at)")
