@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tablemend.functions import cells as C, rows as R
 from tablemend.operators import boundaries as B, headers as H, profile as P, records as K, structure as S
 from tablemend.plans import reconstruct as RC
+from tablemend.session import cut
 
 from . import Query
 from . import inputs as I
@@ -215,6 +216,18 @@ ft AS (SELECT file_id, j, row_idx, o0 * 2 >= 3 AS f0, o1 * 2 >= 2 AND o1 > 0 AS
    CASE WHEN pg IS NOT NULL AND {penalised_sql('pg', 'g')} < 0.35 THEN 15.0 ELSE 0.0 END AS rs, cs[1] = 0 AS aligned FROM ft0)
 """
 
+def _boundary_report(spark, sf_dir):
+    rows = P.profile_rows(I.doc_rows(spark, sf_dir))
+    files = rows.select("file_id").distinct().withColumn("data_start", F.lit(0))
+    data = cut(S.data_rows(P.active_rows(rows), files))
+    plan = _doc_plan(data).withColumn("cycle", F.lit(0))
+    found = B.boundary_report(B.detect_boundaries(data, plan, B.boundary_features(data, plan, rows)), plan)
+    return found.select(
+        "file_id", "method", F.size("anchor_columns").cast("long").alias("n_anchors"), "n_rows", "n_boundaries", "n_records",
+        "n_agreed", near("mean_score", 5).alias("mean_score"), "best_score",
+    )
+
+
 GROUP_SCORED_SQL = f"""WITH RECURSIVE {DOC_CELLS}, {I.PROFILE_CTE}, {FEATURE_CTE},
 walk AS (SELECT file_id, j, row_idx, CAST(0 AS BIGINT) AS rec, CAST(0 AS BIGINT) AS place, anchor AS seen FROM ft WHERE j = 0
  UNION ALL SELECT f.file_id, f.j, f.row_idx, w.rec + CASE WHEN opens THEN 1 ELSE 0 END, CASE WHEN opens THEN 0 ELSE w.place + 1 END, CASE WHEN opens THEN f.anchor ELSE w.seen OR f.anchor END
@@ -235,6 +248,11 @@ walk AS (SELECT f.file_id, f.j, f.row_idx, CAST(0 AS BIGINT) AS place, o.seg, t.
    LATERAL (SELECT t.total >= 45 OR (o.seg = 0 AND p.place > 0 AND t.total >= 25) AS boundary) b)
 SELECT file_id, row_idx, CAST(seg AS BIGINT) AS segment_offset, CAST(total AS DOUBLE) AS score, boundary AS is_boundary FROM walk"""
 
+BOUNDARY_REPORT_SQL = f"""SELECT file_id, 'scored' AS method, CAST(1 AS BIGINT) AS n_anchors, count(*) AS n_rows,
+count(*) FILTER (WHERE is_boundary) AS n_boundaries, count(*) FILTER (WHERE "offset" = 0) AS n_records,
+count(*) FILTER (WHERE is_boundary AND "offset" = 0) AS n_agreed, round(avg(score) + 1e-9, 5) AS mean_score, max(score) AS best_score
+FROM ({GROUP_SCORED_SQL}) JOIN ({BOUNDARY_SCORE_SQL}) USING (file_id, row_idx) GROUP BY file_id"""
+
 SPARSE_SQL = f"""WITH RECURSIVE {DOC_CELLS}, {I.PROFILE_CTE},
 d AS (SELECT a.file_id, a.seq AS j, a.row_idx, list(col_idx) FILTER (WHERE val IS NOT NULL) AS cs FROM act a JOIN cells USING (file_id, row_idx) GROUP BY ALL),
 walk AS (SELECT file_id, j, row_idx, cs, CAST(0 AS BIGINT) AS rec FROM d WHERE j = 0 UNION ALL
@@ -389,6 +407,7 @@ QUERIES: dict[str, Query] = {
         ),
         BOUNDARY_SCORE_SQL,
     ),
+    "boundary_report": Query(_boundary_report, BOUNDARY_REPORT_SQL),
     "sparse_merge_docs": Query(lambda sp, d: B.sparse_merge_groups(_doc_data(sp, d)), SPARSE_SQL),
     "sparse_merge_orders": Query(_sparse_orders, ORDERS_SQL),
     "rechunk_stream": Query(

@@ -12,7 +12,7 @@ SAMPLE = [
     "shipments_page", "shipments_page_filtered", "new_shipments", "geo_enrich", "kpi", "ingestion_metrics", "impute_weight_median",
     "constraint_checks", "valid_coords", "to_weight_and_delay", "risk_display", "latest_log", "flatten_headers", "process_manifest",
     "classify_cells", "cell_predicates", "row_profiles", "dataset_profile_docs", "table_regions", "data_start_scores",
-    "cycle_scores_docs", "group_scored", "row_boundary_scores", "sparse_merge_docs", "rechunk_stream", "record_coherence",
+    "cycle_scores_docs", "group_scored", "row_boundary_scores", "boundary_report", "sparse_merge_docs", "rechunk_stream", "record_coherence",
     "best_shifts", "aligned_tables", "reconstruct_customers",
 ]
 
