@@ -74,36 +74,35 @@ def span_blocks(
 ) -> DataFrame:
     """Every complete block of 2..max_span consecutive rows, by digest.
 
-    A signature is known by two hashes. The digest of k rows is the one of k - 1 rows hashed on with the next row, so a
-    row needs the hashes of the rows behind it once for all spans, as columns of one narrow window, and no row carries
-    the signatures of others. A block that starts at ``seq`` belongs to the chunking with offset ``seq % span``, so each
-    start yields one row per span, not one per offset.
+    A signature is known by two hashes. Those of the rows behind a row stand beside it only inside this operator, in one
+    narrow window; rows never carry the signatures of others. A block that starts at ``seq`` belongs to the chunking with
+    offset ``seq % span``, so each start yields one row per span, not one per offset.
     """
-    coded = active.select(
-        "file_id", "seq", *keep, F.xxhash64("signature").alias("code"), F.xxhash64(F.lit("|"), "signature").alias("code2")
-    )
-    codes = ("code", "code2")
+    code = F.struct(F.xxhash64("signature").alias("a"), F.xxhash64(F.lit("|"), "signature").alias("b"))
     near = with_neighbours(
-        coded,
+        active.select("file_id", "seq", *keep, code.alias("code")),
         ["file_id"],
         "seq",
         before=0,
         after=max_span - 1,
-        columns=lambda w: {f"{c}_{k}": F.lead(c, k).over(w) for c in codes for k in range(1, max_span)},
+        columns=lambda w: {"codes": F.collect_list("code").over(w.rowsBetween(0, max_span - 1))},
         block_rows=block_rows,
     )
-    # a 128-bit digest in two longs: fixed width, cheap to sort and to group by
-    for k in range(1, max_span):
-        near = near.withColumns({c: F.xxhash64(c, f"{c}_{k}") for c in codes}).withColumn(
-            f"at_{k}",
-            F.when(
-                F.col(f"code_{k}").isNotNull(),
-                F.struct(F.lit(k + 1).alias("span"), F.col("code").alias("block"), F.col("code2").alias("block2")),
-            ),
+    spans = F.sequence(F.lit(2), F.greatest(F.size("codes"), F.lit(2)))
+    return (
+        near.filter(F.size("codes") >= 2)
+        .select("file_id", "seq", *keep, "codes", F.explode(spans).alias("span"))
+        .withColumn("codes", F.slice("codes", F.lit(1), F.col("span")))
+        .select(
+            "file_id",
+            "seq",
+            *keep,
+            "span",
+            (F.col("seq") % F.col("span")).cast("int").alias("offset"),
+            # a 128-bit digest in two longs: fixed width, cheap to sort and to group by
+            F.xxhash64("codes").alias("block"),
+            F.xxhash64(F.lit("|"), "codes").alias("block2"),
         )
-    blocks = F.filter(F.array(*[f"at_{k}" for k in range(1, max_span)]), lambda b: b.isNotNull())
-    return near.select("file_id", "seq", *keep, F.explode(blocks).alias("_b")).select(
-        "file_id", "seq", *keep, "_b.span", (F.col("seq") % F.col("_b.span")).cast("int").alias("offset"), "_b.block", "_b.block2"
     )
 
 
