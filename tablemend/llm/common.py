@@ -73,11 +73,30 @@ def release() -> None:
         pass
 
 
+#: what workers keep between tasks, by the module that keeps it
+_kept: dict[str, list[dict]] = {}
+
+
+def keeps(module: str, *caches: dict) -> None:
+    """Say which caches a module keeps between tasks of a worker."""
+    _kept.setdefault(module, []).extend(caches)
+
+
+def forget_others(module: str) -> None:
+    """Empty the caches of other modules: a worker that has moved on to another operator needs them no more."""
+    for owner, caches in _kept.items():
+        if owner != module:
+            for cache in caches:
+                cache.clear()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """A function of Arrow batches that leaves its worker as small as it can."""
+    """A function of Arrow batches that finds and leaves its worker as small as it can."""
+    module = run.__module__
 
     @functools.wraps(run)
     def kept_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(module)
         try:
             yield from run(batches)
         finally:

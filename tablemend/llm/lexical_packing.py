@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from .blocks import U64, unpacked, word_hashes
-from .common import BLANK, field_of, lean, saved, slices
+from .common import BLANK, field_of, keeps, lean, saved, slices
 
 WINDOW, CLOSING = 1024, 0
 #: slots of hashed words: the size of what is broadcast, 8 bytes each, whatever the size of the corpus
@@ -62,6 +62,7 @@ def _tokenizer(path: str) -> Tokenizer:
 #: ids of pieces by what follows their leading space, and of pieces without one
 _spaced: dict[str, bytes] = {}
 _plain: dict[str, bytes] = {}
+keeps(__name__, _spaced, _plain)
 _BEFORE_SPACE = [blank + " " for blank in BLANK]
 
 

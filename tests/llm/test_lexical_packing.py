@@ -140,3 +140,14 @@ def test_frequencies_are_counted_by_word_over_all_shards(spark):
     hashes = {int(L.word_hashes(w.encode())[0].view(np.int64)[0]): w for w in ["common", *[f"w{i}" for i in range(7)]]}
     assert found and all(r["__df"] == sum(hashes[r["__word"]] in t.split() for _, t in rows) for r in found)
     assert {hashes[r["__word"]] for r in found} >= {"common"}
+
+
+def test_workers_forget_the_caches_of_other_operators():
+    from tablemend.llm import common
+    from tablemend.llm import lexical_packing as P
+
+    P._spaced["word"] = b"1234"
+    common.forget_others(P.__name__)
+    assert P._spaced
+    assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2]
+    assert not P._spaced and not P._plain
