@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions import cells as C
 from tablemend.plans import manifest as M
+from tablemend.plans.reconstruct import confidences, reconstruct
 from tablemend.sources.tables import SHIPMENT_COLUMNS
 
 from . import Query
@@ -89,6 +90,11 @@ def _mapping(spark, sf_dir):
     return m.select("file_id", *[F.col(f"columns.{t}").cast("long").alias(t) for t in SHIPMENT_COLUMNS])
 
 
+def _rebuilt_report(spark, sf_dir):
+    rows = manifest_rows(spark, sf_dir)
+    return M.manifest_report(rows, confidences(reconstruct(rows)))
+
+
 QUERIES: dict[str, Query] = {
     "header_horizon": Query(
         lambda sp, d: M.header_horizon(manifest_rows(sp, d)).select("file_id", "horizon"),
@@ -118,4 +124,6 @@ QUERIES: dict[str, Query] = {
         "CAST(sum(CASE WHEN r % 97 = 5 THEN 1 ELSE 0 END) AS BIGINT) AS rows_rejected, CAST(0.88 AS DOUBLE) AS confidence, 1 AS anomalies_repaired "
         f"FROM ({I.duck(BODY)}) GROUP BY f",
     ),
+    # confidences come from strategies that compete, which SQL cannot say: tests/test_reconstruct.py compares them
+    "manifest_report_rebuilt": Query(_rebuilt_report),
 }

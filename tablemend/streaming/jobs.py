@@ -9,6 +9,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.shipments import to_stored
 from ..plans.manifest import manifest_report, process_manifest
+from ..plans.reconstruct import confidences, reconstruct
 from ..session import cut, drop_table
 from ..sources.files import content_of, decision, line_columns, number_lines, readable, rows_from_lines, with_width
 from ..sources.tables import log_events
@@ -58,16 +59,17 @@ def file_sizes(raw: DataFrame) -> DataFrame:
     return raw.groupBy("file_id").agg(size.alias("file_size_bytes"))
 
 
-def batch_log(raw: DataFrame, lost: DataFrame | None = None) -> DataFrame:
+def batch_log(raw: DataFrame, lost: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
     """Log events of a batch: every file was opened, and succeeded unless no shipment was found in it.
 
     ``lost`` holds ``file_id, file_size_bytes, error_message`` of files that were not processed: they failed.
+    ``measured`` holds ``file_id, confidence`` of files whose tables were rebuilt.
     """
     seen = file_sizes(raw).withColumn("lost", F.lit(None).cast("string"))
     if lost is not None:
         seen = seen.unionByName(lost.withColumnRenamed("error_message", "lost"))
     none_found = F.when(F.coalesce("rows_out", F.lit(0)) == 0, "no shipment found")
-    told = seen.join(manifest_report(raw), "file_id", "left").select(
+    told = seen.join(manifest_report(raw, measured), "file_id", "left").select(
         F.xxhash64("file_id").alias("id"), F.regexp_extract("file_id", r"([^/]+)$", 1).alias("filename"),
         "file_size_bytes", F.coalesce("rows_out", F.lit(0)).alias("rows_total"),
         F.coalesce("anomalies_repaired", F.lit(0)).alias("rows_repaired"), F.current_timestamp().alias("at"),
@@ -81,10 +83,11 @@ def batch_log(raw: DataFrame, lost: DataFrame | None = None) -> DataFrame:
     return log_events(opened, outcomes)
 
 
-def ingest_batch(hubs: DataFrame, store: str, log: str | None = None) -> Callable[[DataFrame, int], None]:
+def ingest_batch(hubs: DataFrame, store: str, log: str | None = None, rebuild: bool = False) -> Callable[[DataFrame, int], None]:
     """Batch function: admit files, clean, drop stored ids, enrich, append; with ``log``, events of each file go there.
 
     Files that are no manifests by name, or binary by content, become failed entries of the log; the others go on.
+    With ``rebuild`` the log has the confidence of each file's reconstruction instead of the pass-through one.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -100,7 +103,8 @@ def ingest_batch(hubs: DataFrame, store: str, log: str | None = None) -> Callabl
         if log is not None:
             error = F.when(fate != "admitted", fate).when(F.col("is_binary"), "binary content")
             lost = seen.select("file_id", error.alias("error_message")).filter("error_message IS NOT NULL")
-            write_batch(batch_log(raw, lost.join(file_sizes(read), "file_id")), log, batch_id)
+            measured = confidences(reconstruct(raw)) if rebuild else None
+            write_batch(batch_log(raw, lost.join(file_sizes(read), "file_id"), measured), log, batch_id)
         for table in (read, seen, raw):
             drop_table(table)
 
@@ -109,12 +113,12 @@ def ingest_batch(hubs: DataFrame, store: str, log: str | None = None) -> Callabl
 
 def stream_ingest(
     spark: SparkSession, path: str, store: str, checkpoint: str, hubs: DataFrame, files_per_batch: int = 1000,
-    log: str | None = None,
+    log: str | None = None, rebuild: bool = False,
 ) -> DataStreamWriter:
     return (
         manifest_stream(spark, path, files_per_batch)
         .writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(ingest_batch(hubs, store, log))
+        .foreachBatch(ingest_batch(hubs, store, log, rebuild))
     )
 
 

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from tablemend.operators import strategies as ST
 from tablemend.operators.headers import periodicity_strength
 from tablemend.operators.profile import active_rows, profile_rows
-from tablemend.plans.reconstruct import reconstruct
+from tablemend.plans.manifest import PASS_THROUGH_CONFIDENCE, manifest_report
+from tablemend.plans.reconstruct import confidences, reconstruct
+from tablemend.streaming.jobs import batch_log
 
 PLOTS = ((31, "Loam", "Barley", "Low"), (32, "Clay", "Barley", "Low"), (33, "Sand", "Oats", "High"), (34, "Loam", "Rye", "Low"))
 TABLES = {
@@ -60,6 +62,27 @@ def test_confidences_are_fractions_and_every_file_has_a_strategy(whole):
     assert all(0 <= v <= 1 for r in report for v in r["layers"].values())
 
 
+def test_manifest_report_takes_the_confidence_of_rebuilt_tables(fixture_rows, whole):
+    _, records = result(whole)
+    fixed = {
+        r["file_id"]: (r["correction"]["confidence"] * 100 if r["correction"] else r["confidence_score"])
+        for r in whole.report.collect()
+    }
+    want = {
+        f: (fixed[f] / 100 if fixed[f] > 1 else fixed[f]) if len(records.get(f, [])) > 1 else PASS_THROUGH_CONFIDENCE
+        for f in {r["file_id"] for r in fixture_rows.select("file_id").distinct().collect()}
+    }
+    measured = confidences(whole)
+    got = {r["file_id"]: r["confidence"] for r in manifest_report(fixture_rows, measured).collect()}
+    assert set(got) <= set(want) and {"clean", "chaotic"} <= set(got)
+    assert got == pytest.approx({f: want[f] for f in got})
+    assert any(c != PASS_THROUGH_CONFIDENCE for c in got.values())
+    one = measured.filter("file_id = 'clean'")
+    rest = {r["file_id"]: r["confidence"] for r in manifest_report(fixture_rows, one).collect()}
+    assert {rest[f] for f in rest if f != "clean"} == {PASS_THROUGH_CONFIDENCE}
+    assert "reconstruction_confidence" in str(batch_log(fixture_rows, measured=measured).schema)
+
+
 def test_block_size_and_partitioning_do_not_matter(spark, fixture_rows, whole):
     again = reconstruct(fixture_rows.repartition(7), block_rows=16)
     assert result(again) == result(whole)
