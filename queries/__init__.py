@@ -15,11 +15,11 @@ class Query:
 
 
 def registry() -> dict[str, Query]:
-    from . import logistics, manifests, matrix, quality, streams, structure
+    from . import logistics, manifests, matrix, quality, stores, streams, structure
 
     merged: dict[str, Query] = {}
     for part in (
-        logistics.QUERIES, manifests.QUERIES, matrix.QUERIES, structure.QUERIES, quality.QUERIES, streams.QUERIES
+        logistics.QUERIES, manifests.QUERIES, matrix.QUERIES, structure.QUERIES, quality.QUERIES, streams.QUERIES, stores.QUERIES
     ):
         clash = merged.keys() & part.keys()
         if clash:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -273,12 +274,14 @@ def geo_enrich(
     )
 
 
-def to_stored(df: DataFrame, hubs: DataFrame, log_id: Column, legacy_zero: bool = False) -> DataFrame:
-    """Canonical rows to the 14 persisted columns."""
+def to_stored(
+    df: DataFrame, hubs: DataFrame, log_id: Column, legacy_zero: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Canonical rows to the 14 persisted columns, and those of ``keep``."""
     rows = ingest_defaults(df, legacy_zero).withColumns(
         {"vendor_id": F.lit(dims.DEFAULT_VENDOR_ID), "ingestion_log_id": log_id}
     )
-    return geo_enrich(rows, hubs).select(*STORED_COLUMNS)
+    return geo_enrich(rows, hubs).select(*STORED_COLUMNS, *keep)
 
 
 def shipments_by_log(shipments: DataFrame, logs: DataFrame, how: str = "inner") -> DataFrame:

@@ -12,6 +12,7 @@ from ..plans.manifest import manifest_report, process_manifest
 from ..plans.reconstruct import confidences, reconstruct
 from ..session import cut, drop_table
 from ..sources.files import content_of, decision, line_columns, number_lines, readable, rows_from_lines, with_width
+from ..sources.store import KeyedStore
 from ..sources.tables import log_events
 from .sinks import read_batches, write_batch
 
@@ -83,11 +84,14 @@ def batch_log(raw: DataFrame, lost: DataFrame | None = None, measured: DataFrame
     return log_events(opened, outcomes)
 
 
-def ingest_batch(hubs: DataFrame, store: str, log: str | None = None, rebuild: bool = False) -> Callable[[DataFrame, int], None]:
+def ingest_batch(
+    hubs: DataFrame, store: str | KeyedStore, log: str | None = None, rebuild: bool = False
+) -> Callable[[DataFrame, int], None]:
     """Batch function: admit files, clean, drop stored ids, enrich, append; with ``log``, events of each file go there.
 
     Files that are no manifests by name, or binary by content, become failed entries of the log; the others go on.
     With ``rebuild`` the log has the confidence of each file's reconstruction instead of the pass-through one.
+    A ``KeyedStore`` numbers the rows in the order of files and lines, and reads only what may hold the batch's ids.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -97,9 +101,14 @@ def ingest_batch(hubs: DataFrame, store: str, log: str | None = None, rebuild: b
         fate = decision(F.col("file_id"), F.lit(0))
         seen = cut(content_of(read))
         raw = cut(with_width(readable(read.filter(fate == "admitted"), seen)))
-        fresh = unseen(process_manifest(raw), read_batches(spark, store, STORED_SCHEMA, before=batch_id))
         log_id = F.regexp_extract("file_id", r"([^/]+)$", 1)
-        write_batch(to_stored(fresh, hubs, log_id), store, batch_id)
+        if isinstance(store, KeyedStore):
+            order = ["file_id", "row_idx"]
+            told = process_manifest(raw).filter("shipment_id <> ''")
+            store.append(to_stored(told, hubs, log_id, keep=order), batch_id, order)
+        else:
+            fresh = unseen(process_manifest(raw), read_batches(spark, store, STORED_SCHEMA, before=batch_id))
+            write_batch(to_stored(fresh, hubs, log_id), store, batch_id)
         if log is not None:
             error = F.when(fate != "admitted", fate).when(F.col("is_binary"), "binary content")
             lost = seen.select("file_id", error.alias("error_message")).filter("error_message IS NOT NULL")
@@ -112,7 +121,7 @@ def ingest_batch(hubs: DataFrame, store: str, log: str | None = None, rebuild: b
 
 
 def stream_ingest(
-    spark: SparkSession, path: str, store: str, checkpoint: str, hubs: DataFrame, files_per_batch: int = 1000,
+    spark: SparkSession, path: str, store: str | KeyedStore, checkpoint: str, hubs: DataFrame, files_per_batch: int = 1000,
     log: str | None = None, rebuild: bool = False,
 ) -> DataStreamWriter:
     return (
@@ -165,11 +174,14 @@ def dedup_recent(df: DataFrame, key: str, event_time: str, delay: str) -> DataFr
 
 
 def stream_dedup(
-    df: DataFrame, key: str, event_time: str, delay: str, store: str, schema: str, checkpoint: str
+    df: DataFrame, key: str, event_time: str, delay: str, store: str | KeyedStore, schema: str, checkpoint: str
 ) -> DataStreamWriter:
-    """De-duplicate recent rows in state and all older ones against the store."""
+    """De-duplicate recent rows in state and all older ones against the store, a ``KeyedStore`` by its index."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if isinstance(store, KeyedStore):
+            store.append(batch, batch_id, [event_time, key])
+            return
         existing = read_batches(batch.sparkSession, store, schema, before=batch_id)
         ids = batch.select(key).distinct()
         known = existing.select(key).join(ids, key, "left_semi").distinct()
