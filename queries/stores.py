@@ -20,7 +20,8 @@ SCHEMA = (
     "source_id long"
 )
 COLUMNS = [field.split()[0] for field in SCHEMA.split(", ")]
-ORDER = ["ingestion_log_id", "source_id"]
+# the given lines hold several of one order and number; the further columns tell them apart
+ORDER = ["ingestion_log_id", "source_id", "departure_date", "weight_kg", "vendor_id", "material_type", "origin_hub", "status"]
 
 
 def _store(spark, sf_dir) -> KeyedStore:
@@ -35,7 +36,7 @@ def _store(spark, sf_dir) -> KeyedStore:
 
 
 STORED = f"""
-stored AS (SELECT CAST(row_number() OVER (ORDER BY source_id % 3 <> 0, ingestion_log_id, source_id) AS BIGINT) AS id, * FROM (
+stored AS (SELECT CAST(row_number() OVER (ORDER BY source_id % 3 <> 0, {", ".join(ORDER)}) AS BIGINT) AS id, * FROM (
   SELECT CAST(vendor_id AS BIGINT) AS vendor_id, CAST(ingestion_log_id AS BIGINT) AS ingestion_log_id, shipment_id, material_type,
          CAST(weight_kg AS DOUBLE) AS weight_kg, predicted_delay_hours, status, origin_hub, destination_hub,
          CAST(departure_date AS DATE) AS departure_date, CAST(id AS BIGINT) AS source_id FROM shipments))
