@@ -71,6 +71,8 @@ class KeyedStore:
         hit = spans.join(F.broadcast(reach), "bucket").filter("first_key <= high AND last_key >= low")
         # folder names only: as many as there are buckets and batches, however many rows they hold
         found = hit.agg(F.collect_set("bucket"), F.collect_set("batch_id")).first()
+        if not found[0]:
+            return incoming.select(self.key).limit(0)
         near = self.keys(spark, before).filter(F.col("bucket").isin(found[0]) & F.col("batch_id").isin(found[1]))
         return near.select(self.key).join(asked.select(self.key), self.key, "left_semi").distinct()
 
