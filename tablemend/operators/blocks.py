@@ -28,6 +28,9 @@ from ..session import cut
 BLOCK_ROWS = 1 << 16
 #: parts that the rows of a file are dealt to when facts about the file are joined
 FACT_PARTS = 32
+#: facts, at most, that are sent to every task instead
+FEW_FACTS = 2000
+
 
 def with_facts(
     rows: DataFrame,
@@ -41,11 +44,18 @@ def with_facts(
 
     Rows are dealt by file and a part that ``place``, a column of theirs, decides; facts, few per file, are copied to
     every part. What follows by ``(file_id, anything)`` is then dealt out anew, since rows do not lie by file.
+
+    Facts are counted first, so they are materialised: up to ``FEW_FACTS`` rows are broadcast, without copies. More are
+    never broadcast: the planner takes the copies for as small as the facts in their file, and the driver would hold all.
     """
     part = "_part"
+    facts = cut(facts)
+    broadcasts = not rows.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").startswith("-")
+    if broadcasts and facts.limit(FEW_FACTS + 1).count() <= FEW_FACTS:
+        return rows.join(F.broadcast(facts), list(keys), how)
     dealt = rows.withColumn(part, F.pmod(F.xxhash64(place), F.lit(parts)))
     copies = facts.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    return dealt.join(copies, [*keys, part], how).drop(part)
+    return dealt.join(copies.hint("merge"), [*keys, part], how).drop(part)
 
 
 def with_prefix(

@@ -198,6 +198,16 @@ def test_facts_join_like_a_plain_join(spark):
         assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_copies_of_facts_are_never_broadcast(spark):
+    """Few facts go to all tasks as they are; more are joined by shuffle, as the driver would hold every copy."""
+    df, _ = frame(spark)
+    facts = lambda n: spark.range(n).select(F.col("id").cast("string").alias("file_id"), F.col("id").alias("fact"))
+    planned = lambda n: B.with_facts(df, facts(n), "pos")._jdf.queryExecution().executedPlan().toString()
+    few, many = planned(B.FEW_FACTS), planned(B.FEW_FACTS + 1)
+    assert "BroadcastHashJoin" in few and "Generate" not in few
+    assert "Broadcast" not in many and "SortMergeJoin" in many and "Generate" in many
+
+
 def test_no_operator_deals_rows_by_file_alone(spark, no_broadcast):
     """After per-file facts are joined, windows and aggregates deal rows out by block, column or value."""
     rows = spark.createDataFrame([("a", i, ["1", "x"], 2) for i in range(9)], "file_id string, row_idx long, cells array<string>, width int")
