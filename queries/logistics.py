@@ -191,9 +191,9 @@ def _dirty_dedup(spark, sf_dir):
         (F.col("id") * 1000000 + F.col("vendor_id")).alias("row_idx"),
     )
     existing = rows.limit(0)
-    return S.new_shipments(rows, existing, dedup="file").groupBy("file_id").agg(
-        F.count("*").alias("n"), F.sum("row_idx").alias("s")
-    )
+    # the sum is exact at any size; a file's sum that no BIGINT holds is NULL there and ends no other file
+    total = F.sum(F.col("row_idx").cast("decimal(38,0)")).try_cast("bigint")
+    return S.new_shipments(rows, existing, dedup="file").groupBy("file_id").agg(F.count("*").alias("n"), total.alias("s"))
 
 
 QUERIES: dict[str, Query] = {
