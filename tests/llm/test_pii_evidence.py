@@ -61,3 +61,9 @@ def test_frequent_loose_emails_are_added(docs):
     loose = docs.where("form in (3, 6)")
     found = P.find(loose, model).select("doc_id", F.exists("added", lambda s: s["kind"] == "email").alias("hit"))
     assert found.where("hit").count() >= 0.8 * loose.count()
+
+
+def test_every_span_is_an_example(spark):
+    mails = [(i, " ; ".join(f"u{i}x{k}@h{k}.com" for k in range(40))) for i in range(80)]
+    found = P.examples(spark.createDataFrame(mails, "doc_id int, text string"))
+    assert found.where("kind = 0 AND label = 1").count() == 3200
