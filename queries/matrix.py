@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablemend.functions import cells as C, rows as R, scores as X
 from tablemend.operators import profile as P
+from tablemend.session import cut
 
 from . import Query
 from . import inputs as I
@@ -159,8 +160,8 @@ FROM all_of
 
 
 def _profile(rows):
-    rows = P.profile_rows(rows)
-    d = P.dataset_profile(rows, P.active_rows(rows))
+    rows = cut(P.profile_rows(rows))  # read by several steps
+    d = P.dataset_profile(rows, cut(P.active_rows(rows)))
     r = lambda c, n: near(c, n).alias(c)
     return d.select(
         "file_id", "total_rows", F.col("total_columns").cast("long").alias("total_columns"),
