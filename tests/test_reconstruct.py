@@ -6,7 +6,9 @@ from tablemend.operators.headers import periodicity_strength
 from tablemend.operators.profile import active_rows, profile_rows
 from tablemend.plans.manifest import PASS_THROUGH_CONFIDENCE, manifest_report
 from tablemend.plans.reconstruct import confidences, reconstruct
+from tablemend.session import cut
 from tablemend.streaming.jobs import batch_log
+from tests.test_blocks import exchanges
 
 PLOTS = ((31, "Loam", "Barley", "Low"), (32, "Clay", "Barley", "Low"), (33, "Sand", "Oats", "High"), (34, "Loam", "Rye", "Low"))
 TABLES = {
@@ -133,3 +135,13 @@ def test_periodicity_against_search(spark, fixture_rows):
     for file_id, signatures in by_file.items():
         for start in range(len(signatures)):
             assert got.get((file_id, start), 0.0) == pytest.approx(naive_strength(signatures, start))
+
+
+def test_suffixes_are_dealt_once(spark, fixture_rows):
+    """Rows become one per span only after they are dealt, also where blocks of long files hand counts on."""
+    active = cut(active_rows(profile_rows(fixture_rows)))
+    whole = periodicity_strength(active)
+    keys = exchanges(whole)
+    assert keys.count("file_id, _blk") == 1 and not any("span" in k or "seq" in k for k in keys)
+    told = lambda df: sorted((r["file_id"], r["seq"], r["periodic"]) for r in df.collect())
+    assert told(whole) == told(periodicity_strength(active, block_rows=8)) != []
