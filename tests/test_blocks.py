@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablemend.operators import blocks as B, boundaries, records, structure, validate
 from tablemend.operators.boundaries import BoundaryScoreRule, ScoredRule
 from tablemend.plans import manifest
+from tablemend.session import cut
 
 
 def frame(spark, n=57, seed=3):
@@ -208,6 +209,15 @@ def test_copies_of_facts_are_never_broadcast(spark):
     assert "Broadcast" not in many and "SortMergeJoin" in many and "Generate" in many
 
 
+def test_rows_are_never_broadcast_to_rows(spark):
+    """A few kilobytes on disk may be a million rows: joins of rows with rows do not go by the size of their files."""
+    of = lambda *columns: cut(spark.range(50_000).select(F.lit("a").alias("file_id"), F.col("id").alias("row_idx"), *columns))
+    rows, groups = of(F.array(F.lit("x")).alias("cells")), of(F.lit(0).cast("long").alias("record_id"))
+    plan = records.merge_groups(groups, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "row_idx" not in "".join(line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+    assert any("row_idx" in line for line in plan.splitlines() if "SortMergeJoin" in line)
+
+
 def test_no_operator_deals_rows_by_file_alone(spark, no_broadcast):
     """After per-file facts are joined, windows and aggregates deal rows out by block, column or value."""
     rows = spark.createDataFrame([("a", i, ["1", "x"], 2) for i in range(9)], "file_id string, row_idx long, cells array<string>, width int")
