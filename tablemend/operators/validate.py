@@ -231,5 +231,7 @@ def strategy_score(report: DataFrame) -> DataFrame:
 def row_alignments(tables: DataFrame, names: DataFrame) -> DataFrame:
     """Mean type match of every record."""
     kinds = names.select(*KEYS, F.transform("names", C.header_type).alias("kinds"))
-    fit = _sum(F.zip_with("kinds", "values", lambda k, v: C.type_match(k, C.value_type(v)))) / F.size("kinds")
+    # one array after the other: inside one lambda a value would be trimmed and classified for every branch
+    types = F.transform(F.transform(F.transform("values", C.strip), C.classify_normalized), C.class_type)
+    fit = _sum(F.zip_with("kinds", types, lambda k, t: C.type_match(k, F.coalesce(t, F.lit("empty"))))) / F.size("kinds")
     return with_facts(tables, kinds, "record_id", keys=KEYS).select(*KEYS, "record_id", fit.alias("row_alignment"))
