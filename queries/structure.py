@@ -25,11 +25,26 @@ def _active(rows):
     return cut(P.active_rows(P.profile_rows(rows)))
 
 
-def _whole_files(rows):
-    """Treat every row as data: files start at row 0."""
-    active = _active(rows)
-    files = active.select("file_id").distinct().withColumn("data_start", F.lit(0))
-    return active, files
+def _measured(rows, *columns):
+    """Rows with the named measures alone: what no step reads is neither taken nor shuffled."""
+    return cut(P.profile_rows(rows).select("file_id", "row_idx", "non_null_count", *columns))
+
+
+def _ordered(rows, *columns):
+    """Active rows with the named columns alone."""
+    return cut(P.active_rows(rows).select("file_id", "row_idx", "seq", *columns))
+
+
+def _data(rows, active, *columns, first=0):
+    """Data rows with the named columns alone; every file begins at row ``first``."""
+    files = rows.select("file_id").distinct().withColumn("data_start", F.lit(first))
+    return cut(S.data_rows(active, files).select("file_id", "j", *columns))
+
+
+def _cell_data(raw, first=0):
+    """Measured rows and data rows with their cells; no cell is classified."""
+    rows = _measured(raw, "cells")
+    return rows, _data(rows, _ordered(rows, "cells"), "row_idx", "cells", first=first)
 
 
 # --- periodic suffixes and data start ------------------------------------------
@@ -106,8 +121,8 @@ scores AS (SELECT file_id, c AS cycle, sr AS signature_repeat, wr AS width_repea
 
 
 def _cycle_scores(rows):
-    active, files = _whole_files(rows)
-    return S.cycle_scores(cut(S.data_rows(active, files))).select(
+    active = _ordered(_measured(rows, "signature"), "signature")
+    return S.cycle_scores(_data(active, active, "n_data", "sig")).select(
         "file_id", F.col("cycle").cast("long").alias("cycle"),
         *[near(c, 5).alias(c) for c in ("signature_repeat", "width_repeat", "cyclic_sim", "score")],
     )
@@ -120,10 +135,10 @@ CYCLE_SELECT = (
 
 
 def _best_cycles(spark, sf_dir):
-    rows, active = _profiled(I.doc_rows(spark, sf_dir))
-    files = active.select("file_id").distinct().withColumn("data_start", F.lit(0))
+    rows = _measured(I.doc_rows(spark, sf_dir), "width", "text_count", "numeric_count", "signature")
+    active = _ordered(rows, "signature", "next_signature")
     strength = F.col("n_data") % 10 / 10
-    best = S.best_cycle(cut(S.data_rows(active, files)), P.dataset_profile(rows, active))
+    best = S.best_cycle(_data(active, active, "n_data", "sig"), P.dataset_profile(rows, active))
     return best.select(
         "file_id", F.col("cycle").cast("long").alias("cycle"), near("score", 5).alias("score"),
         S.choose_mode(F.col("score"), strength).alias("mode"),
@@ -180,8 +195,7 @@ SELECT file_id, col_idx AS col, col_idx AS global_idx, label, CASE WHEN pat > 0
 
 
 def _doc_data(spark, sf_dir):
-    active, files = _whole_files(I.doc_rows(spark, sf_dir))
-    return S.data_rows(active, files)
+    return _cell_data(I.doc_rows(spark, sf_dir))[1]
 
 
 def _doc_plan(data):
@@ -195,10 +209,14 @@ def _doc_plan(data):
     )
 
 
+def _boundary_rows(spark, sf_dir):
+    """What the features of boundaries read: rows, and data rows with signature and cells."""
+    rows = _measured(I.doc_rows(spark, sf_dir), "signature", "cells")
+    return rows, _data(rows, _ordered(rows, "signature", "cells"), "row_idx", "signature", "cells")
+
+
 def _doc_features(spark, sf_dir):
-    rows, active = _profiled(I.doc_rows(spark, sf_dir))
-    files = rows.select("file_id").distinct().withColumn("data_start", F.lit(0))
-    data = cut(S.data_rows(active, files))
+    rows, data = _boundary_rows(spark, sf_dir)
     return B.boundary_features(data, _doc_plan(data), rows)
 
 
@@ -221,9 +239,7 @@ ft AS (SELECT file_id, j, row_idx, o0 * 2 >= 3 AS f0, o1 * 2 >= 2 AND o1 > 0 AS
 """
 
 def _boundary_report(spark, sf_dir):
-    rows, active = _profiled(I.doc_rows(spark, sf_dir))
-    files = rows.select("file_id").distinct().withColumn("data_start", F.lit(0))
-    data = cut(S.data_rows(active, files))
+    rows, data = _boundary_rows(spark, sf_dir)
     plan = _doc_plan(data).withColumn("cycle", F.lit(0))
     found = B.boundary_report(B.detect_boundaries(data, plan, B.boundary_features(data, plan, rows)), plan)
     return found.select(
@@ -343,9 +359,7 @@ def _cycle_records(spark, sf_dir):
 
 
 def _sparse_orders(spark, sf_dir):
-    rows, active = _profiled(I.order_matrix(spark, sf_dir))
-    files = rows.select("file_id").distinct().withColumn("data_start", F.lit(1))
-    data = cut(S.data_rows(active, files))
+    rows, data = _cell_data(I.order_matrix(spark, sf_dir), first=1)
     return _wide(K.merge_groups(B.sparse_merge_groups(data), rows), 4)
 
 

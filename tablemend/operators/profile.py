@@ -41,9 +41,9 @@ def profile_rows(raw_rows: DataFrame) -> DataFrame:
 
 
 def active_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Non-empty rows with ``seq``, the signature of the next one and the place of the one before."""
-    kept = [c for c in ("cells", "width", "anchor_share", "is_label") if c in rows.columns]
-    present = rows.filter(F.col("non_null_count") > 0).select("file_id", "row_idx", "signature", *kept)
+    """Non-empty rows with ``seq``, the signature of the next one, if rows have one, and the place of the one before."""
+    kept = [c for c in ("signature", "cells", "width", "anchor_share", "is_label") if c in rows.columns]
+    present = rows.filter(F.col("non_null_count") > 0).select("file_id", "row_idx", *kept)
     ranked = with_rank(present, ["file_id"], "row_idx", "seq", block_rows)
     return with_neighbours(
         ranked,
@@ -52,7 +52,7 @@ def active_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         before=1,
         after=1,
         columns=lambda w: {
-            "next_signature": F.lead("signature").over(w),
+            **({"next_signature": F.lead("signature").over(w)} if "signature" in kept else {}),
             "prev_row_idx": F.lag("row_idx").over(w),
         },
         block_rows=block_rows,

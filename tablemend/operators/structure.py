@@ -204,19 +204,15 @@ def row_has_anchor(cells: Column, anchors: Column, bp: Column) -> Column:
 
 
 def data_rows(active: DataFrame, files: DataFrame) -> DataFrame:
-    """Active rows of the data part with position ``j`` and the compact signature ``sig``."""
+    """Active rows of the data part with position ``j`` and, where they have a signature, the compact one as ``sig``."""
     firsts = (
         with_facts(active.select("file_id", "row_idx", "seq"), files.select("file_id", "data_start"), "seq")
         .filter("row_idx >= data_start")
         .groupBy("file_id")
         .agg(F.min("seq").alias("first_seq"), F.count("*").alias("n_data"))
     )
-    return (
-        with_facts(active, firsts, "seq")
-        .filter("seq >= first_seq")
-        .withColumn("j", F.col("seq") - F.col("first_seq"))
-        .withColumn("sig", R.compact_signature(F.col("signature")))
-    )
+    data = with_facts(active, firsts, "seq").filter("seq >= first_seq").withColumn("j", F.col("seq") - F.col("first_seq"))
+    return data.withColumn("sig", R.compact_signature(F.col("signature"))) if "signature" in data.columns else data
 
 
 def templates(data: DataFrame) -> DataFrame:
