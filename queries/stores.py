@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tablemend.operators import shipments as S
-from tablemend.session import ensure_checkpoint_dir
+from tablemend.session import cut, drop_table, ensure_checkpoint_dir
 from tablemend.sources.store import KeyedStore
 
 from . import Query
@@ -30,8 +30,11 @@ def _store(spark, sf_dir) -> KeyedStore:
     rows = I.shipments(spark, sf_dir).withColumnRenamed("id", "source_id")
     rows = rows.withColumn("departure_date", F.to_date("departure_date")).withColumn("weight_kg", F.col("weight_kg").cast("double"))
     rows = rows.withColumns({"vendor_id": F.col("vendor_id").cast("long"), "ingestion_log_id": F.col("ingestion_log_id").cast("long")})
-    store.append(rows.filter("source_id % 3 = 0"), 0, ORDER)
-    store.append(rows, 1, ORDER)
+    # both batches read the joined table, which is made once
+    rows = cut(rows)
+    store.append(rows.filter("source_id % 3 = 0"), 0, ORDER, settled=True)
+    store.append(rows, 1, ORDER, settled=True)
+    drop_table(rows)
     return store
 
 

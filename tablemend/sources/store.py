@@ -63,18 +63,45 @@ class KeyedStore:
         Only the key index is read, of it only the buckets that the batch has keys in and the batches whose
         span of keys in such a bucket meets that of the incoming keys; both are partition filters.
         """
+        near = self._near(incoming, before)
+        if near is None:
+            return incoming.select(self.key).limit(0)
+        return self._asked(near, incoming)
+
+    def _asked(self, near: DataFrame, incoming: DataFrame) -> DataFrame:
+        asked = incoming.filter(F.col(self.key).isNotNull()).select(self.key).distinct()
+        return near.join(asked, self.key, "left_semi").distinct()
+
+    def _near(self, incoming: DataFrame, before: int | None = None) -> DataFrame | None:
+        """Stored keys of the buckets and batches that may hold keys of ``incoming``; they may repeat. None if there are none."""
         spark, key = incoming.sparkSession, F.col(self.key)
-        asked = incoming.filter(key.isNotNull()).select(self.key).distinct().withColumn("bucket", self._bucket())
-        # at most one row per bucket
-        reach = asked.groupBy("bucket").agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"))
+        # at most one row per bucket; keys are folded where they lie
+        reach = (
+            incoming.filter(key.isNotNull())
+            .groupBy(self._bucket().alias("bucket"))
+            .agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"))
+        )
         spans = read_batches(spark, f"{self.path}/spans", self._span_schema(spark), before)
         hit = spans.join(F.broadcast(reach), "bucket").filter("first_key <= high AND last_key >= low")
         # folder names only: as many as there are buckets and batches, however many rows they hold
         found = hit.agg(F.collect_set("bucket"), F.collect_set("batch_id")).first()
         if not found[0]:
-            return incoming.select(self.key).limit(0)
+            return None
         near = self.keys(spark, before).filter(F.col("bucket").isin(found[0]) & F.col("batch_id").isin(found[1]))
-        return near.select(self.key).join(asked.select(self.key), self.key, "left_semi").distinct()
+        return near.select(self.key)
+
+    def _unseen(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """Rows of a batch whose key is not stored.
+
+        A store that is larger than the batch is first reduced to the batch's keys; a smaller one is met as it is, so that
+        the keys of the batch are not shuffled apart from its rows.
+        """
+        near = self._near(batch, batch_id)
+        if near is None:
+            return batch
+        stored = self.fences(batch.sparkSession, before=batch_id).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        known = self._asked(near, batch) if stored > batch.count() else near
+        return batch.join(known, self.key, "left_anti")
 
     def lookup(self, spark: SparkSession, value) -> DataFrame:
         """The row of a key, of several copies the one with the lowest number: one bucket, then one segment."""
@@ -126,15 +153,21 @@ class KeyedStore:
 
     # --- writing -------------------------------------------------------------
 
-    def append(self, incoming: DataFrame, batch_id: int, order: Sequence[str]) -> None:
+    def append(self, incoming: DataFrame, batch_id: int, order: Sequence[str], settled: bool = False) -> None:
         """Number the rows whose key is not stored, in ``order``, and store them as one batch.
 
         Ranges of ``order`` are dealt by rows, so neither a hot key nor a hot file makes a large task.
+        ``settled`` rows, those of a table, are the same whenever they are read, so they are not copied first.
         """
         spark = incoming.sparkSession
         columns = [f.name for f in self._fields(spark)]
-        batch = cut(incoming.select(*dict.fromkeys([*columns, *order])))
-        fresh = batch.join(self.known(batch, before=batch_id), self.key, "left_anti")
+        batch = incoming.select(*dict.fromkeys([*columns, *order]))
+        copies = [] if settled else [cut(batch)]
+        batch = batch if settled else copies[0]
+        fresh = self._unseen(batch, batch_id)
+        if fresh is not batch:
+            # ranges are sampled before rows are dealt: without a copy the rows would be matched with the store twice
+            copies.append(fresh := cut(fresh))
         # the place in a sorted range is the low 33 bits, the range the high ones; kept as written
         dealt = cut(
             fresh.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
@@ -154,8 +187,8 @@ class KeyedStore:
         # from here on numbers are read, not made again
         stored = read_batches(spark, f"{self.path}/rows", f"id long, {self.schema}, segment long")
         self._index(stored.filter(F.col("batch_id") == batch_id), batch_id)
-        drop_table(dealt)
-        drop_table(batch)
+        for copy in (dealt, *copies):
+            drop_table(copy)
 
     def delete(self, spark: SparkSession, row_id: int) -> None:
         """Delete the row of a number: its segment and its bucket of the key index are written anew, no other file.

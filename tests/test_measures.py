@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from queries import structure as QS
 from tablemend.functions import cells as C
 from tablemend.operators import profile as P, structure as S, validate as V
+from tablemend.sources.store import KeyedStore
 
 
 def test_rows_without_signatures_are_ordered(spark):
@@ -39,3 +40,22 @@ def test_row_alignment_classifies_a_value_once(spark, capsys):
     V.row_alignments(tables, names).explain()
     # the pattern of numbers stands once in the plan that is run
     assert capsys.readouterr().out.count("inf|infinity|nan") == 1
+
+
+def test_a_batch_larger_than_the_store_is_matched_once(spark, tmp_path, monkeypatch):
+    store = KeyedStore(str(tmp_path / "store"), "shipment_id string, status string", buckets=4, segment_rows=10)
+
+    def table(ids):
+        return spark.createDataFrame([(k, "ok", i) for i, k in enumerate(ids)], "shipment_id string, status string, place long")
+
+    asked = []
+    reduce_store = KeyedStore._asked
+    monkeypatch.setattr(KeyedStore, "_asked", lambda self, near, rows: asked.append(1) or reduce_store(self, near, rows))
+    store.append(table(["a", "b", "b", None]), 0, ["place"], settled=True)
+    store.append(table(["c", "b", None, "d", "d", "a"]), 1, ["place"], settled=True)
+    # keys of the larger batch were not shuffled apart from its rows; those of a smaller one reduce the store
+    assert not asked
+    store.append(table(["d", "e"]), 2, ["place"])
+    assert asked
+    found = [r["shipment_id"] for r in store.rows(spark).orderBy("id").collect()]
+    assert found == ["a", "b", "b", None, "c", None, "d", "d", "e"]
