@@ -228,6 +228,14 @@ def replayed(
     return F.flatten(F.aggregate(chunks(rows), zero, many)["out"])
 
 
+def unrolled(told: Column) -> Column:
+    """One row per outcome of a block, which has at least one row.
+
+    The planner puts a test for empty arrays before ``explode``, which would run the rule over every block once more.
+    """
+    return F.explode_outer(told)
+
+
 def _summaries(arrays: DataFrame, block_keys: Sequence[str], rule: BlockRule) -> DataFrame:
     """Transition array of each block: for every entry state the exit state and the records opened.
 
@@ -301,7 +309,7 @@ def _entries(summaries: DataFrame, keys: list[str], place: str, first: int, fan:
         return told, _passed(block, held)
 
     told = replayed(F.col("_blocks"), F.col("_in"), step, "struct<place:bigint,state:bigint,n:bigint>")
-    return entered.select(*keys, F.explode(told).alias("_t")).select(
+    return entered.select(*keys, unrolled(told).alias("_t")).select(
         *keys, F.col("_t.place").alias(place), F.col("_t.state").alias("_entry"), F.col("_t.n").alias("_base")
     )
 
@@ -353,7 +361,7 @@ def fold_blocks(
 
     start = F.struct(F.col("_entry").alias("state"), F.col("_base").alias("n"))
     told = replayed(F.col("_rows"), start, step, out_type)
-    return entered.select(*keys, F.explode(told).alias("_t")).select(*keys, "_t.*")
+    return entered.select(*keys, unrolled(told).alias("_t")).select(*keys, "_t.*")
 
 
 def _followed(nodes: DataFrame, block_keys: list[str], block_rows: int, starts: DataFrame) -> DataFrame:
@@ -467,7 +475,7 @@ def follow_links(
     start = F.struct(F.col("_entry").alias("next"), F.col("_open").alias("begun"), F.col("_base").alias("n"))
     told = replayed(F.col("_rows"), start, step, out_type)
     return (
-        entered.select(*keys, F.explode(told).alias("_t"))
+        entered.select(*keys, unrolled(told).alias("_t"))
         .select(*keys, "_t.*")
         .withColumnRenamed("_at", position)
     )

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import cells as C, rows as R
 from ..functions.scores import clamp
-from .blocks import BLOCK_ROWS, with_facts, with_neighbours
+from .blocks import BLOCK_ROWS, let, with_facts, with_neighbours
 from .profile import repeating_pattern
 
 MAX_CYCLE = 12
@@ -270,14 +270,26 @@ def cycle_scores(data: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         .agg(F.avg("matches").alias("signature_repeat"), F.avg("widths").alias("width_repeat"))
     )
     steps = F.filter(lengths, lambda c: F.col("j") + c < F.col("n_data"))
+    # rows of a cycle repeat a few signatures: each different one is compared once
+    first = F.get("nearby", F.lit(0))
+    compared = let(
+        F.array_distinct("nearby"),
+        lambda kinds: let(
+            F.struct(kinds.alias("kinds"), F.transform(kinds, lambda s: R.layout_similarity(first, s)).alias("sims")),
+            lambda k: F.transform(
+                steps,
+                lambda c: F.struct(
+                    c.alias("cycle"),
+                    F.get(k["sims"], F.array_position(k["kinds"], F.get("nearby", c)).cast("int") - 1).alias("sim"),
+                ),
+            ),
+        ),
+    )
     cyclic = (
-        usable.select("file_id", "j", "nearby", F.explode(steps).alias("cycle"))
-        .select(
-            "file_id",
-            "cycle",
-            (F.col("j") % F.col("cycle")).alias("residue"),
-            R.layout_similarity(F.get("nearby", F.lit(0)), F.get("nearby", F.col("cycle"))).alias("sim"),
-        )
+        # a plain explode is preceded by a test for empty arrays, which would compare once more
+        usable.select("file_id", "j", F.explode_outer(compared).alias("s"))
+        .filter("s IS NOT NULL")
+        .select("file_id", "s.cycle", (F.col("j") % F.col("s.cycle")).alias("residue"), "s.sim")
         .groupBy("file_id", "cycle", "residue")
         .agg(F.avg("sim").alias("sim"))
         .groupBy("file_id", "cycle")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from queries import structure as QS
 from tablemend.functions import cells as C
 from tablemend.operators import profile as P, structure as S, validate as V
+from tablemend.operators.blocks import unrolled
 from tablemend.sources.store import KeyedStore
 
 
@@ -59,3 +60,11 @@ def test_a_batch_larger_than_the_store_is_matched_once(spark, tmp_path, monkeypa
     assert asked
     found = [r["shipment_id"] for r in store.rows(spark).orderBy("id").collect()]
     assert found == ["a", "b", "b", None, "c", None, "d", "d", "e"]
+
+
+def test_outcomes_are_unrolled_without_running_the_rule_before(spark, capsys):
+    rows = spark.range(3).select(F.sequence(F.lit(1).cast("long"), F.col("id") + 1).alias("rows"))
+    told = rows.select(unrolled(F.transform("rows", lambda r: r * 2)).alias("t"))
+    told.explain()
+    assert "Filter" not in capsys.readouterr().out
+    assert sorted(r["t"] for r in told.collect()) == [2, 2, 2, 4, 4, 6]
