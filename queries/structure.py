@@ -44,7 +44,8 @@ def _data(rows, active, *columns, first=0):
 def _cell_data(raw, first=0):
     """Measured rows and data rows with their cells; no cell is classified."""
     rows = _measured(raw, "cells")
-    return rows, _data(rows, _ordered(rows, "cells"), "row_idx", "cells", first=first)
+    # not written in between: the second reading of the order needs no cells
+    return rows, _data(rows, P.active_rows(rows), "row_idx", "cells", first=first)
 
 
 # --- periodic suffixes and data start ------------------------------------------
