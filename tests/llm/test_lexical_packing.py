@@ -151,3 +151,63 @@ def test_workers_forget_the_caches_of_other_operators():
     assert P._spaced
     assert list(common.lean(lambda batches: batches)(iter([1, 2]))) == [1, 2]
     assert not P._spaced and not P._plain
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abthe1 é\n\t\x1c\x85\xa0'sß😀.,<|endoftext|>中"), max_size=80))
+def test_ranks_give_the_ids_of_the_library(text):
+    assert L._codec(PATH) is not None
+    assert L.ids_of([text, None], PATH) == [whole(text), whole(None)]
+
+
+def test_more_blanks_than_the_pattern_goes_back_over():
+    text = "a" + " " * 1_500_000 + "b"
+    assert L.ids_of([text], PATH) == [whole(text)]
+
+
+def test_other_tokenizers_keep_their_own_splitting(tmp_path):
+    import json
+
+    told = json.load(open(PATH, encoding="utf-8"))
+    told["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(told), encoding="utf-8")
+    assert L._codec(str(tmp_path / "other.json")) is None
+
+
+def test_used_documents_leave_the_postings():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{w}" for w in rng.zipf(1.4, 40) if w < 500) for _ in range(400)]
+    words, n = np.unique(np.concatenate([np.unique(L.word_hashes(t.encode())[0]) for t in texts]), return_counts=True)
+    index, whole_index = (L.Index([], L._weights(n, 400), 40.0, words) for _ in range(2))
+    for one in (index, whole_index):
+        one.add(texts)
+        one.build()
+    whole_index._dropped = lambda: None
+    sizes = [300 + 7 * (k % 90) for k in range(400)]
+    found = list(L.walk(index, sizes, 1024))
+    assert found == list(L.walk(whole_index, sizes, 1024)) and sorted(found) == list(range(400))
+    assert len(index.doc) < len(whole_index.doc) // 2
+
+
+def test_shards_follow_bytes_not_the_order_of_routes(spark):
+    rows = [(i, f"zebra own{i} " + "x " * (2000 if i % 10 == 0 else 20)) for i in range(400)]
+    rows += [(i, "many copies of one text " * 40) for i in range(400, 600)] + [(i, None) for i in range(600, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    frequency, n, _, chars = L.statistics(docs)
+    idf = spark.sparkContext.broadcast(np.where(L._weights(frequency, n) > 0, 1e-9, 0))
+    idf.value[L._terms(["zebra"])[1][0]] = 10.0
+    shares = spark.sparkContext.broadcast(L._shares(docs, "text", idf, 8, chars, n))
+    dealt = L._dealt(docs, "doc_id", "text", idf, shares).collect()
+    tables = [(r["__shard"], L.unpacked(r["__data"])) for r in dealt]
+    found = [(s, i, t) for s, table in tables for i, t in zip(*(table.column(c).to_pylist() for c in ("__id", "__text")), strict=True)]
+    assert sorted(i for _, i, _ in found) == list(range(700)) and {i: t for _, i, t in found} == dict(rows)
+    size = collections.Counter()
+    for s, _, t in found:
+        size[s] += len(t or "") + L.ROW_BYTES
+    assert max(size.values()) < 2 * sum(size.values()) / 8
+
+
+def test_shards_hold_equal_routes_together():
+    shares = L.Shares(50, {}, {}, 1 << 20)
+    found = shares.of([0.25, 0.25, np.inf, 0.5], [1, 2, 3, 4], [5, 6, 7, 8])
+    assert found[0] == found[1] and all(0 <= s < 50 for s in found)
